@@ -1 +1,201 @@
-"""Catalog entries: page, acquisition, audience and visitor reports."""
+"""Catalog entries: page, acquisition, audience and visitor reports."""
+
+from __future__ import annotations
+
+from ..operators import audience as A
+from ..operators import pages as P
+from ..operators import people as PE
+from .catalog import T, after_sql, oracle, period_sql, register
+
+# --- pages ------------------------------------------------------------------------------------
+
+
+def _top_pages_sql(period):
+    return oracle(f"""
+SELECT page_path, count(*) AS views FROM page_views WHERE {period_sql('viewed_at', period)}
+GROUP BY page_path ORDER BY views DESC, page_path ASC NULLS FIRST LIMIT 10""", "page_views", "params")
+
+
+def _bounce_sql(period):
+    return oracle(f"""
+SELECT p.page_path, count(*) AS views, count(DISTINCT p.session_id) AS sessions,
+ count(CASE WHEN s.page_views = 1 THEN 1 END) * CAST(100.0 AS DOUBLE)
+   / count(DISTINCT p.session_id) AS bounce_rate
+FROM page_views p JOIN sessions s ON p.session_id = s.session_id
+WHERE {period_sql('p.viewed_at', period)}
+GROUP BY p.page_path ORDER BY views DESC, p.page_path ASC NULLS FIRST LIMIT 20""",
+                  "page_views", "sessions", "params")
+
+
+def _boundary_sql(period, agg, out):
+    return oracle(f"""
+SELECT p.page_path, count(*) AS {out}
+FROM page_views p JOIN (
+  SELECT session_id, {agg}(viewed_at) AS edge FROM page_views
+  WHERE {period_sql('viewed_at', period)} GROUP BY session_id
+) e ON p.session_id = e.session_id AND p.viewed_at = e.edge
+GROUP BY p.page_path ORDER BY {out} DESC, p.page_path ASC NULLS FIRST LIMIT 10""",
+                  "page_views", "params")
+
+
+for _sfx, _period in (("", "24h"), ("_7d", "7d"), ("_all", "all")):
+    register("top_pages" + _sfx, _top_pages_sql(_period))(
+        lambda spark, d, p=_period: P.top_pages(T(spark, d).page_views, p, T(spark, d).as_of))
+    register("top_pages_bounce" + _sfx, _bounce_sql(_period))(
+        lambda spark, d, p=_period: P.top_pages_bounce(
+            T(spark, d).page_views, T(spark, d).sessions, p, T(spark, d).as_of))
+    register("entry_pages" + _sfx, _boundary_sql(_period, "min", "entries"))(
+        lambda spark, d, p=_period: P.entry_pages(T(spark, d).page_views, p, T(spark, d).as_of))
+    register("exit_pages" + _sfx, _boundary_sql(_period, "max", "exits"))(
+        lambda spark, d, p=_period: P.exit_pages(T(spark, d).page_views, p, T(spark, d).as_of))
+
+# --- acquisition ------------------------------------------------------------------------------
+
+# SQLite's LIKE ignores ASCII case; DuckDB's ILIKE is the equivalent.
+_SOURCE_SQL = """CASE
+  WHEN referrer_domain IS NULL OR referrer_domain = '' THEN 'Direct'
+  WHEN referrer_domain ILIKE '%google%' THEN 'Google'
+  WHEN referrer_domain ILIKE '%bing%' THEN 'Bing'
+  WHEN referrer_domain ILIKE '%yahoo%' THEN 'Yahoo'
+  WHEN referrer_domain ILIKE '%facebook%' THEN 'Facebook'
+  WHEN referrer_domain ILIKE '%twitter%' OR referrer_domain ILIKE '%x.com%' THEN 'Twitter/X'
+  WHEN referrer_domain ILIKE '%linkedin%' THEN 'LinkedIn'
+  WHEN referrer_domain ILIKE '%instagram%' THEN 'Instagram'
+  ELSE referrer_domain END"""
+
+for _sfx, _period in (("", "24h"), ("_30d", "30d"), ("_all", "all")):
+    register("referrers" + _sfx, oracle(f"""
+SELECT {_SOURCE_SQL} AS source, count(*) AS sessions, count(DISTINCT visitor_id) AS visitors
+FROM sessions WHERE {period_sql('started_at', _period)}
+GROUP BY source ORDER BY sessions DESC, source ASC NULLS FIRST LIMIT 15""", "sessions", "params"))(
+        lambda spark, d, p=_period: A.referrers(T(spark, d).sessions, p, T(spark, d).as_of))
+    for _name, _col, _out in (("utm_sources", "utm_source", "source"),
+                              ("utm_mediums", "utm_medium", "medium")):
+        register(_name + _sfx, oracle(f"""
+SELECT COALESCE({_col}, 'none') AS {_out}, count(*) AS sessions
+FROM sessions WHERE {period_sql('started_at', _period)}
+GROUP BY {_out} ORDER BY sessions DESC, {_out} ASC NULLS FIRST LIMIT 10""", "sessions", "params"))(
+            lambda spark, d, p=_period, fn=getattr(A, _name): fn(T(spark, d).sessions, p,
+                                                                  T(spark, d).as_of))
+
+# --- audience breakdowns ----------------------------------------------------------------------
+
+
+def _breakdown_sql(keys: dict, not_null: list, n, extra: dict | None = None) -> str:
+    sel = ", ".join(f"{expr} AS {k}" for k, expr in keys.items())
+    aggs = ", ".join(["count(DISTINCT visitor_id) AS visitors"]
+                     + [f"{e} AS {k}" for k, e in (extra or {}).items()])
+    where = " AND ".join(f"{c} IS NOT NULL" for c in not_null)
+    group = ", ".join(keys)
+    tail = ""
+    if n is not None:
+        order = ", ".join(["visitors DESC"] + [f"{k} ASC NULLS FIRST" for k in keys])
+        tail = f" ORDER BY {order} LIMIT {n}"
+    return oracle(f"SELECT {sel}, {aggs} FROM visitor_details WHERE {where} GROUP BY {group}{tail}",
+                  "visitor_details")
+
+
+def _k(*names):
+    return {n: n for n in names}
+
+
+BREAKDOWNS = {
+    "top_countries_basic": (A.top_countries_basic, _k("country"), ["country"], 10, None),
+    "top_countries": (A.top_countries, _k("country", "country_code"), ["country"], 20,
+                      {"cities": "count(DISTINCT city)"}),
+    "top_cities": (A.top_cities, _k("city", "country"), ["city"], 20, None),
+    "top_browsers": (A.top_browsers, _k("browser"), ["browser"], 10, None),
+    "browser_versions": (A.browser_versions, _k("browser", "browser_version"),
+                         ["browser", "browser_version"], 15, None),
+    "device_types": (A.device_types, _k("device_type"), ["device_type"], None, None),
+    "device_brands": (A.device_brands, _k("device_brand"), ["device_brand"], 10, None),
+    "device_models": (A.device_models, _k("device_brand", "device_model"), ["device_model"], 15,
+                      None),
+    "os_versions": (A.os_versions, _k("os", "os_version"), ["os", "os_version"], 15, None),
+    "screen_resolutions": (
+        A.screen_resolutions,
+        {"resolution": "CAST(screen_width AS VARCHAR) || 'x' || CAST(screen_height AS VARCHAR)"},
+        ["screen_width", "screen_height"], 15, None),
+    "languages": (A.languages, _k("language"), ["language"], 15, None),
+}
+
+for _name, (_fn, _keys, _nn, _n, _extra) in BREAKDOWNS.items():
+    register(_name, _breakdown_sql(_keys, _nn, _n, _extra))(
+        lambda spark, d, fn=_fn: fn(T(spark, d).visitor_details))
+
+# --- visitor-level reports --------------------------------------------------------------------
+
+_FEED_SQL = f"""
+SELECT v.visitor_id, vd.country, vd.city, vd.browser, vd.device_type, p.page_path, p.viewed_at
+FROM page_views p
+JOIN visitors v ON p.visitor_id = v.visitor_id
+LEFT JOIN visitor_details vd ON v.visitor_id = vd.visitor_id
+WHERE {after_sql('p.viewed_at', '5 MINUTE')}
+ORDER BY p.viewed_at DESC, p.id ASC, vd.id ASC NULLS FIRST
+LIMIT 50"""
+_FEED_NEEDS = ("page_views", "visitors", "visitor_details", "params")
+
+
+@register("realtime_feed", oracle(_FEED_SQL, *_FEED_NEEDS))
+def _feed(spark, d):
+    t = T(spark, d)
+    return PE.realtime_feed(t.page_views, t.visitors, t.visitor_details, t.as_of)
+
+
+@register("realtime_count", oracle(f"SELECT count(*) AS count FROM ({_FEED_SQL}) f", *_FEED_NEEDS))
+def _feed_count(spark, d):
+    return PE.realtime_count(_feed(spark, d))
+
+
+_LATEST_SQL = """SELECT * EXCLUDE (rn) FROM (
+  SELECT *, row_number() OVER (PARTITION BY visitor_id ORDER BY updated_at DESC NULLS LAST,
+                                                               id DESC NULLS LAST) AS rn
+  FROM visitor_details) WHERE rn = 1"""
+
+
+@register("realtime_feed_latest", oracle(f"""
+SELECT v.visitor_id, vd.country, vd.city, vd.browser, vd.device_type, p.page_path, p.viewed_at
+FROM page_views p
+JOIN visitors v ON p.visitor_id = v.visitor_id
+LEFT JOIN latest vd ON v.visitor_id = vd.visitor_id
+WHERE {after_sql('p.viewed_at', '5 MINUTE')}
+ORDER BY p.viewed_at DESC, p.id ASC LIMIT 50""", *_FEED_NEEDS, extra={"latest": _LATEST_SQL}))
+def _feed_latest(spark, d):
+    t = T(spark, d)
+    return PE.realtime_feed(t.page_views, t.visitors, t.visitor_details, t.as_of, latest=True)
+
+
+@register("latest_details", oracle(
+    "SELECT visitor_id, country, city, browser, device_type, os FROM latest",
+    "visitor_details", extra={"latest": _LATEST_SQL}))
+def _latest(spark, d):
+    return PE.latest_details(T(spark, d).visitor_details,
+                             ["country", "city", "browser", "device_type", "os"])
+
+
+def _recent_sql(limit: int | None, dedupe: bool = False) -> str:
+    total = "SUM(s.page_views)"
+    body = f"""
+SELECT a.visitor_id, a.ip_address, a.last_seen, l.country, l.city, l.browser, l.device_type,
+ l.os, a.session_count, a.total_page_views
+FROM (
+  SELECT v.visitor_id, v.ip_address, v.last_seen, count(DISTINCT s.id) AS session_count,
+   CAST({total} AS BIGINT) AS total_page_views
+  FROM visitors v
+  LEFT JOIN {'(SELECT DISTINCT visitor_id FROM visitor_details)' if dedupe else 'visitor_details'} vd
+    ON v.visitor_id = vd.visitor_id
+  LEFT JOIN sessions s ON v.visitor_id = s.visitor_id
+  GROUP BY v.visitor_id, v.ip_address, v.last_seen
+) a LEFT JOIN latest l ON a.visitor_id = l.visitor_id
+ORDER BY a.last_seen DESC NULLS LAST, a.visitor_id ASC"""
+    if limit is not None:
+        body += f" LIMIT {limit}"
+    return oracle(body, "visitors", "visitor_details", "sessions", extra={"latest": _LATEST_SQL})
+
+
+for _sfx, _limit, _n, _dd in (("", None, 50, False), ("_all", "-1", None, False),
+                               ("_12abc", "12abc", 12, False), ("_dedupe", None, 50, True)):
+    register("recent_visitors" + _sfx, _recent_sql(_n, _dd))(
+        lambda spark, d, lim=_limit, dd=_dd: PE.recent_visitors(
+            T(spark, d).visitors, T(spark, d).visitor_details, T(spark, d).sessions,
+            limit=lim, dedupe=dd))
