@@ -31,10 +31,22 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# A scheme prefix, and the schemes whose URLs must carry a host.
+SCHEME_RE = r"^[a-z][a-z0-9+.-]*:"
+HOST_REQUIRED_RE = r"^(?:https?|ftp|wss?):"
+
+
 def referrer_domain(referrer) -> Column:
-    """Lower-cased host of the referrer URL; NULL when blank or not an absolute URL."""
+    """The referrer URL's lower-cased host, as a URL parser reports it.
+
+    Blank or unparsable (no scheme, or a web scheme without a valid host) → NULL; a URL of
+    another scheme without an authority (``about:blank``, ``mailto:...``) has an empty host.
+    """
     r = F.lower(F.trim(_c(referrer)))
-    return F.nullif(F.regexp_extract(r, HOST_RE, 1), F.lit(""))
+    host = F.regexp_extract(r, HOST_RE, 1)
+    return (F.when(host != "", host)
+            .when(r.rlike(SCHEME_RE) & ~r.rlike(HOST_REQUIRED_RE) & ~r.contains("//"), F.lit(""))
+            .otherwise(F.lit(None)))
 
 
 def referrer_source(domain) -> Column:
