@@ -52,6 +52,7 @@ def normalize_hits(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
         zero_to_null("screen.width").alias("screen_width"),
         zero_to_null("screen.height").alias("screen_height"),
         client_ip("ip", "forwarded_for", "remote_addr").alias("ip"),
+        *[c for c in ("event_time",) if c in raw.columns],  # streaming event time, if any
     )
     rejected = h.where(F.col("reject_reason").isNotNull()).select(
         "hit_id", "received_at", "reject_reason")

@@ -69,3 +69,4 @@ from . import catalog_metrics  # noqa: E402,F401  (registers on import)
 from . import catalog_reports  # noqa: E402,F401
 from . import catalog_ingest  # noqa: E402,F401
 from . import catalog_bundles  # noqa: E402,F401
+from . import catalog_streaming  # noqa: E402,F401

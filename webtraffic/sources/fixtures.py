@@ -48,7 +48,11 @@ LANGUAGE_BY_MOD6 = {0: "en-US", 1: "fr-FR", 2: "de-DE", 3: "es-ES", 4: "ja-JP"}
 
 
 def fixture_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = read_table(spark, sf_dir, "events")
+    return hits_from_events(read_table(spark, sf_dir, "events"))
+
+
+def hits_from_events(ev: DataFrame) -> DataFrame:
+    """Stateless row mapping (FIXTURES.md ``hits``); also applies to a streaming read."""
     uid = F.col("user_id").cast("string")
     return ev.select(
         F.col("event_id").alias("hit_id"),

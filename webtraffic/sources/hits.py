@@ -96,7 +96,11 @@ def _pick(values, idx):
 
 
 def fixture_raw_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = read_table(spark, sf_dir, "events")
+    return raw_hits_from_events(read_table(spark, sf_dir, "events"))
+
+
+def raw_hits_from_events(ev: DataFrame) -> DataFrame:
+    """Stateless row mapping, so it applies to a streaming ``events`` read as well."""
     u, i, et = F.col("user_id"), F.col("event_id"), F.col("event_type")
     us = u.cast("string")
     is_err = et == "error"
