@@ -16,6 +16,7 @@ from ..functions.useragent import parse_user_agent
 from ..schema import EVENTS, PAGE_VIEWS, SESSIONS, VISITOR_DETAILS, VISITORS, conform
 from ..sources.tables import Tables
 from .geo import with_geo
+from .partitioning import spread
 
 PAGEVIEW = "pageview"
 # The collector's rejection messages.
@@ -102,7 +103,7 @@ def derive_visitor_details(valid: DataFrame, geo_ranges: DataFrame | None = None
     collector. A hit without any client address gets no row (the collector's lookup failed on
     it and skipped the insert).
     """
-    h = valid.where(F.col("ip").isNotNull())
+    h = spread(valid.where(F.col("ip").isNotNull()))
     if geo_ranges is not None:
         h = with_geo(h, geo_ranges, "ip", broadcast=broadcast_geo)
     else:

@@ -1,0 +1,21 @@
+"""Partitioning helpers."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin a narrow input across the cluster before CPU-heavy row work.
+
+    A scan yields one task per file split; a small or unsplittable input (one Parquet row
+    group, one gzip file) would leave the per-row regex work of enrichment on one core. When
+    the input already has at least ``min_partitions`` (default: the cluster's parallelism),
+    as any large input does, the plan is left unchanged and no shuffle is added.
+    """
+    if df.isStreaming:
+        return df
+    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(want)

@@ -5,8 +5,12 @@ from __future__ import annotations
 
 import threading
 
+from pyspark.sql import functions as F
+
 from ..operators import audience as A
 from ..operators import ingest as I
+from ..operators.partitioning import spread
+from ..session import scratch_path
 from ..sources.hits import (GEO_RANGES_SQL, RAW_HITS_SQL, REFERRERS, UA_EXPECTED_SQL,
                             USER_AGENTS, fixture_geo_ranges, fixture_raw_hits)
 from ..sources.tables import Tables
@@ -16,11 +20,25 @@ _CACHE: dict = {}
 _LOCK = threading.Lock()
 
 
+def raw_hits(spark, sf_dir):
+    """The fixture hit log, written once per application as date-partitioned Parquet under
+    the shared checkpoint folder (the way collected hits land in storage), then read back."""
+    key = ("raw", spark.sparkContext.applicationId, sf_dir)
+    with _LOCK:
+        if key not in _CACHE:
+            out = scratch_path(spark, "hits")
+            (spread(fixture_raw_hits(spark, sf_dir))
+             .withColumn("dt", F.to_date("received_at"))
+             .write.partitionBy("dt").parquet(out))
+            _CACHE[key] = spark.read.parquet(out).drop("dt")
+        return _CACHE[key]
+
+
 def ingested(spark, sf_dir) -> tuple[Tables, object]:
     key = (spark.sparkContext.applicationId, sf_dir)
+    raw = raw_hits(spark, sf_dir)
     with _LOCK:
         if key not in _CACHE:
-            raw = fixture_raw_hits(spark, sf_dir)
             _CACHE[key] = I.ingest(raw, fixture_geo_ranges(spark, sf_dir))
         return _CACHE[key]
 
@@ -99,7 +117,7 @@ SELECT hit_id, received_at,
       ELSE 'sessionId is required' END AS reject_reason
 FROM raw WHERE COALESCE(visitorId, '') = '' OR COALESCE(sessionId, '') = ''"""))
 def _rejected(spark, d):
-    return I.normalize_hits(fixture_raw_hits(spark, d))[1]
+    return ingested(spark, d)[1]
 
 
 @register("ingest_visitors", ingest_sql("""

@@ -135,7 +135,7 @@ def _as_list(name: str, df: DataFrame) -> DataFrame:
     if order is None:
         measure = [c for c in df.columns if c in ("views", "entries", "exits", "sessions",
                                                   "visitors")][0]
-        keys = [c for c in df.columns if df.schema[c].dataType.simpleString() == "string"]
+        keys = [c for c, t in df.dtypes if t == "string"]
         order = [(measure, True)] + [(k, False) for k in keys]
     sort_keys = []
     for i, (c, desc) in enumerate(order):
@@ -144,19 +144,27 @@ def _as_list(name: str, df: DataFrame) -> DataFrame:
             k = -k.cast("double")
         sort_keys.append(k.alias(f"_k{i}"))
     row = F.struct(*sort_keys, F.struct(*df.columns).alias("_v"))
-    return df.agg(F.transform(F.sort_array(F.collect_list(row)), lambda x: x["_v"]).alias(name))
+    # Sorting the collected structs orders by the keys first; ``arr._v`` keeps the payloads.
+    return df.agg(F.sort_array(F.collect_list(row)).getField("_v").alias(name))
 
 
 def report_json(bundle: dict[str, DataFrame], keys: list[str] = ENHANCED_KEYS) -> DataFrame:
-    """Q39: the whole report as a one-row ``json`` string with the service's key names."""
-    pieces = []
+    """Q39: the whole report as a one-row ``json`` string with the service's key names.
+
+    Every piece enters as a scalar subquery (one row, one value), so the pieces plan
+    independently and Spark runs them concurrently; the outer query only assembles the row.
+    """
+    spark = next(iter(bundle.values())).sparkSession
+    values = {}
     totals = bundle["totals"]
-    pieces.append(totals.select(*[F.col(c).alias(SCALAR_KEYS[c]) for c in totals.columns]))
+    kpi = totals.select(F.struct(*totals.columns).alias("k")).scalar()
+    for c in totals.columns:
+        values[SCALAR_KEYS[c]] = kpi.getField(c)
     for name, df in bundle.items():
         if name != "totals":
-            pieces.append(_as_list(name, df))
-    folded = _fold(pieces, [k for k in keys if any(k in p.columns for p in pieces)])
-    return folded.select(F.to_json(F.struct(*folded.columns)).alias("json"))
+            values[name] = _as_list(name, df).scalar()
+    doc = F.struct(*[values[k].alias(k) for k in keys if k in values])
+    return spark.range(1).select(F.to_json(doc).alias("json"))
 
 
 def write_report(bundle: dict[str, DataFrame], out_dir: str, keys: list[str] = ENHANCED_KEYS,
