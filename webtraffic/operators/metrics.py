@@ -197,7 +197,10 @@ def kpi_row(sessions, page_views, period=DEFAULT_PERIOD, as_of=None, start=None,
 
     v_in = time_filter("viewed_at", period, start, end, as_of)
     live = after("viewed_at", as_of, LIVE_WINDOW)
-    pv_scan = page_views.where(v_in | live)
+    pc = pcol(page_views)
+    # Scan only what either measure needs; with a dt partition the OR also prunes dates.
+    pv_scan = page_views.where(time_filter("viewed_at", period, start, end, as_of, pc)
+                               | after("viewed_at", as_of, LIVE_WINDOW, pc))
     prow = pv_scan.agg(F.count_if(v_in).alias("total_page_views"),
                        F.count_distinct(F.when(live, c("session_id"))).alias("active_sessions"))
 

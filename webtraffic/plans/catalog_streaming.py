@@ -59,7 +59,9 @@ SELECT hit_id AS id, session_id, visitor_id, page_path, page_title, received_at
 FROM valid WHERE type = 'pageview'"""))
 def _stream_page_views(spark, d):
     out, ck = scratch_path(spark, "stream", "append"), scratch_path(spark, "stream", "ck")
-    for q in L.stream_append(_valid_stream(spark, d), out, ck, fixture_geo_ranges(spark, d)):
+    # The events file is a single split, so each micro-batch is spread over the cores.
+    for q in L.stream_append(_valid_stream(spark, d), out, ck, fixture_geo_ranges(spark, d),
+                             spread_partitions=spark.sparkContext.defaultParallelism):
         _run(q)
     return spark.read.parquet(f"{out}/page_views").select(*PAGE_VIEWS.fieldNames())
 

@@ -99,12 +99,18 @@ def read_latest(spark: SparkSession, out_dir: str, key: str, schema=None) -> Dat
 
 
 def stream_append(valid: DataFrame, out_dir: str, checkpoint: str, geo_ranges=None,
-                  trigger: dict | None = None) -> list[StreamingQuery]:
+                  trigger: dict | None = None,
+                  spread_partitions: int | None = None) -> list[StreamingQuery]:
     """Append page views and visitor details as they arrive (stateless; the geo ranges
-    join is a stream-static join against a broadcast, size-checked range table)."""
+    join is a stream-static join against a broadcast, size-checked range table).
+
+    ``spread_partitions`` round-robins each micro-batch before the per-row enrichment, for a
+    source whose batches arrive in fewer splits than there are cores (a source with many
+    partitions, such as a partitioned topic, needs no extra shuffle)."""
     trig = trigger or {"availableNow": True}
     pv = derive_page_views(valid).withColumn("dt", F.to_date("viewed_at"))
-    det = derive_visitor_details(valid, geo_ranges).withColumn("dt", F.to_date("updated_at"))
+    enrich_in = valid.repartition(spread_partitions) if spread_partitions else valid
+    det = derive_visitor_details(enrich_in, geo_ranges).withColumn("dt", F.to_date("updated_at"))
     out = []
     for name, df in (("page_views", pv), ("visitor_details", det)):
         out.append(df.writeStream.format("parquet").outputMode("append")
