@@ -89,15 +89,21 @@ def basic_stats(t: Tables, period=DEFAULT_PERIOD, as_of=None) -> dict[str, DataF
 
 
 def enhanced_stats(t: Tables, period=DEFAULT_PERIOD, start=None, end=None, as_of=None,
-                   reduce_details: bool = True) -> dict[str, DataFrame]:
-    """Q37: the enhanced report as named DataFrames (``totals`` is the Q38 KPI row)."""
+                   reduce_details: bool = True, fuse_audience: bool = True) -> dict[str, DataFrame]:
+    """Q37: the enhanced report as named DataFrames (``totals`` is the Q38 KPI row).
+
+    With ``fuse_audience`` the bundle also holds ``_lists``: every top-k audience breakdown
+    from one pass over the detail table (:func:`breakdown_lists`). The JSON document takes
+    those lists from it; the separate pieces stay for callers that want one breakdown.
+    """
     as_of = as_of or t.as_of
     s, pv = t.sessions, t.page_views
-    d = t.visitor_details
+    raw = d = t.visitor_details
     if reduce_details:
         d = d.select(*DETAIL_DIMENSIONS).distinct()
     kw = dict(period=period, as_of=as_of, start=start, end=end)
-    return {
+    extra = {"_lists": A.breakdown_lists(raw)} if fuse_audience else {}
+    return extra | {
         "totals": M.kpi_row(s, pv, **kw),
         "hourlyTrends": M.hourly_trends(s, as_of),
         "dailyTrends": M.daily_trends(s, pv, as_of),
@@ -155,16 +161,21 @@ def report_json(bundle: dict[str, DataFrame], keys: list[str] = ENHANCED_KEYS) -
     independently and Spark runs them concurrently; the outer query only assembles the row.
     """
     spark = next(iter(bundle.values())).sparkSession
-    values = {}
-    totals = bundle["totals"]
-    kpi = totals.select(F.struct(*totals.columns).alias("k")).scalar()
-    for c in totals.columns:
-        values[SCALAR_KEYS[c]] = kpi.getField(c)
+    inner, outer = [], {}
+    # One-row pieces (``totals``: scalars, ``_lists``: ready-made ordered lists) enter as one
+    # struct each and are unpacked one level up, so each subquery appears in the plan once.
+    for name, rename in (("totals", SCALAR_KEYS), ("_lists", {})):
+        if name in bundle:
+            row = bundle[name]
+            inner.append(row.select(F.struct(*row.columns).alias("k")).scalar().alias(name))
+            for c in row.columns:
+                outer[rename.get(c, c)] = F.col(name).getField(c)
     for name, df in bundle.items():
-        if name != "totals":
-            values[name] = _as_list(name, df).scalar()
-    doc = F.struct(*[values[k].alias(k) for k in keys if k in values])
-    return spark.range(1).select(F.to_json(doc).alias("json"))
+        if name not in outer and name not in ("totals", "_lists") and name in keys:
+            inner.append(_as_list(name, df).scalar().alias(name))
+            outer[name] = F.col(name)
+    doc = F.struct(*[outer[k].alias(k) for k in keys if k in outer])
+    return spark.range(1).select(*inner).select(F.to_json(doc).alias("json"))
 
 
 def write_report(bundle: dict[str, DataFrame], out_dir: str, keys: list[str] = ENHANCED_KEYS,
@@ -172,4 +183,5 @@ def write_report(bundle: dict[str, DataFrame], out_dir: str, keys: list[str] = E
     """The JSON document as a text file, and each piece as Parquet beside it."""
     report_json(bundle, keys).coalesce(1).write.mode(mode).text(f"{out_dir}/report.json")
     for name, df in bundle.items():
-        df.write.mode(mode).parquet(f"{out_dir}/{name}")
+        if not name.startswith("_"):
+            df.write.mode(mode).parquet(f"{out_dir}/{name}")

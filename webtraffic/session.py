@@ -16,6 +16,9 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    # Call-site capture for error messages costs several driver round trips per Column call;
+    # plans built from many expressions are assembled much faster without it.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
