@@ -16,6 +16,11 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    # Streaming state (visitor/session get-or-create aggregates have no time key) lives in
+    # RocksDB off the JVM heap; changelog checkpointing commits only each batch's changes.
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     # Call-site capture for error messages costs several driver round trips per Column call;
     # plans built from many expressions are assembled much faster without it.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
