@@ -55,3 +55,19 @@ def test_enhanced_document_same_with_and_without_fusion(spark):
         doc = json.loads(fused)
         assert list(doc) == R.ENHANCED_KEYS
         assert len(doc["topCountries"]) <= 20 and "cities" in doc["topCountries"][0]
+
+
+def test_fused_acquisition_matches_separate_queries(spark):
+    rnd = random.Random(11)
+    rows = [(i, rnd.choice([None, "v1", "v2", "v3", "v4"]), f"s{i}", None, None, 1,
+             rnd.choice([None, "", "google.com", "t.co", "netflix.com", "a.org", "b.org"]),
+             rnd.choice([None, "", "news", "ads"]), rnd.choice([None, "cpc", "mail"]))
+            for i in range(300)]
+    s = spark.createDataFrame(rows, "id long, visitor_id string, session_id string, "
+                                    "started_at timestamp_ntz, duration long, page_views long, "
+                                    "referrer_domain string, utm_source string, utm_medium string")
+    got = A.acquisition_lists(s, "all").first().asDict(recursive=True)
+    exp = {name: [r.asDict(recursive=True) for r in R._as_list(name, fn(s, "all")).first()[0]]
+           for name, fn in (("referrers", A.referrers), ("utmSources", A.utm_sources),
+                            ("utmMediums", A.utm_mediums))}
+    assert got == exp

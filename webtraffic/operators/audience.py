@@ -250,3 +250,60 @@ def breakdown_lists(details: DataFrame, specs: dict | None = None) -> DataFrame:
                        F.struct(*out).alias("_v"))
         lists.append(F.sort_array(F.collect_list(F.when(b == i, row))).getField("_v").alias(name))
     return ranked.agg(*lists)
+
+
+# The enhanced report's acquisition lists: name -> (shown key, limit, with distinct visitors).
+ACQUISITION_LISTS = {
+    "referrers": ("source", 15, True),
+    "utmSources": ("source", 10, False),
+    "utmMediums": ("medium", 10, False),
+}
+
+
+def acquisition_lists(sessions: DataFrame, period=DEFAULT_PERIOD, as_of=None, start=None,
+                      end=None) -> DataFrame:
+    """Q18-Q20 in one pass: a one-row frame with the ``referrers``, ``utmSources`` and
+    ``utmMediums`` lists, each ordered by sessions descending, then key.
+
+    Equal to gathering :func:`referrers`, :func:`utm_sources` and :func:`utm_mediums`; the
+    period's sessions are read once, a grouping-sets aggregate counts sessions per (referrer
+    bucket, visitor) and per UTM value, a second aggregate folds visitors, and a window group
+    limit cuts each list before the final gather.
+    """
+    s = _sessions_in(sessions, period, start, end, as_of).select(
+        referrer_source(F.col("referrer_domain")).alias("_ref"),
+        F.coalesce(F.col("utm_source"), F.lit("none")).alias("_src"),
+        F.coalesce(F.col("utm_medium"), F.lit("none")).alias("_med"),
+        "visitor_id")
+    cols = ["_ref", "_src", "_med", "visitor_id"]
+    sets = [["_ref", "visitor_id"], ["_src"], ["_med"]]
+
+    def gid(member):
+        return sum(1 << (len(cols) - 1 - i) for i, c in enumerate(cols) if c not in member)
+
+    g, b = F.col("_g"), F.col("_b")
+    bid = F.when(g == gid(sets[0]), 0).when(g == gid(sets[1]), 1).otherwise(2)
+    key = F.when(b == 0, F.col("_ref")).when(b == 1, F.col("_src")).otherwise(F.col("_med"))
+    level1 = (s.groupingSets(sets, *cols)
+              .agg(F.grouping_id().alias("_g"), F.count(F.lit(1)).alias("_n")))
+    level2 = (level1.select(bid.alias("_b"), "visitor_id", "_n", *cols[:3])
+              .select("_b", key.alias("_key"), "visitor_id", "_n")
+              .groupBy("_b", "_key")
+              .agg(F.sum("_n").alias("sessions"), F.count("visitor_id").alias("visitors")))
+    names = list(ACQUISITION_LISTS)
+    limit = F.when(b == 0, ACQUISITION_LISTS[names[0]][1]).when(
+        b == 1, ACQUISITION_LISTS[names[1]][1]).otherwise(ACQUISITION_LISTS[names[2]][1])
+    cap = max(n for _, n, _ in ACQUISITION_LISTS.values())
+    w = Window.partitionBy("_b").orderBy(F.desc("sessions"), F.asc_nulls_first("_key"))
+    ranked = (level2.withColumn("_rk", F.row_number().over(w))
+              .where((F.col("_rk") <= cap) & (F.col("_rk") <= limit)))
+    lists = []
+    for i, name in enumerate(names):
+        shown, _, with_visitors = ACQUISITION_LISTS[name]
+        out = [F.col("_key").alias(shown), F.col("sessions")]
+        if with_visitors:
+            out.append(F.col("visitors"))
+        row = F.struct((-F.col("sessions").cast("double")).alias("_k0"), F.col("_key").alias("_k1"),
+                       F.struct(*out).alias("_v"))
+        lists.append(F.sort_array(F.collect_list(F.when(b == i, row))).getField("_v").alias(name))
+    return ranked.agg(*lists)

@@ -92,9 +92,10 @@ def enhanced_stats(t: Tables, period=DEFAULT_PERIOD, start=None, end=None, as_of
                    reduce_details: bool = True, fuse_audience: bool = True) -> dict[str, DataFrame]:
     """Q37: the enhanced report as named DataFrames (``totals`` is the Q38 KPI row).
 
-    With ``fuse_audience`` the bundle also holds ``_lists``: every top-k audience breakdown
-    from one pass over the detail table (:func:`breakdown_lists`). The JSON document takes
-    those lists from it; the separate pieces stay for callers that want one breakdown.
+    With ``fuse_audience`` the bundle also holds ``_lists`` (every top-k audience breakdown
+    from one pass over the detail table, :func:`breakdown_lists`) and ``_acquisition`` (the
+    three acquisition lists from one pass over the period's sessions). The JSON document
+    takes those lists from them; the separate pieces stay for callers that want one list.
     """
     as_of = as_of or t.as_of
     s, pv = t.sessions, t.page_views
@@ -102,7 +103,9 @@ def enhanced_stats(t: Tables, period=DEFAULT_PERIOD, start=None, end=None, as_of
     if reduce_details:
         d = d.select(*DETAIL_DIMENSIONS).distinct()
     kw = dict(period=period, as_of=as_of, start=start, end=end)
-    extra = {"_lists": A.breakdown_lists(raw)} if fuse_audience else {}
+    extra = {}
+    if fuse_audience:
+        extra = {"_lists": A.breakdown_lists(raw), "_acquisition": A.acquisition_lists(s, **kw)}
     return extra | {
         "totals": M.kpi_row(s, pv, **kw),
         "hourlyTrends": M.hourly_trends(s, as_of),
@@ -162,16 +165,17 @@ def report_json(bundle: dict[str, DataFrame], keys: list[str] = ENHANCED_KEYS) -
     """
     spark = next(iter(bundle.values())).sparkSession
     inner, outer = [], {}
-    # One-row pieces (``totals``: scalars, ``_lists``: ready-made ordered lists) enter as one
+    # One-row pieces (``totals``: scalars; ``_…``: ready-made ordered lists) enter as one
     # struct each and are unpacked one level up, so each subquery appears in the plan once.
-    for name, rename in (("totals", SCALAR_KEYS), ("_lists", {})):
-        if name in bundle:
-            row = bundle[name]
-            inner.append(row.select(F.struct(*row.columns).alias("k")).scalar().alias(name))
-            for c in row.columns:
-                outer[rename.get(c, c)] = F.col(name).getField(c)
+    packed = [n for n in bundle if n == "totals" or n.startswith("_")]
+    for name in packed:
+        rename = SCALAR_KEYS if name == "totals" else {}
+        row = bundle[name]
+        inner.append(row.select(F.struct(*row.columns).alias("k")).scalar().alias(name))
+        for c in row.columns:
+            outer[rename.get(c, c)] = F.col(name).getField(c)
     for name, df in bundle.items():
-        if name not in outer and name not in ("totals", "_lists") and name in keys:
+        if name not in outer and name not in packed and name in keys:
             inner.append(_as_list(name, df).scalar().alias(name))
             outer[name] = F.col(name)
     doc = F.struct(*[outer[k].alias(k) for k in keys if k in outer])
