@@ -96,10 +96,13 @@ def test_returning_visitor_with_earlier_session_outside_period(spark):
     assert r["bounce_rate"] == pytest.approx(75.0)
 
 
-def test_return_visitors_equals_exists(spark):
-    """Rewrite equivalence on a random table with ties and NULLs: min-window form vs EXISTS."""
+@pytest.mark.parametrize("max_rows", [1_000_000, 0])  # broadcast and shuffled history check
+def test_return_visitors_equals_exists(spark, monkeypatch, max_rows):
+    """Rewrite equivalence on a random table with ties and NULLs: per-visitor form vs EXISTS."""
     import random
 
+    monkeypatch.setattr(M, "EARLIER_BROADCAST_MAX_ROWS", max_rows)
+
     rnd = random.Random(7)
     rows = []
     for i in range(400):
@@ -109,17 +112,21 @@ def test_return_visitors_equals_exists(spark):
         rows.append((i, v, f"s{i}", t, None, 1, None, None, None))
     s = sessions_df(spark, rows)
     s.createOrReplaceTempView("s_rand")
-    for period in ("24h", "7d", "all"):
-        pred = period_filter("started_at", period, AS_OF)
+    for period in ("24h", "7d", "all", ("2024-01-25", "2024-01-28 12:00:00")):
+        start, end = period if isinstance(period, tuple) else (None, None)
+        pred = time_filter("started_at", period, start, end, AS_OF)
         ref = (spark.table("s_rand").alias("s1").where(pred)
                .join(spark.table("s_rand").alias("s2"),
                      (F.col("s1.visitor_id") == F.col("s2.visitor_id"))
                      & (F.col("s2.started_at") < F.col("s1.started_at")), "left_semi")
                .agg(F.count_distinct("visitor_id").alias("n")))
-        assert one(M.return_visitors(s, period, AS_OF))["return_visitors"] == one(ref)["n"]
-        kpi = one(M.kpi_row(s, pv_df(spark, []), period, AS_OF))
-        assert kpi["return_visitors"] == one(ref)["n"]
-        assert kpi["total_visitors"] == one(M.total_visitors(s, period, AS_OF))["total_visitors"]
+        n = one(ref)["n"]
+        assert one(M.return_visitors(s, period, AS_OF, start, end))["return_visitors"] == n
+        kpi = one(M.kpi_row(s, pv_df(spark, []), period, AS_OF, start, end))
+        assert kpi["return_visitors"] == n
+        total = one(M.total_visitors(s, period, AS_OF, start, end))["total_visitors"]
+        assert kpi["total_visitors"] == total
+        assert one(M.new_visitors(s, period, AS_OF, start, end))["new_visitors"] == total - n
 
 
 def test_daily_trends_dates_and_zero(spark):

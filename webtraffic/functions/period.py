@@ -121,3 +121,26 @@ def day_start(as_of, window: timedelta) -> datetime:
 def pcol(df, enabled: bool = True) -> str | None:
     """The date-partition column of a table written by ``write_tables``, if it has one."""
     return "dt" if enabled and "dt" in df.columns else None
+
+
+def before_period(col, period: str | None = DEFAULT_PERIOD, start=None, end=None, as_of=None,
+                  partition_col: str | None = None) -> Column | None:
+    """Rows strictly earlier than every row :func:`time_filter` keeps (non-NULL ``col`` below
+    its lower bound), or ``None`` when the period has no lower bound or keeps no rows."""
+    if start and end:
+        s, e = to_datetime(start), to_datetime(end)
+        if s is None or e is None:
+            return None
+        lo = _whole_second(s)
+    else:
+        p = period or DEFAULT_PERIOD
+        if p not in PERIODS:
+            return None
+        a = to_datetime(as_of)
+        if a is None:
+            raise ValueError(f"as_of is not a date-time: {as_of!r}")
+        lo = _whole_second(a) - PERIODS[p] + timedelta(seconds=1)
+    pred = _col(col) < ts_lit(lo)
+    if partition_col:
+        pred = pred & (F.col(partition_col) <= F.lit(lo.date()))
+    return pred

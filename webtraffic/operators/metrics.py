@@ -6,11 +6,11 @@ the enhanced report's rule (:func:`time_filter`); ``as_of`` stands for SQLite's
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.period import (DAILY_WINDOW, DEFAULT_PERIOD, HOURLY_WINDOW, LIVE_WINDOW, after,
-                                day_start, on_day, pcol, time_filter, ts_lit)
+                                before_period, day_start, on_day, pcol, time_filter, ts_lit)
 
 HUNDRED = 100.0  # a double: the SQL literal 100.0 would be a decimal in Spark
 
@@ -76,36 +76,67 @@ def avg_pages_per_session(sessions, period=DEFAULT_PERIOD, as_of=None, start=Non
         _mean(F.sum("page_views"), F.count("page_views")).alias("avg_pages_per_session"))
 
 
-def _per_visitor(sessions: DataFrame, in_period) -> DataFrame:
-    """One row per visitor: its earliest session overall and latest session in the period.
+# Above this many in-period visitors, the check for earlier sessions shuffles the history
+# (after a map-side distinct) instead of broadcasting the visitors into the history scan.
+EARLIER_BROADCAST_MAX_ROWS = 1_000_000
 
-    A visitor is returning iff some in-period session has an earlier session of the same
-    visitor (EXISTS ... s2.started_at < s1.started_at), i.e. iff the latest in-period start is
-    after the earliest start overall. This replaces the pairwise self-join with one
-    partially-aggregated shuffle on visitor_id, so a visitor with millions of sessions costs
-    one row per map task, never a pair per session.
+
+def _with_earlier(per_v: DataFrame, sessions: DataFrame, period, start, end, as_of,
+                  broadcast: bool | None = None) -> DataFrame:
+    """Add ``_earlier`` to a per-visitor in-period aggregate (with ``n`` = in-period sessions):
+    does the visitor have a session before the period's lower bound?
+
+    Only the period's sessions are aggregated per visitor; older history is read for one
+    column and matched against the period's visitors. Those are broadcast into the history
+    scan when their counted number is under the bound, so history is filtered map-side and
+    only matching visitors are shuffled, each collapsed to one row per task by the distinct.
+    Above the bound the history is first reduced by a map-side distinct and then semi-joined.
     """
-    return (sessions.where(F.col("visitor_id").isNotNull())
-            .groupBy("visitor_id")
-            .agg(F.count_if(in_period).alias("n_in_period"),
-                 F.min("started_at").alias("first_start"),
-                 F.max(F.when(in_period, F.col("started_at"))).alias("last_in_period")))
+    before = before_period("started_at", period, start, end, as_of, pcol(sessions))
+    if before is None:
+        return per_v.withColumn("_earlier", F.lit(False))
+    active = per_v.where(F.col("visitor_id").isNotNull() & (F.col("n") > 0)).select("visitor_id")
+    hist = sessions.where(before & F.col("visitor_id").isNotNull()).select("visitor_id")
+    if broadcast is None:
+        broadcast = active.count() <= EARLIER_BROADCAST_MAX_ROWS
+    if broadcast:
+        seen = hist.join(F.broadcast(active), "visitor_id", "left_semi").distinct()
+    else:
+        seen = hist.distinct().join(active, "visitor_id", "left_semi")
+    return (per_v.join(seen.withColumn("_earlier", F.lit(True)), "visitor_id", "left")
+            .withColumn("_earlier", F.coalesce(F.col("_earlier"), F.lit(False))))
+
+
+def _returning(c=F.col) -> Column:
+    """A visitor returns iff an in-period session has any earlier session: two distinct
+    in-period start times, or a session before the period (EXISTS ... s2 < s1)."""
+    return (c("last_in") > c("first_in")) | c("_earlier")
+
+
+def _per_visitor(sessions: DataFrame, period, start, end, as_of) -> DataFrame:
+    """One row per visitor with an in-period session: count, first and last in-period start,
+    and whether an earlier session exists. Partially aggregated before its shuffle, so a
+    visitor with millions of sessions costs one row per map task."""
+    per_v = (_sessions_in(sessions, period, start, end, as_of)
+             .where(F.col("visitor_id").isNotNull())
+             .groupBy("visitor_id")
+             .agg(F.count(F.lit(1)).alias("n"),
+                  F.min("started_at").alias("first_in"),
+                  F.max("started_at").alias("last_in")))
+    return _with_earlier(per_v, sessions, period, start, end, as_of)
 
 
 def return_visitors(sessions, period=DEFAULT_PERIOD, as_of=None, start=None, end=None) -> DataFrame:
     """Q08: visitors with an in-period session that has any earlier session (in or out of
     the period)."""
-    in_p = time_filter("started_at", period, start, end, as_of)
-    return _per_visitor(sessions, in_p).agg(
-        F.count_if(F.col("last_in_period") > F.col("first_start")).alias("return_visitors"))
+    return _per_visitor(sessions, period, start, end, as_of).agg(
+        F.count_if(_returning()).alias("return_visitors"))
 
 
 def new_visitors(sessions, period=DEFAULT_PERIOD, as_of=None, start=None, end=None) -> DataFrame:
     """Q09: total visitors minus returning visitors, from the same per-visitor pass."""
-    in_p = time_filter("started_at", period, start, end, as_of)
-    return _per_visitor(sessions, in_p).agg(
-        (F.count_if(F.col("n_in_period") > 0)
-         - F.count_if(F.col("last_in_period") > F.col("first_start"))).alias("new_visitors"))
+    return _per_visitor(sessions, period, start, end, as_of).agg(
+        (F.count(F.lit(1)) - F.count_if(_returning())).alias("new_visitors"))
 
 
 def active_sessions(page_views, as_of) -> DataFrame:
@@ -164,26 +195,32 @@ def kpi_row(sessions, page_views, period=DEFAULT_PERIOD, as_of=None, start=None,
             end=None) -> DataFrame:
     """Q38: the enhanced report's ten scalars in two scans and one shuffle.
 
-    Sessions: one pass grouped by visitor (partial aggregation map-side) carries every
-    session scalar, including the returning-visitor test; a global aggregate sums them.
+    Sessions: one pass over the period's (and today's) sessions, grouped by visitor with
+    partial aggregation map-side, carries every session scalar; the returning-visitor test
+    adds a one-column check for earlier sessions (:func:`_with_earlier`) instead of
+    aggregating all history. A global aggregate sums the per-visitor rows.
     Page views: one filtered pass (period OR last five minutes, pushed to the scan).
     The two one-row results are stacked and folded, so no join is needed.
     """
     in_p = time_filter("started_at", period, start, end, as_of)
     today = on_day("started_at", as_of)
     c = F.col
-    per_v = (sessions.groupBy("visitor_id").agg(
+    ps = pcol(sessions)
+    scan = sessions.where(time_filter("started_at", period, start, end, as_of, ps)
+                          | on_day("started_at", as_of, ps))
+    per_v = scan.groupBy("visitor_id").agg(
         F.count_if(in_p).alias("n"),
         F.count_if(in_p & (c("page_views") == 1)).alias("n_bounce"),
         F.sum(F.when(in_p, c("duration"))).alias("dur_sum"),
         F.count(F.when(in_p, c("duration"))).alias("dur_n"),
         F.sum(F.when(in_p, c("page_views"))).alias("pv_sum"),
         F.count(F.when(in_p, c("page_views"))).alias("pv_n"),
-        F.min("started_at").alias("first_start"),
-        F.max(F.when(in_p, c("started_at"))).alias("last_in_period"),
-        F.count_if(today).alias("n_today")))
+        F.min(F.when(in_p, c("started_at"))).alias("first_in"),
+        F.max(F.when(in_p, c("started_at"))).alias("last_in"),
+        F.count_if(today).alias("n_today"))
+    per_v = _with_earlier(per_v, sessions, period, start, end, as_of)
     known = c("visitor_id").isNotNull()
-    returning = F.count_if(known & (c("last_in_period") > c("first_start")))
+    returning = F.count_if(known & (c("n") > 0) & _returning())
     visitors = F.count_if(known & (c("n") > 0))
     srow = per_v.agg(
         visitors.alias("total_visitors"),
