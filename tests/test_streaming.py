@@ -102,3 +102,40 @@ def test_dedupe_and_late_hits(spark, tmp_dir):
     views = spark.read.parquet(out).groupBy("session_id").agg(F.max("views").alias("v"))
     assert {r["session_id"]: r["v"] for r in views.collect()}["s1"] == 2
     assert res.count() > 0
+
+
+def test_realtime_feed_over_batches_out_of_order(spark, tmp_dir):
+    """The live feed after several micro-batches equals the batch feed at the newest view,
+    also when a later batch carries older views than an earlier one (other dates included)."""
+    from webtraffic.operators.people import realtime_feed
+
+    pv_schema = "id long, session_id string, visitor_id string, page_path string, " \
+                "viewed_at timestamp_ntz"
+    views = [  # batch order: newest day first, then an older day, then more of the newest
+        [(1, "s1", "v1", "/a", "2024-01-31 11:58:00"), (2, "s2", "v2", "/b", "2024-01-31 11:59:30")],
+        [(3, "s3", "v1", "/c", "2024-01-30 23:59:00"), (4, "s4", "v3", "/d", "2024-01-31 11:56:00")],
+        [(5, "s1", "v1", "/e", "2024-01-31 11:57:00"), (6, "s5", "v4", "/f", "2024-01-31 11:50:00")],
+    ]
+    src = os.path.join(tmp_dir, "pv")
+    for k, rows in enumerate(views):
+        df = spark.createDataFrame([(i, s, v, p, datetime.fromisoformat(t)) for i, s, v, p, t in rows],
+                                   pv_schema)
+        df.coalesce(1).write.parquet(f"{src}/part{k}")
+    visitors = spark.createDataFrame([(f"v{i}",) for i in range(1, 5)], "visitor_id string")
+    details = spark.createDataFrame(
+        [(10, "v1", "FR", "Paris", "Chrome", "desktop"), (11, "v1", "FR", "Lyon", "Chrome", "mobile"),
+         (12, "v2", "DE", None, "Firefox", "desktop")],
+        "id long, visitor_id string, country string, city string, browser string, device_type string")
+    stream = (spark.readStream.schema(pv_schema).option("maxFilesPerTrigger", 1)
+              .option("recursiveFileLookup", "true").parquet(src))
+    out, ck = os.path.join(tmp_dir, "feed"), os.path.join(tmp_dir, "ck")
+    q = L.realtime_sink(stream, visitors, details, out, ck)
+    q.awaitTermination()
+    assert q.exception() is None
+    got = L.read_feed(spark, out)
+    allv = spark.createDataFrame(
+        [(i, s, v, p, datetime.fromisoformat(t)) for rows in views for i, s, v, p, t in rows], pv_schema)
+    exp = realtime_feed(allv, visitors, details, datetime(2024, 1, 31, 11, 59, 30))
+    cols = ["visitor_id", "country", "city", "browser", "device_type", "page_path", "viewed_at"]
+    assert _rows(got, cols) == _rows(exp, cols)
+    assert got.count() == 6  # views within five minutes of 11:59:30, with v1's two detail rows

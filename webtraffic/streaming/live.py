@@ -148,12 +148,16 @@ def realtime_sink(page_views: DataFrame, visitors: DataFrame, details: DataFrame
 
     def write(batch: DataFrame, batch_id: int):
         spark = batch.sparkSession
+        newest = batch.agg(F.max("viewed_at").alias("m")).first()["m"]
+        if newest is None:  # nothing new: the feed's reference time cannot have moved
+            return
         (batch.withColumn("dt", F.to_date("viewed_at"))
          .write.mode("overwrite").partitionBy("dt").parquet(f"{store}/{BATCH_COL}={batch_id}"))
         stored = spark.read.parquet(store)
-        as_of = stored.agg(F.max("viewed_at").alias("m")).first()["m"]
-        if as_of is None:
-            return
+        # The store's newest view is at least this batch's, so it lies in this batch's date or a
+        # later one: only those date partitions are read, not the whole history.
+        recent = stored.where(F.col("dt") >= F.lit(newest.date()))
+        as_of = recent.agg(F.max("viewed_at").alias("m")).first()["m"]
         feed = realtime_feed(stored, visitors, details, as_of, n=n)
         feed.write.mode("overwrite").parquet(f"{out_dir}/feed/{BATCH_COL}={batch_id}")
 
