@@ -75,8 +75,19 @@ def recent_visitors(visitors: DataFrame, details: DataFrame, sessions: DataFrame
     multiplication is applied explicitly (``dedupe=True`` leaves it out). The shown detail
     columns are the visitor's latest detail row (the reference takes an arbitrary one).
     ``limit`` follows ``parseInt(limit) || 50``; negative means all visitors.
+
+    With a limit, the ``n`` most recent visitors are chosen first (a top-k over the visitors
+    table); that key set is bounded by ``n``, so it is broadcast into the session and detail
+    scans and only those visitors' rows are aggregated, not all history.
     """
     n = parse_limit(limit)
+    order = [F.desc_nulls_last("last_seen"), F.asc("visitor_id")]
+    v = visitors.select("visitor_id", "ip_address", "last_seen")
+    if n is not None:
+        v = v.orderBy(*order).limit(n)
+        keys = F.broadcast(v.select("visitor_id"))
+        sessions = sessions.join(keys, "visitor_id", "left_semi")
+        details = details.join(keys, "visitor_id", "left_semi")
     s = (sessions.where(F.col("visitor_id").isNotNull()).groupBy("visitor_id")
          .agg(F.count_distinct("id").alias("session_count"),
               F.sum("page_views").alias("_pv_sum")))
@@ -84,12 +95,10 @@ def recent_visitors(visitors: DataFrame, details: DataFrame, sessions: DataFrame
          .agg(F.count(F.lit(1)).alias("_n_details"),
               F.max_by(F.struct(*RECENT_DETAIL_COLUMNS), F.struct("updated_at", "id")).alias("_d")))
     factor = F.lit(1) if dedupe else F.greatest(F.coalesce("_n_details", F.lit(0)), F.lit(1))
-    out = (visitors.select("visitor_id", "ip_address", "last_seen")
-           .join(d, "visitor_id", "left")
+    out = (v.join(d, "visitor_id", "left")
            .join(s, "visitor_id", "left")
            .select("visitor_id", "ip_address", "last_seen",
                    *[F.col(f"_d.{c}").alias(c) for c in RECENT_DETAIL_COLUMNS],
                    F.coalesce("session_count", F.lit(0)).alias("session_count"),
                    (F.col("_pv_sum") * factor).alias("total_page_views")))
-    ordered = out.orderBy(F.desc_nulls_last("last_seen"), F.asc("visitor_id"))
-    return ordered if n is None else ordered.limit(n)
+    return out.orderBy(*order)
