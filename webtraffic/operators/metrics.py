@@ -86,22 +86,26 @@ def _with_earlier(per_v: DataFrame, sessions: DataFrame, period, start, end, as_
     """Add ``_earlier`` to a per-visitor in-period aggregate (with ``n`` = in-period sessions):
     does the visitor have a session before the period's lower bound?
 
-    Only the period's sessions are aggregated per visitor; older history is read for one
-    column and matched against the period's visitors. Those are broadcast into the history
-    scan when their counted number is under the bound, so history is filtered map-side and
-    only matching visitors are shuffled, each collapsed to one row per task by the distinct.
-    Above the bound the history is first reduced by a map-side distinct and then semi-joined.
+    Only the period's sessions are aggregated per visitor; older history is read for two
+    columns and matched against the period's visitors. When the period's session count (an
+    upper bound on its visitors) is under the bound, their visitor ids are broadcast into the
+    history scan, so history is filtered map-side and only matching visitors are shuffled,
+    each collapsed to one row per task by the distinct. Above the bound the history is first
+    reduced by a map-side distinct and then semi-joined to the period's visitors.
     """
     before = before_period("started_at", period, start, end, as_of, pcol(sessions))
     if before is None:
         return per_v.withColumn("_earlier", F.lit(False))
-    active = per_v.where(F.col("visitor_id").isNotNull() & (F.col("n") > 0)).select("visitor_id")
     hist = sessions.where(before & F.col("visitor_id").isNotNull()).select("visitor_id")
+    # The period's sessions: a pruned scan whose row count bounds the number of their visitors.
+    in_p = sessions.where(time_filter("started_at", period, start, end, as_of, pcol(sessions))
+                          & F.col("visitor_id").isNotNull()).select("visitor_id")
     if broadcast is None:
-        broadcast = active.count() <= EARLIER_BROADCAST_MAX_ROWS
+        broadcast = in_p.count() <= EARLIER_BROADCAST_MAX_ROWS
     if broadcast:
-        seen = hist.join(F.broadcast(active), "visitor_id", "left_semi").distinct()
+        seen = hist.join(F.broadcast(in_p), "visitor_id", "left_semi").distinct()
     else:
+        active = per_v.where(F.col("visitor_id").isNotNull() & (F.col("n") > 0)).select("visitor_id")
         seen = hist.distinct().join(active, "visitor_id", "left_semi")
     return (per_v.join(seen.withColumn("_earlier", F.lit(True)), "visitor_id", "left")
             .withColumn("_earlier", F.coalesce(F.col("_earlier"), F.lit(False))))
