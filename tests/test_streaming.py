@@ -37,7 +37,9 @@ def test_sessions_and_visitors_over_batches_and_restart(spark, tmp_dir):
     def run():
         hits = L.read_hits_stream(spark, incoming, max_files_per_trigger=1)
         valid = L.ingest_stream(hits)
-        for q in (L.versioned_sink(L.stream_sessions(valid), out_s, ck_s),
+        # Sessions fold a snapshot every second batch; visitors keep every batch.
+        for q in (L.versioned_sink(L.stream_sessions(valid), out_s, ck_s,
+                                   key="session_id", compact_every=2),
                   L.versioned_sink(L.stream_visitors(valid), out_v, ck_v)):
             q.awaitTermination()
             assert q.exception() is None
@@ -55,6 +57,7 @@ def test_sessions_and_visitors_over_batches_and_restart(spark, tmp_dir):
     move(4)
     run()                       # restart from the checkpoints: two more
     assert len(os.listdir(out_s)) >= 4
+    assert (L._latest_snapshot(spark, out_s) or 0) >= 2  # state read from a snapshot
 
     valid, _ = normalize_hits(spark.read.schema(HIT).json(incoming))
     cols_s = SESSIONS.fieldNames()

@@ -36,7 +36,8 @@ def _run(q):
 @register("stream_sessions", ingest_sql("SELECT * FROM sessions_i", "sessions_i"))
 def _stream_sessions(spark, d):
     out, ck = scratch_path(spark, "stream", "sessions"), scratch_path(spark, "stream", "ck")
-    _run(L.versioned_sink(L.stream_sessions(_valid_stream(spark, d)), out, ck))
+    _run(L.versioned_sink(L.stream_sessions(_valid_stream(spark, d)), out, ck,
+                          key="session_id", compact_every=L.COMPACT_EVERY))
     return L.read_latest(spark, out, "session_id", SESSIONS)
 
 
@@ -49,7 +50,8 @@ JOIN (SELECT visitor_id, min(received_at) AS created_at, max(received_at) AS las
 WHERE f.rn = 1"""))
 def _stream_visitors(spark, d):
     out, ck = scratch_path(spark, "stream", "visitors"), scratch_path(spark, "stream", "ck")
-    _run(L.versioned_sink(L.stream_visitors(_valid_stream(spark, d)), out, ck))
+    _run(L.versioned_sink(L.stream_visitors(_valid_stream(spark, d)), out, ck,
+                          key="visitor_id", compact_every=L.COMPACT_EVERY))
     return L.read_latest(spark, out, "visitor_id", VISITORS)
 
 

@@ -28,6 +28,7 @@ WATERMARK = "10 minutes"
 LIVE_WINDOW = "5 minutes"
 LIVE_SLIDE = "1 minute"
 BATCH_COL = "batch_id"
+COMPACT_EVERY = 10  # batches between state snapshots of the keyed update sinks
 
 
 def with_event_time(hits: DataFrame, watermark: str | None = WATERMARK) -> DataFrame:
@@ -74,24 +75,66 @@ def stream_sessions(valid: DataFrame, count_from: int = 1) -> DataFrame:
                 "f.referrer", referrer_domain(F.col("f.referrer")).alias("referrer_domain")))
 
 
+SNAPSHOTS = "_snapshots"
+
+
 def versioned_sink(agg: DataFrame, out_dir: str, checkpoint: str,
-                   trigger: dict | None = None) -> StreamingQuery:
-    """Update-mode aggregate → ``out_dir/batch_id=N`` per micro-batch (idempotent overwrite)."""
+                   trigger: dict | None = None, key: str | None = None,
+                   compact_every: int | None = None) -> StreamingQuery:
+    """Update-mode aggregate → ``out_dir/batch_id=N`` per micro-batch (idempotent overwrite).
+
+    With ``key`` and ``compact_every``, every ``compact_every``-th batch also folds the state
+    so far into ``out_dir/_snapshots/batch_id=N``, so :func:`read_latest` reads one snapshot
+    plus the batches after it instead of every batch since the stream began (older batch
+    directories can then be removed by housekeeping). A replayed batch rewrites its snapshot.
+    """
     def write(batch: DataFrame, batch_id: int):
         batch.write.mode("overwrite").parquet(f"{out_dir}/{BATCH_COL}={batch_id}")
+        if key and compact_every and batch_id > 0 and batch_id % compact_every == 0:
+            state = read_latest(batch.sparkSession, out_dir, key)
+            state.write.mode("overwrite").parquet(f"{out_dir}/{SNAPSHOTS}/{BATCH_COL}={batch_id}")
 
     return (agg.writeStream.outputMode("update").foreachBatch(write)
             .option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())
 
 
+def _latest_snapshot(spark: SparkSession, out_dir: str) -> int | None:
+    """The newest complete snapshot's batch id (its write committed a ``_SUCCESS`` marker).
+
+    A directory listing on the driver through the cluster's file system API, as Spark's own
+    file index does; no data is read.
+    """
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(f"{out_dir}/{SNAPSHOTS}")
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return None
+    best = None
+    for st in fs.listStatus(root):
+        name = st.getPath().getName()
+        if not (st.isDirectory() and name.startswith(f"{BATCH_COL}=")):
+            continue
+        n = int(name.split("=", 1)[1])
+        done = fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS"))
+        if done and (best is None or n > best):
+            best = n
+    return best
+
+
 def read_latest(spark: SparkSession, out_dir: str, key: str, schema=None) -> DataFrame:
     """Current state of a versioned sink: each key's row from its newest batch.
 
-    ``max_by`` per key is combined map-side, so a key updated in every batch costs one
-    partial row per map task.
+    Starts from the newest complete snapshot, if any, and reads only later batches (pruned
+    on ``batch_id``). ``max_by`` per key is combined map-side, so a key updated in every
+    batch costs one partial row per map task.
     """
     df = spark.read.parquet(out_dir)
+    snap = _latest_snapshot(spark, out_dir)
+    if snap is not None:
+        base = (spark.read.parquet(f"{out_dir}/{SNAPSHOTS}/{BATCH_COL}={snap}")
+                .withColumn(BATCH_COL, F.lit(snap).cast(dict(df.dtypes)[BATCH_COL])))
+        df = df.where(F.col(BATCH_COL) > snap).unionByName(base)
     cols = [c for c in df.columns if c not in (key, BATCH_COL)]
     latest = (df.groupBy(key).agg(F.max_by(F.struct(*cols), F.col(BATCH_COL)).alias("_r"))
               .select(key, *[F.col(f"_r.{c}").alias(c) for c in cols]))
