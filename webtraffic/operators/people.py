@@ -43,15 +43,15 @@ def realtime_feed(page_views: DataFrame, visitors: DataFrame, details: DataFrame
     known = recent.join(visitors.select("visitor_id"), "visitor_id", "left_semi")
     top = known.orderBy(F.desc("viewed_at"), F.asc("_pv_id")).limit(n)
     dcols = ["country", "city", "browser", "device_type"]
+    # The key set is the output of a limit-n query: its size bound is proven, so it is
+    # broadcast into the semi-join that narrows the detail scan to those visitors.
+    keys = F.broadcast(top.select("visitor_id").distinct())
+    mine = details.join(keys, "visitor_id", "left_semi")
     if latest:
-        d = latest_details(details, dcols).withColumn("_rk", F.lit(1))
+        d = latest_details(mine, dcols).withColumn("_rk", F.lit(1))
     else:
-        # The key set is the output of a limit-n query: its size bound is proven, so it is
-        # broadcast into the semi-join that narrows the detail scan to those visitors.
-        keys = F.broadcast(top.select("visitor_id").distinct())
         w = Window.partitionBy("visitor_id").orderBy(F.asc("id"))
-        d = (details.select("visitor_id", "id", *dcols)
-             .join(keys, "visitor_id", "left_semi")
+        d = (mine.select("visitor_id", "id", *dcols)
              .withColumn("_rk", F.row_number().over(w))
              .where(F.col("_rk") <= n))
     return (top.join(d, "visitor_id", "left")
