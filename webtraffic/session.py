@@ -21,6 +21,11 @@ DEFAULT_CONF = {
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # Runtime bloom filters prune the big side of a shuffle join by the keys of a selective
+    # side (e.g. all sessions by the period's page views in the top-pages join). Spark skips
+    # them when the selective side is estimated over 10 MB, which a day of a large site is;
+    # the filter itself stays capped by its bit budget, so allow a larger side to build it.
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1GB",
     # Call-site capture for error messages costs several driver round trips per Column call;
     # plans built from many expressions are assembled much faster without it.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
