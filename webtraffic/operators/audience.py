@@ -307,3 +307,47 @@ def acquisition_lists(sessions: DataFrame, period=DEFAULT_PERIOD, as_of=None, st
                        F.struct(*out).alias("_v"))
         lists.append(F.sort_array(F.collect_list(F.when(b == i, row))).getField("_v").alias(name))
     return ranked.agg(*lists)
+
+
+def breakdown_list_rows(details: DataFrame, specs: dict | None = None) -> DataFrame:
+    """The lists of :func:`breakdown_lists` as rows: ``list, rank, key1, key2, visitors,
+    cities`` (``key2`` NULL for one-key lists, ``cities`` only for ``topCountries``).
+
+    One explode over the concatenated lists of the one-row frame, so the fused pass runs once.
+    """
+    specs = specs or ENHANCED_BREAKDOWNS
+    lists = breakdown_lists(details, specs)
+
+    def as_row(name, shown):
+        def row(x, i):
+            return F.struct(F.lit(name).alias("list"), (i + 1).cast("long").alias("rank"),
+                            x[shown[0]].alias("key1"),
+                            (x[shown[1]] if len(shown) > 1 else F.lit(None).cast("string"))
+                            .alias("key2"),
+                            x["visitors"].alias("visitors"),
+                            (x["cities"] if name == "topCountries" else F.lit(None).cast("long"))
+                            .alias("cities"))
+        return row
+
+    arrays = [F.transform(F.col(name), as_row(name, [k for k, _ in _shown_keys(keys)]))
+              for name, (keys, _, _) in specs.items()]
+    return lists.select(F.explode(F.concat(*arrays)).alias("r")).select("r.*")
+
+
+def acquisition_list_rows(sessions: DataFrame, period=DEFAULT_PERIOD, as_of=None, start=None,
+                          end=None) -> DataFrame:
+    """The lists of :func:`acquisition_lists` as rows: ``list, rank, key, sessions, visitors``
+    (``visitors`` only for ``referrers``)."""
+    lists = acquisition_lists(sessions, period, as_of, start, end)
+
+    def as_row(name, shown, with_visitors):
+        def row(x, i):
+            return F.struct(F.lit(name).alias("list"), (i + 1).cast("long").alias("rank"),
+                            x[shown].alias("key"), x["sessions"].alias("sessions"),
+                            (x["visitors"] if with_visitors else F.lit(None).cast("long"))
+                            .alias("visitors"))
+        return row
+
+    arrays = [F.transform(F.col(name), as_row(name, shown, wv))
+              for name, (shown, _, wv) in ACQUISITION_LISTS.items()]
+    return lists.select(F.explode(F.concat(*arrays)).alias("r")).select("r.*")

@@ -78,6 +78,26 @@ GROUP BY {_out} ORDER BY sessions DESC, {_out} ASC NULLS FIRST LIMIT 10""", "ses
             lambda spark, d, p=_period, fn=getattr(A, _name): fn(T(spark, d).sessions, p,
                                                                   T(spark, d).as_of))
 
+def _acquisition_rows_sql(period: str) -> str:
+    """The three acquisition lists, each ranked on its own, stacked as (list, rank, key, ...)."""
+    where = period_sql("started_at", period)
+    parts = []
+    for name, key_sql, n, visitors in (
+            ("referrers", _SOURCE_SQL, 15, "count(DISTINCT visitor_id)"),
+            ("utmSources", "COALESCE(utm_source, 'none')", 10, "CAST(NULL AS BIGINT)"),
+            ("utmMediums", "COALESCE(utm_medium, 'none')", 10, "CAST(NULL AS BIGINT)")):
+        parts.append(f"""SELECT * FROM (
+ SELECT '{name}' AS list, row_number() OVER (ORDER BY count(*) DESC, k ASC NULLS FIRST) AS rank,
+  k AS key, count(*) AS sessions, {visitors} AS visitors
+ FROM (SELECT {key_sql} AS k, visitor_id FROM sessions WHERE {where}) GROUP BY k) WHERE rank <= {n}""")
+    return oracle("\nUNION ALL\n".join(parts), "sessions", "params")
+
+
+for _sfx, _period in (("", "24h"), ("_all", "all")):
+    register("enhanced_acquisition_lists" + _sfx, _acquisition_rows_sql(_period))(
+        lambda spark, d, p=_period: A.acquisition_list_rows(T(spark, d).sessions, p,
+                                                            T(spark, d).as_of))
+
 # --- audience breakdowns ----------------------------------------------------------------------
 
 
@@ -123,6 +143,31 @@ for _name, (_fn, _keys, _nn, _n, _extra) in BREAKDOWNS.items():
     register(_name, _breakdown_sql(_keys, _nn, _n, _extra))(
         lambda spark, d, fn=_fn: fn(T(spark, d).visitor_details))
 
+def _list_rows_sql() -> str:
+    """Each enhanced-report breakdown ranked on its own, stacked as (list, rank, keys...)."""
+    parts = []
+    for name, (keys, not_null, n) in A.ENHANCED_BREAKDOWNS.items():
+        if keys == ["screen_width", "screen_height"]:
+            shown = ["CAST(screen_width AS VARCHAR) || 'x' || CAST(screen_height AS VARCHAR)"]
+        else:
+            shown = list(keys)
+        k2 = shown[1] if len(shown) > 1 else "CAST(NULL AS VARCHAR)"
+        cities = "count(DISTINCT city)" if name == "topCountries" else "CAST(NULL AS BIGINT)"
+        order = ", ".join(["count(DISTINCT visitor_id) DESC"]
+                          + [f"{k} ASC NULLS FIRST" for k in shown])
+        where = " AND ".join(f"{c} IS NOT NULL" for c in not_null)
+        parts.append(f"""SELECT * FROM (
+ SELECT '{name}' AS list, row_number() OVER (ORDER BY {order}) AS rank,
+  {shown[0]} AS key1, {k2} AS key2, count(DISTINCT visitor_id) AS visitors, {cities} AS cities
+ FROM visitor_details WHERE {where} GROUP BY {", ".join(keys)}) WHERE rank <= {n}""")
+    return oracle("\nUNION ALL\n".join(parts), "visitor_details")
+
+
+@register("enhanced_audience_lists", _list_rows_sql())
+def _audience_lists(spark, d):
+    return A.breakdown_list_rows(T(spark, d).visitor_details)
+
+
 # --- visitor-level reports --------------------------------------------------------------------
 
 _FEED_SQL = f"""
