@@ -22,6 +22,11 @@ def top_pages_bounce(page_views: DataFrame, sessions: DataFrame, period=DEFAULT_
 
     ``bounce_rate = 100 * (joined rows whose session has page_views = 1) / distinct sessions``
     — the numerator counts rows, as the reference does, so it can exceed 100.
+
+    The page-view side stays a filtered scan (not pre-aggregated) so that Spark can build a
+    runtime bloom filter from it and prune the all-history sessions scan before the shuffle;
+    a hot session on that side is split by AQE's skew join, and the distinct count is
+    partially aggregated on (path, session).
     """
     pv = (page_views.where(time_filter("viewed_at", period, start, end, as_of, pcol(page_views)))
           .select("page_path", "session_id"))
