@@ -91,7 +91,8 @@ def _with_earlier(per_v: DataFrame, sessions: DataFrame, period, start, end, as_
     upper bound on its visitors) is under the bound, their visitor ids are broadcast into the
     history scan, so history is filtered map-side and only matching visitors are shuffled,
     each collapsed to one row per task by the distinct. Above the bound the history is first
-    reduced by a map-side distinct and then semi-joined to the period's visitors.
+    reduced by a map-side distinct and then semi-joined to the period's visitors (pruned at
+    scale by a runtime bloom filter of those visitors).
     """
     before = before_period("started_at", period, start, end, as_of, pcol(sessions))
     if before is None:
@@ -105,8 +106,9 @@ def _with_earlier(per_v: DataFrame, sessions: DataFrame, period, start, end, as_
     if broadcast:
         seen = hist.join(F.broadcast(in_p), "visitor_id", "left_semi").distinct()
     else:
-        active = per_v.where(F.col("visitor_id").isNotNull() & (F.col("n") > 0)).select("visitor_id")
-        seen = hist.distinct().join(active, "visitor_id", "left_semi")
+        # Semi-joined to the period's session scan (not the aggregate), so Spark can build a
+        # runtime bloom filter from it and prune the history scan below the map-side distinct.
+        seen = hist.distinct().join(in_p, "visitor_id", "left_semi")
     return (per_v.join(seen.withColumn("_earlier", F.lit(True)), "visitor_id", "left")
             .withColumn("_earlier", F.coalesce(F.col("_earlier"), F.lit(False))))
 
