@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from webtraffic.functions import enrich as E
-from webtraffic.functions.period import date_range_filter, period_filter, time_filter
+from webtraffic.functions.period import (before_period, date_range_filter, period_filter,
+                                         time_filter)
 from webtraffic.functions.useragent import parse_user_agent
 from webtraffic.operators import audience as A
 from webtraffic.operators import metrics as M
@@ -66,6 +67,13 @@ def test_period_rules(spark):
     assert n(date_range_filter("t", "not a date", "2024-01-30")) == 0
     # Only one end given → falls back to the period.
     assert n(time_filter("t", "24h", "2024-01-01", None, AS_OF)) == 1
+    # Strictly before the period: the complement of the kept rows that lie below the bound.
+    assert n(before_period("t", "24h", None, None, AS_OF)) == 3   # NULL is neither
+    assert n(before_period("t", "30d", None, None, AS_OF)) == 0
+    assert n(before_period("t", None, "2024-01-30 12:00:00.5", "2024-02-01", AS_OF)) == 1
+    assert before_period("t", "all", None, None, AS_OF) is None
+    assert before_period("t", "bogus", None, None, AS_OF) is None
+    assert before_period("t", "24h", "not a date", "2024-01-30", AS_OF) is None
 
 
 # --- scalar metrics ---------------------------------------------------------------------------
