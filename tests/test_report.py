@@ -71,3 +71,14 @@ def test_fused_acquisition_matches_separate_queries(spark):
            for name, fn in (("referrers", A.referrers), ("utmSources", A.utm_sources),
                             ("utmMediums", A.utm_mediums))}
     assert got == exp
+
+
+def test_basic_document_same_with_and_without_fusion(spark):
+    t = fixture_tables(spark, SF_SMALL)
+    for period in ("all", "24h"):
+        fused = R.report_json(R.basic_stats(t, period), R.BASIC_KEYS).first()["json"]
+        plain = R.report_json(R.basic_stats(t, period, fuse_audience=False),
+                              R.BASIC_KEYS).first()["json"]
+        assert fused == plain
+        doc = json.loads(fused)
+        assert list(doc) == R.BASIC_KEYS and "cities" not in doc["topCountries"][0]

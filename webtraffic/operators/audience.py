@@ -144,6 +144,11 @@ ENHANCED_BREAKDOWNS = {
     "screenResolutions": (["screen_width", "screen_height"], ["screen_width", "screen_height"], 15),
     "languages": (["language"], ["language"], 15),
 }
+# The basic report's breakdown lists (Q21, Q24); no city count.
+BASIC_BREAKDOWNS = {
+    "topCountries": (["country"], ["country"], 10),
+    "topBrowsers": (["browser"], ["browser"], 10),
+}
 _RESOLUTION = ["screen_width", "screen_height"]
 
 
@@ -159,11 +164,13 @@ def _shown_keys(keys: list[str]) -> list[tuple[str, Column]]:
     return [(k, F.col(k)) for k in keys]
 
 
-def breakdown_lists(details: DataFrame, specs: dict | None = None) -> DataFrame:
+def breakdown_lists(details: DataFrame, specs: dict | None = None,
+                    cities_for: str | None = "topCountries") -> DataFrame:
     """Several top-k breakdowns in one pass: a one-row frame, one ordered list per breakdown.
 
     Equal to running :func:`breakdown` once per entry of ``specs`` (default
-    ``ENHANCED_BREAKDOWNS``; Q22's city count included) and gathering each result as a list
+    ``ENHANCED_BREAKDOWNS``; the list named ``cities_for`` also counts distinct cities, as
+    Q22 does) and gathering each result as a list
     ordered by visitors descending, then keys. Instead of one scan and two shuffles per
     breakdown, the detail table is read once: a grouping-sets aggregate (one Expand, combined
     map-side) yields the distinct (keys, visitor) rows of every breakdown, a second aggregate
@@ -175,7 +182,7 @@ def breakdown_lists(details: DataFrame, specs: dict | None = None) -> DataFrame:
     dims = []
     for keys, _, _ in specs.values():
         dims += [k for k in keys if k not in dims]
-    cities = "topCountries" in specs
+    cities = cities_for in specs
     if cities and "city" not in dims:
         dims.append("city")
     cols = dims + ["visitor_id"]
@@ -191,11 +198,11 @@ def breakdown_lists(details: DataFrame, specs: dict | None = None) -> DataFrame:
         keep.append((gid(keys + ["visitor_id"]), not_null))
     city_gid = None
     if cities:
-        ckeys = specs["topCountries"][0] + ["city"]
+        ckeys = specs[cities_for][0] + ["city"]
         city_gid = gid(ckeys)
         sets.append(ckeys)
-        tags.append((city_gid, names.index("topCountries")))
-        keep.append((city_gid, specs["topCountries"][1] + ["city"]))
+        tags.append((city_gid, names.index(cities_for)))
+        keep.append((city_gid, specs[cities_for][1] + ["city"]))
 
     g = F.col("_g")
     level1 = details.groupingSets(sets, *cols).agg(F.grouping_id().alias("_g"))
@@ -243,7 +250,7 @@ def breakdown_lists(details: DataFrame, specs: dict | None = None) -> DataFrame:
     lists = []
     for i, name in enumerate(names):
         out = [v.alias(k) for k, v in shown[name]] + [F.col("visitors")]
-        if name == "topCountries":
+        if name == cities_for:
             out.append(F.col("cities"))
         row = F.struct((-F.col("visitors").cast("double")).alias("_k0"),
                        *[v.alias(f"_k{j + 1}") for j, (_, v) in enumerate(shown[name])],

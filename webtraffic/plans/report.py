@@ -75,11 +75,19 @@ def _fold(rows: list[DataFrame], order: list[str]) -> DataFrame:
     return stacked.agg(*[F.first(c, ignorenulls=True).alias(c) for c in order])
 
 
-def basic_stats(t: Tables, period=DEFAULT_PERIOD, as_of=None) -> dict[str, DataFrame]:
-    """Q36: the basic report as named DataFrames."""
+def basic_stats(t: Tables, period=DEFAULT_PERIOD, as_of=None,
+                fuse_audience: bool = True) -> dict[str, DataFrame]:
+    """Q36: the basic report as named DataFrames.
+
+    With ``fuse_audience`` the bundle also holds ``_lists``: top countries and top browsers
+    from one pass over the detail table, which the JSON document uses.
+    """
     as_of = as_of or t.as_of
     d = t.visitor_details
-    return {
+    extra = {}
+    if fuse_audience:
+        extra = {"_lists": A.breakdown_lists(d, A.BASIC_BREAKDOWNS, cities_for=None)}
+    return extra | {
         "totals": basic_totals(t.sessions, t.page_views, period, as_of),
         "topPages": P.top_pages(t.page_views, period, as_of),
         "topCountries": A.top_countries_basic(d),
