@@ -82,3 +82,22 @@ def test_basic_document_same_with_and_without_fusion(spark):
         assert fused == plain
         doc = json.loads(fused)
         assert list(doc) == R.BASIC_KEYS and "cities" not in doc["topCountries"][0]
+
+
+def test_large_limits_skip_the_key_broadcast_with_same_results(spark, monkeypatch):
+    from webtraffic.operators import people as PE
+
+    t = fixture_tables(spark, SF_SMALL)
+
+    def both(fn):
+        a = [tuple(r) for r in fn().collect()]
+        monkeypatch.setattr(PE, "TOPN_BROADCAST_MAX", 1)
+        b = [tuple(r) for r in fn().collect()]
+        monkeypatch.setattr(PE, "TOPN_BROADCAST_MAX", 1_000_000)
+        return a, b
+
+    a, b = both(lambda: PE.recent_visitors(t.visitors, t.visitor_details, t.sessions, 7))
+    assert a == b and len(a) == 7
+    a, b = both(lambda: PE.realtime_feed(t.page_views, t.visitors, t.visitor_details,
+                                         t.as_of, n=5))
+    assert a == b

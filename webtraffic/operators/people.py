@@ -11,6 +11,8 @@ from .topk import parse_limit
 FEED_COLUMNS = ["visitor_id", "country", "city", "browser", "device_type", "page_path",
                 "viewed_at"]
 RECENT_DETAIL_COLUMNS = ["country", "city", "browser", "device_type", "os"]
+# A top-n key set is broadcast only up to this many keys (n comes from the request).
+TOPN_BROADCAST_MAX = 1_000_000
 
 
 def latest_details(details: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -43,9 +45,11 @@ def realtime_feed(page_views: DataFrame, visitors: DataFrame, details: DataFrame
     known = recent.join(visitors.select("visitor_id"), "visitor_id", "left_semi")
     top = known.orderBy(F.desc("viewed_at"), F.asc("_pv_id")).limit(n)
     dcols = ["country", "city", "browser", "device_type"]
-    # The key set is the output of a limit-n query: its size bound is proven, so it is
-    # broadcast into the semi-join that narrows the detail scan to those visitors.
-    keys = F.broadcast(top.select("visitor_id").distinct())
+    # The key set is the output of a limit-n query: its size is bounded by n, so (for a
+    # moderate n) it is broadcast into the semi-join that narrows the detail scan.
+    keys = top.select("visitor_id").distinct()
+    if n <= TOPN_BROADCAST_MAX:
+        keys = F.broadcast(keys)
     mine = details.join(keys, "visitor_id", "left_semi")
     if latest:
         d = latest_details(mine, dcols).withColumn("_rk", F.lit(1))
@@ -77,13 +81,14 @@ def recent_visitors(visitors: DataFrame, details: DataFrame, sessions: DataFrame
     ``limit`` follows ``parseInt(limit) || 50``; negative means all visitors.
 
     With a limit, the ``n`` most recent visitors are chosen first (a top-k over the visitors
-    table); that key set is bounded by ``n``, so it is broadcast into the session and detail
-    scans and only those visitors' rows are aggregated, not all history.
+    table); that key set is bounded by ``n``, so (up to ``TOPN_BROADCAST_MAX``) it is broadcast
+    into the session and detail scans and only those visitors' rows are aggregated, not all
+    history. A larger ``n`` aggregates every visitor and keeps the ``n`` most recent.
     """
     n = parse_limit(limit)
     order = [F.desc_nulls_last("last_seen"), F.asc("visitor_id")]
     v = visitors.select("visitor_id", "ip_address", "last_seen")
-    if n is not None:
+    if n is not None and n <= TOPN_BROADCAST_MAX:
         v = v.orderBy(*order).limit(n)
         keys = F.broadcast(v.select("visitor_id"))
         sessions = sessions.join(keys, "visitor_id", "left_semi")
@@ -101,4 +106,5 @@ def recent_visitors(visitors: DataFrame, details: DataFrame, sessions: DataFrame
                    *[F.col(f"_d.{c}").alias(c) for c in RECENT_DETAIL_COLUMNS],
                    F.coalesce("session_count", F.lit(0)).alias("session_count"),
                    (F.col("_pv_sum") * factor).alias("total_page_views")))
-    return out.orderBy(*order)
+    out = out.orderBy(*order)
+    return out if n is None or n <= TOPN_BROADCAST_MAX else out.limit(n)
