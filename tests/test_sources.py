@@ -53,3 +53,13 @@ def test_write_report(spark, tmp_dir):
     assert doc["totalSessions"] == t.sessions.count()
     assert len(doc["topPages"]) == 10
     assert os.path.isdir(os.path.join(out, "topPages"))
+
+
+def test_staged_ingest_equals_lazy(spark):
+    raw = fixture_raw_hits(spark, SF_SMALL)
+    lazy, _ = ingest(raw, fixture_geo_ranges(spark, SF_SMALL))
+    staged, _ = ingest(raw, fixture_geo_ranges(spark, SF_SMALL), stage=True)
+    for name, df in lazy.frames().items():
+        other = staged.frames()[name]
+        assert df.count() == other.count()
+        assert df.exceptAll(other).count() == 0
