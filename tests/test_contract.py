@@ -18,3 +18,16 @@ def test_entry_runs(spark):
     assert len(rows) == 1
     assert df.columns[0] == "total_visitors"
     assert rows[0]["total_sessions"] >= rows[0]["total_visitors"] >= 0
+
+
+def test_plans_have_no_pair_joins_or_python(spark):
+    """No registered batch query plans a cartesian or nested-loop join, or runs Python rows."""
+    from conftest import SF_SMALL
+
+    banned = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython",
+              "ArrowEvalPython", "PythonUDF")
+    for name, fn in E.queries().items():
+        if name.startswith("stream_"):  # these return a read of their sink's output
+            continue
+        plan = fn(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+        assert not [b for b in banned if b in plan], name
