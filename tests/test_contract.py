@@ -31,3 +31,21 @@ def test_plans_have_no_pair_joins_or_python(spark):
             continue
         plan = fn(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
         assert not [b for b in banned if b in plan], name
+
+
+def test_period_reports_prune_dates_and_push_filters(spark):
+    """Period-filtered reports reach the Parquet scans with pushed filters and a date-partition
+    filter, and read only the columns they use."""
+    from conftest import SF_SMALL
+
+    qs = E.queries()
+    for name in ("kpi_row", "total_page_views", "top_pages", "entry_pages", "daily_trends",
+                 "referrers", "return_visitors"):
+        plan = qs[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+        scans = [line for line in plan.splitlines() if "FileScan parquet" in line]
+        assert scans, name
+        pruned = [s for s in scans if "PartitionFilters: [" in s and "dt#" in s.split("PartitionFilters")[1]]
+        assert pruned, name
+        assert all("PushedFilters: [" in s for s in pruned), name
+        assert not any("ReadSchema: struct<id:bigint,visitor_id:string,session_id:string,"
+                       "started_at:timestamp_ntz,ended_at" in s for s in scans), name
