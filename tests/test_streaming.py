@@ -142,3 +142,19 @@ def test_realtime_feed_over_batches_out_of_order(spark, tmp_dir):
     cols = ["visitor_id", "country", "city", "browser", "device_type", "page_path", "viewed_at"]
     assert _rows(got, cols) == _rows(exp, cols)
     assert got.count() == 6  # views within five minutes of 11:59:30, with v1's two detail rows
+
+
+def test_read_latest_skips_incomplete_snapshot(spark, tmp_dir):
+    out = os.path.join(tmp_dir, "versions")
+    rows = {0: [("a", 1), ("b", 1)], 1: [("a", 2)], 2: [("b", 3)], 3: [("c", 4)]}
+    for b, rs in rows.items():
+        spark.createDataFrame(rs, "k string, v long").write.parquet(f"{out}/batch_id={b}")
+    # A complete snapshot at batch 1, and one at batch 2 whose write never finished.
+    spark.createDataFrame([("a", 2), ("b", 1)], "k string, v long") \
+        .write.parquet(f"{out}/{L.SNAPSHOTS}/batch_id=1")
+    spark.createDataFrame([("a", 99)], "k string, v long") \
+        .write.parquet(f"{out}/{L.SNAPSHOTS}/batch_id=2")
+    os.remove(os.path.join(out, L.SNAPSHOTS, "batch_id=2", "_SUCCESS"))
+    assert L._latest_snapshot(spark, out) == 1
+    got = sorted(tuple(r) for r in L.read_latest(spark, out, "k").select("k", "v").collect())
+    assert got == [("a", 2), ("b", 3), ("c", 4)]
