@@ -4,18 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webtraffic.llm import suffix_repeats
+from webtraffic.llm import lsh_forest, suffix_repeats
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lsh_forest.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", "copy_id", "n_links", "n_text_links")
+
+
 def op10_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_repeats.digests(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_suffix_repeats": op10_suffix_repeats,
 }
 
