@@ -219,6 +219,7 @@ def scan_groups(h: np.ndarray, right: list[bytes], left: list[bytes], length: in
 
 
 _CONTEXT = "h long, big boolean, once boolean, rid long, tag int, a int, left binary, right binary"
+_START = "h long, w long, rid long, tag int, s int"
 _SPAN = "rid long, tag int, s int, e int, repeat long"
 
 
@@ -319,10 +320,36 @@ def _starts(batches, length: int):
             out["rid"] += [rid] * n
             out["tag"] += [tag] * n
             if len(out["h"]) >= 50_000:
-                yield _batch(out, "h long, w long, rid long, tag int, s int")
+                yield _batch(out, _START)
                 out = {k: [] for k in out}
         if out["h"]:
-            yield _batch(out, "h long, w long, rid long, tag int, s int")
+            yield _batch(out, _START)
+
+
+def _equal_starts(batches, length: int):
+    """Spans of the window starts that have a neighbour of the same hash; rows come sorted by it."""
+    held = None
+    for b in batches:
+        t = pa.Table.from_batches([b] if held is None else [held, b]).combine_chunks().to_batches()[0]
+        h, w = t.column("h").to_numpy(), t.column("w").to_numpy()
+        same = np.zeros(len(h), bool)
+        same[1:] = (h[1:] == h[:-1]) & (w[1:] == w[:-1])
+        take = same.copy()
+        take[:-1] |= same[1:]
+        yield _spans_of(t.slice(0, len(h) - 1), take[:-1], length)
+        held = t.slice(len(h) - 1)  # decided with the row after it
+        if same[-1]:  # it has one before it: give it out now, and once more if one follows
+            yield _spans_of(held, np.ones(1, bool), length)
+
+
+def _spans_of(t: pa.RecordBatch, take: np.ndarray, length: int) -> pa.RecordBatch:
+    t = t.filter(pa.array(take))
+    s = t.column("s").to_numpy()
+    number = mix(t.column("h").to_numpy().view(U64) ^ mix(t.column("w").to_numpy().view(U64)))
+    return pa.RecordBatch.from_pydict({
+        "rid": t.column("rid"), "tag": t.column("tag"), "s": t.column("s"),
+        "e": pa.array(s + length, pa.int32()), "repeat": pa.array(as_long(number)),
+    })
 
 
 def maximal_repeats(docs: DataFrame, min_bytes: int = 200, gram: int = GRAM, max_scan: int = MAX_SCAN) -> DataFrame:
@@ -365,16 +392,12 @@ def maximal_repeats(docs: DataFrame, min_bytes: int = 200, gram: int = GRAM, max
         .sortWithinPartitions("h", "right")
         .mapInArrow(lambda it: _scan(it, min_bytes), _SPAN)
     )
-    starts = staged(
+    counted = (
         ctx.where("big").repartition("h", "rid", "tag", "a")
-        .mapInArrow(lambda it: _starts(it, min_bytes), "h long, w long, rid long, tag int, s int"),
-        "starts",
-    )
-    twice = staged(
-        starts.groupBy("h", "w").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h", "w"), "twice"
-    )
-    counted = starts.join(twice, ["h", "w"], "left_semi").select(
-        "rid", "tag", "s", (F.col("s") + min_bytes).alias("e"), F.xxhash64("h", "w").alias("repeat")
+        .mapInArrow(lambda it: _starts(it, min_bytes), _START)
+        .repartition("h", "w")
+        .sortWithinPartitions("h", "w")
+        .mapInArrow(lambda it: _equal_starts(it, min_bytes), _SPAN)
     )
     return settled.unionByName(scanned).unionByName(counted)
 
