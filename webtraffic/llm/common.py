@@ -68,11 +68,12 @@ def buffers(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return o, d
 
 
-def chunks(offsets: np.ndarray, target: int = 1 << 18) -> Iterator[tuple[int, int]]:
-    """Ranges [i, j) of rows whose bytes add up to about ``target`` (one row at least)."""
+def chunks(offsets: np.ndarray, target: int = 1 << 18, most: int = 512) -> Iterator[tuple[int, int]]:
+    """Ranges [i, j) of at most ``most`` rows whose bytes add up to about ``target`` (one row at least)."""
     i, n = 0, len(offsets) - 1
     while i < n:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + target, side="right")) - 1)
+        j = min(j, i + most)
         yield i, j
         i = j
 
