@@ -4,13 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webtraffic.llm import lsh_forest, suffix_repeats
+from webtraffic.llm import lsh_forest, mixing, packing, suffix_repeats, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return rows.select("doc_id", "held_out", "score", "predicted")
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(table(spark, sf_dir, "documents"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_pieces(table(spark, sf_dir, "documents"))
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lsh_forest.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "class_id", "copy_id", "n_links", "n_text_links")
@@ -21,6 +34,9 @@ def op10_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op5_mixing": op5_mixing,
+    "op6_packing": op6_packing,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_suffix_repeats": op10_suffix_repeats,
 }
