@@ -1,20 +1,51 @@
-"""Corpus pipeline: a list of stages, each written and read again before the next."""
+"""Corpus pipeline: documents in, packed token sequences out.
+
+Each stage works on all that the one before it kept; its rows are written as Parquet and read
+again. All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webtraffic.llm import suffix_repeats
+from webtraffic.llm import lsh_forest, mixing, packing, suffix_repeats, toxicity
 from webtraffic.session import scratch_path
 
 
-def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without their repeated passages."""
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity models do not reject."""
+    return toxicity.without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates."""
+    return lsh_forest.one_per_class(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the passages of 200 bytes or more that stand elsewhere too."""
     return suffix_repeats.cleaned(docs)
 
 
-STAGES = [("suffix_repeats", suffix_stage)]
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as the mix takes them: left out, once or twice."""
+    return mixing.mix(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece of a document, with its place in a sequence."""
+    return packing.packed_pieces(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("ngram_jaccard", drop_near_copies),
+    ("suffix_repeats", cut_repeats),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
 
+#: Smoothed models, dynamic programming and a tokenizer are not SQL; tests/llm compares with brute force.
 ORACLE_SQL = None
 
 

@@ -32,10 +32,12 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from webtraffic.llm.common import Roller, U64, as_long, buffers, chunks, documents_of, mix, staged
 
@@ -404,7 +406,7 @@ def maximal_repeats(docs: DataFrame, min_bytes: int = 200, gram: int = GRAM, max
 
 def _merge(spans) -> list[tuple[int, int]]:
     out: list[list[int]] = []
-    for s, e in sorted((x["s"], x["e"]) for x in spans or ()):
+    for s, e in sorted((x["s"], x["e"]) for x in (() if spans is None else spans)):
         if out and s <= out[-1][1]:
             out[-1][1] = max(out[-1][1], e)
         else:
@@ -412,13 +414,17 @@ def _merge(spans) -> list[tuple[int, int]]:
     return out
 
 
+def _spans_by_row(docs: DataFrame, min_bytes: int, gram: int, max_scan: int) -> DataFrame:
+    spans = maximal_repeats(docs, min_bytes, gram, max_scan)
+    return spans.groupBy("rid", "tag").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+
+
 def remove_repeats(docs: DataFrame, min_bytes: int = 200, gram: int = GRAM, max_scan: int = MAX_SCAN) -> DataFrame:
     """Documents without their repeated bytes: (rid, tag, doc_id, n_bytes, spans, kept).
 
     ``kept`` is what is left, as bytes; ``spans`` the maximal removed runs as (s, e) pairs.
     """
-    spans = maximal_repeats(docs, min_bytes, gram, max_scan)
-    per_doc = spans.groupBy("rid", "tag").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+    per_doc = _spans_by_row(docs, min_bytes, gram, max_scan)
 
     def cut(batches):
         z = zstandard.ZstdDecompressor()
@@ -454,3 +460,32 @@ def digests(docs: DataFrame) -> DataFrame:
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+def _without(text: pd.Series, spans: pd.Series) -> pd.Series:
+    out = []
+    for t, sp in zip(text, spans, strict=True):
+        if sp is None or not len(sp):
+            out.append(t)
+            continue
+        data = (t or "").encode()
+        gone = _merge(sp)
+        edge = [0, *(x for p in gone for x in p), len(data)]
+        out.append(b"".join(data[edge[i] : edge[i + 1]] for i in range(0, len(edge), 2)).decode("utf-8", "ignore"))
+    return pd.Series(out, dtype=object)
+
+
+def cleaned(docs: DataFrame, min_bytes: int = 200) -> DataFrame:
+    """``docs`` with the repeated bytes gone from ``text`` and ``n_chars`` (if there) counted anew.
+
+    A character that loses some of its bytes goes with them. Every row stays.
+    """
+    per_doc = _spans_by_row(docs, min_bytes, GRAM, MAX_SCAN)
+    per_doc = per_doc.select(F.col("rid").alias("__rid"), F.col("tag").alias("__tag"), F.col("spans").alias("__spans"))
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.withColumns({"__rid": F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text)), "__tag": F.hash(text)})
+    out = keyed.join(per_doc, ["__rid", "__tag"], "left").withColumn("text", F.pandas_udf(_without, StringType())("text", "__spans"))
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        out = out.withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(kind)))
+    return out.select(*docs.columns)
