@@ -10,8 +10,8 @@ are compared once.
    documents are candidates if they share a prefix in any tree. ``forest_depth`` starts from the
    longest prefix and shortens it until a pair at the threshold is found with the target recall.
    One sort by (tree, prefix) finds all trie nodes with more than one document.
-2. Candidates are dealt into blocks of similar documents (same smallest shingle, split by hash
-   beyond ``BLOCK``). Two blocks that meet in a trie node are one unit of work; every document goes
+2. Candidates are dealt into blocks of similar documents (by the smallest shingle of all that share
+   a trie node with them, split by hash beyond ``BLOCK``). Two blocks that meet in a trie node are one unit of work; every document goes
    once to each unit of its block.
 3. A unit verifies all its candidate pairs exactly, by set sizes and shared shingles. Each pair of
    documents belongs to one unit, so links are counted where they are found and no table of pairs
@@ -43,7 +43,7 @@ THRESHOLD = 0.8
 TREES = 32
 MAX_DEPTH = 10
 RECALL = 0.9999    #: of a pair exactly at the threshold
-BLOCK = 128        #: documents of a block, about
+BLOCK = 256        #: documents of a block, about
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -175,6 +175,21 @@ def _shared(batches):
             before = (v[-1], key[-1].as_py())
 
 
+def _lowest(batches):
+    """For each document of a trie node, the node's lowest minimum; rows come sorted by (v, low)."""
+    before = None
+    for b in batches:
+        v, low = b.column("v").to_numpy(), b.column("low").to_numpy()
+        if not len(v):
+            continue
+        new = np.r_[True, v[1:] != v[:-1]]
+        first = low[new]
+        if before is not None and before[0] == v[0]:
+            first[0] = before[1]
+        yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(first[np.cumsum(new) - 1])], names=["key", "label"])
+        before = (v[-1], first[-1])
+
+
 def _meetings(batches):
     """Pairs of blocks that share a trie node; rows come sorted by (v, block).
 
@@ -318,14 +333,17 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, words: int =
         .mapInArrow(_shared, "key binary").distinct(),
         "shared",
     )
-    cand = texts.join(shared, "key")
-    sizes = staged(cand.groupBy("low").agg(F.ceil(F.count("*") / block).alias("parts")), "sizes")
-    cand = staged(
-        cand.join(sizes, "low").withColumn(
-            "block", F.xxhash64("low", F.pmod(F.xxhash64("key"), F.col("parts")))
-        ).select("key", "block", "copies", "at.*", "trees"),
-        "candidates",
+    cand = staged(texts.join(shared, "key").select("key", "low", "copies", "at.rid", "at.tag", "trees"), "shared_texts")
+    labels = (
+        cand.select(F.explode("trees").alias("v"), "low", "key").repartition("v").sortWithinPartitions("v", "low")
+        .mapInArrow(_lowest, "key binary, label long").groupBy("key").agg(F.min("label").alias("label"))
+    )
+    labels = staged(labels, "labels")
+    sizes = staged(labels.groupBy("label").agg(F.ceil(F.count("*") / block).alias("parts")), "sizes")
+    blocks = labels.join(sizes, "label").select(
+        "key", F.xxhash64("label", F.pmod(F.xxhash64("key"), F.col("parts"))).alias("block")
     )
+    cand = staged(cand.drop("low").join(staged(blocks, "blocks"), "key"), "candidates")
     units = staged(
         cand.select(F.explode("trees").alias("v"), "block").groupBy("v", "block").agg(F.count("*").alias("n"))
         .repartition("v").sortWithinPartitions("v", "block").mapInArrow(_meetings, "i long, j long").distinct(),
