@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webtraffic.llm import lsh_forest, mixing, packing, suffix_repeats, toxicity
+from webtraffic.llm import legacy_archive, license_scan, lsh_forest, mixing, packing, suffix_repeats, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "held_out", "score", "predicted")
 
 
+def op4_legacy_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = legacy_archive.archived(table(spark, sf_dir, "pages"))
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
@@ -24,6 +29,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_pieces(table(spark, sf_dir, "documents"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lsh_forest.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "class_id", "copy_id", "n_links", "n_text_links")
@@ -35,10 +44,14 @@ def op10_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op4_legacy_archive": op4_legacy_archive,
     "op5_mixing": op5_mixing,
     "op6_packing": op6_packing,
+    "op8_license_scan": op8_license_scan,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_suffix_repeats": op10_suffix_repeats,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op8_license_scan": license_scan.scan_sql(),
+}
