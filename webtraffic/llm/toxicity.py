@@ -138,7 +138,7 @@ def gram_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     everything = docs.select(text, F.lit(0).alias("column"))
     known = (
         labels.where(F.col("toxic").isNotNull() & (fold(F.col("doc_id")) != HELD_OUT))
-        .groupBy("doc_id").agg(F.max("toxic").alias("__toxic"))
+        .groupBy("doc_id").agg(F.max("toxic").alias("__toxic")).hint("merge")  # labels grow with documents
     )
     train = docs.where(fold(F.col("doc_id")) != HELD_OUT).select("doc_id", text).join(known, "doc_id")
     half = F.when(fold(F.col("doc_id")) == 0, 1).otherwise(3)
