@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webtraffic.llm import legacy_archive, license_scan, lsh_forest, mixing, packing, suffix_repeats, toxicity
+from webtraffic.llm import host_paths, legacy_archive, license_scan, lsh_forest, mixing, packing, suffix_repeats, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_pieces(table(spark, sf_dir, "documents"))
 
 
+def op7_host_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_paths.main_text(table(spark, sf_dir, "pages"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ QUERIES = {
     "op4_legacy_archive": op4_legacy_archive,
     "op5_mixing": op5_mixing,
     "op6_packing": op6_packing,
+    "op7_host_paths": op7_host_paths,
     "op8_license_scan": op8_license_scan,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_suffix_repeats": op10_suffix_repeats,
