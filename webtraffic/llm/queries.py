@@ -4,7 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webtraffic.llm import host_paths, legacy_archive, license_scan, lsh_forest, mixing, packing, suffix_repeats, toxicity
+from webtraffic.llm import (
+    host_paths,
+    legacy_archive,
+    license_scan,
+    lsh_forest,
+    mixing,
+    packing,
+    pivot_annuli,
+    suffix_repeats,
+    toxicity,
+    vantage_trees,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +27,14 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "held_out", "score", "predicted")
 
 
+def op2_vantage_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vantage_trees.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op3_pivot_annuli(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_annuli.top_scores(table(spark, sf_dir, "embeddings"))
+
+
 def op4_legacy_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = legacy_archive.archived(table(spark, sf_dir, "pages"))
     return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -48,6 +67,8 @@ def op10_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_vantage_trees": op2_vantage_trees,
+    "op3_pivot_annuli": op3_pivot_annuli,
     "op4_legacy_archive": op4_legacy_archive,
     "op5_mixing": op5_mixing,
     "op6_packing": op6_packing,
@@ -58,5 +79,6 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {
+    "op3_pivot_annuli": pivot_annuli.top_scores_sql(),
     "op8_license_scan": license_scan.scan_sql(),
 }
