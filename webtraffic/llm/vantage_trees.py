@@ -26,7 +26,7 @@ from webtraffic.llm.vectors import Best, floors, matrix, measures, merged, sampl
 SHARD = 4096
 LEAF = 64
 QUERIES = 512      #: queries of a block
-FACTOR = 2.0
+FACTOR = 6.0       #: recall 0.97 on the test embeddings (README); 1 is exact
 
 
 def tree(x: np.ndarray, largest: float, seed: int = 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
