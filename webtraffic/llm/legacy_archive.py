@@ -60,7 +60,8 @@ def _binary(rows: list[bytes]) -> pa.RecordBatch:
 
 def _save(records: DataFrame, path: str, separator: str, per_file: int) -> None:
     line = records.select(F.col("record").cast("string").alias("value"))
-    line.write.option("lineSep", separator).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+    out = line.write.option("lineSep", separator).option("compression", "gzip").option("zlib.compress.level", "THREE")
+    out.option("maxRecordsPerFile", per_file).text(path)
 
 
 def _with_heads(records: Iterator[bytes], head, per_file: int) -> Iterator[pa.RecordBatch]:

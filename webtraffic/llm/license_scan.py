@@ -215,7 +215,7 @@ def scan_sql(templates=TEMPLATES, phrases=PHRASES, contained: float = CONTAINED)
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     parts = [
-        f"select doc_id, i - 1 as at, '{label}' as label from place where "
+        f"select doc_id, i - 1 as pos, '{label}' as label from place where "
         + " and ".join(f"ws[i + {k}] = '{w}'" for k, w in enumerate(p.split()))
         for p, label in phrases.items()
     ]
@@ -228,7 +228,7 @@ w as (select doc_id, regexp_extract_all(t, '{word}') as ws from d),
 place as (select doc_id, ws, unnest(range(1, len(ws) + 1)) as i from w),
 base as ({' union all '.join(parts)}),
 bases as (
-    select doc_id, count(*) as n_base, min(at) as first_word, max(at) as last_word, list(distinct label) as labels
+    select doc_id, count(*) as n_base, min(pos) as first_word, max(pos) as last_word, list(distinct label) as labels
     from base group by doc_id),
 line as (
     select doc_id, list_distinct(regexp_extract_all(b, '{word}')) as ws

@@ -27,6 +27,7 @@ from __future__ import annotations
 import bisect
 import zlib
 from array import array
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +41,9 @@ TAIL = 20_000
 VOCABULARY = "byte_bpe_50k"
 
 
+@lru_cache(maxsize=1)
 def encoder(vocabulary: str = VOCABULARY):
-    """text -> packed little-endian 32-bit ids of the vocabulary's tokenizer file.
+    """text -> packed little-endian 32-bit ids of the vocabulary's tokenizer file. Built once a worker.
 
     The ranks file holds the same vocabulary as the tokenizer file and encodes several times
     faster; a text with the special token's string takes the special id, as the tokenizer does.

@@ -188,11 +188,11 @@ def top_scores_sql(every: int = 50, k: int = 5) -> str:
     """DuckDB statement for ``top_scores`` over ``embeddings`` (distinct vec_id)."""
     return f"""
 with v as (
-    select vec_id, list_transform(embedding, x -> floor({SCALE} * x::double)::bigint) as x from embeddings
+    select vec_id, list_transform(embedding, lambda x: floor({SCALE} * x::double)::bigint) as x from embeddings
     where vec_id is not null and embedding is not null
-    and len(list_filter(embedding, x -> x is null or isnan(x) or isinf(x))) = 0),
+    and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
 s as (
-    select q.vec_id as query_id, v.vec_id, list_sum(list_transform(list_zip(q.x, v.x), p -> p[1] * p[2]))::bigint as score
+    select q.vec_id as query_id, v.vec_id, list_sum(list_transform(list_zip(q.x, v.x), lambda p: p[1] * p[2]))::bigint as score
     from v as q join v on v.vec_id <> q.vec_id where q.vec_id % {every} = 0),
 r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)
 select query_id, rank, vec_id, score from r where rank <= {k}
