@@ -1,6 +1,7 @@
 """Differential test: every registered query against its DuckDB statement (sf0.001)."""
 
 import os
+import re
 import sys
 
 import pytest
@@ -12,7 +13,8 @@ from check_oracle import compare, duck  # noqa: E402
 
 from conftest import SF_SMALL  # noqa: E402
 
-NAMES = sorted(E.queries())
+# the library's own queries; the optional operators have tests of their own
+NAMES = sorted(n for n in E.queries() if n != "pipeline" and not re.match(r"op\d+_", n))
 
 
 @pytest.fixture(scope="module")

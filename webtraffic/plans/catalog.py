@@ -1,8 +1,8 @@
 """Named queries over the driver's tables, each paired with an independent DuckDB statement.
 
-Spark side: the library function applied to :func:`fixture_tables`. Oracle side: the
-reference's own SQL statement shape (EXISTS, correlated subqueries, self-joins — not our
-rewrites), with SQLite's ``datetime('now', ...)`` made explicit through the ``params`` CTE.
+Spark side: the library function applied to :func:`fixture_tables`. Oracle side: a DuckDB
+statement written from the report's definition (windows, QUALIFY, FILTER aggregates, per-visitor
+CTEs), with the reference instant explicit in the ``params`` CTE.
 Top-k lists break count ties by their keys ascending (NULLs first) on both sides.
 """
 
@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.enrich import DIRECT, REFERRER_BUCKETS
 from ..sources.fixtures import fixture_tables, oracle
 
 
@@ -61,6 +62,13 @@ def today_sql(col: str) -> str:
     return f"CAST({col} AS DATE) = CAST({ASOF} AS DATE)"
 
 
+def source_sql(domain: str) -> str:
+    """The bucket of a referrer domain: the first needle of the priority list that it contains."""
+    buckets = ", ".join(f"{{'needle': '{n}', 'label': '{label}'}}" for label, ns in REFERRER_BUCKETS for n in ns)
+    first = f"list_filter([{buckets}], lambda b: contains(lower({domain}), b.needle))[1].label"
+    return f"if(coalesce({domain}, '') = '', '{DIRECT}', coalesce({first}, {domain}))"
+
+
 # Fixed parameters of the registered variants.
 RANGE_START = "2024-01-10"
 RANGE_END = "2024-01-20 12:00:00"

@@ -14,7 +14,7 @@ from ..session import scratch_path
 from ..sources.hits import (GEO_RANGES_SQL, RAW_HITS_SQL, REFERRERS, UA_EXPECTED_SQL,
                             USER_AGENTS, fixture_geo_ranges, fixture_raw_hits)
 from ..sources.tables import Tables
-from .catalog import register
+from .catalog import register, source_sql
 
 _CACHE: dict = {}
 _LOCK = threading.Lock()
@@ -164,17 +164,8 @@ def _events(spark, d):
 
 # Reports over the ingested tables: referrer URL → host → source bucket end to end, and the
 # enrichment-driven audience breakdowns.
-@register("ingest_referrers_all", ingest_sql("""
-SELECT CASE
-  WHEN referrer_domain IS NULL OR referrer_domain = '' THEN 'Direct'
-  WHEN referrer_domain ILIKE '%google%' THEN 'Google'
-  WHEN referrer_domain ILIKE '%bing%' THEN 'Bing'
-  WHEN referrer_domain ILIKE '%yahoo%' THEN 'Yahoo'
-  WHEN referrer_domain ILIKE '%facebook%' THEN 'Facebook'
-  WHEN referrer_domain ILIKE '%twitter%' OR referrer_domain ILIKE '%x.com%' THEN 'Twitter/X'
-  WHEN referrer_domain ILIKE '%linkedin%' THEN 'LinkedIn'
-  WHEN referrer_domain ILIKE '%instagram%' THEN 'Instagram'
-  ELSE referrer_domain END AS source,
+@register("ingest_referrers_all", ingest_sql(f"""
+SELECT {source_sql('referrer_domain')} AS source,
  count(*) AS sessions, count(DISTINCT visitor_id) AS visitors
 FROM sessions_i GROUP BY source ORDER BY sessions DESC, source ASC NULLS FIRST LIMIT 15""",
                                             "sessions_i"))

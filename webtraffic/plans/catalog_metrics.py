@@ -10,52 +10,43 @@ S_NEEDS = ("sessions", "params")
 PV_NEEDS = ("page_views", "params")
 
 
+def _flagged(f: str) -> dict[str, str]:
+    """Sessions with their visitor's first start, and whether they are in the period or of today."""
+    return {"marked": f"""SELECT *, ({f}) AS inside, ({today_sql('started_at')}) AS of_today,
+ min(started_at) OVER (PARTITION BY visitor_id) AS first_start FROM sessions"""}
+
+
+# One aggregate over ``marked`` for each session scalar.
+_SESSION_SCALARS = {
+    "total_visitors": "count(DISTINCT visitor_id) FILTER (WHERE inside)",
+    "total_sessions": "count(*) FILTER (WHERE inside)",
+    "unique_today": "count(DISTINCT visitor_id) FILTER (WHERE of_today)",
+    "bounce_rate": "coalesce(count(*) FILTER (WHERE inside AND page_views = 1) * CAST(100.0 AS DOUBLE) "
+                   "/ nullif(count(*) FILTER (WHERE inside), 0), 0.0)",
+    "avg_session_duration": "coalesce(avg(duration) FILTER (WHERE inside), 0.0)",
+    "avg_pages_per_session": "coalesce(avg(page_views) FILTER (WHERE inside), 0.0)",
+    "return_visitors": "count(DISTINCT visitor_id) FILTER (WHERE inside AND first_start < started_at)",
+    "new_visitors": "count(DISTINCT visitor_id) FILTER (WHERE inside) "
+                    "- count(DISTINCT visitor_id) FILTER (WHERE inside AND first_start < started_at)",
+}
+
+
 def _kpi_sql(f: str, fv: str) -> str:
-    tv = f"(SELECT count(DISTINCT visitor_id) FROM sessions WHERE {f})"
-    rv = (f"(SELECT count(DISTINCT visitor_id) FROM sessions s1 WHERE EXISTS (SELECT 1 FROM "
-          f"sessions s2 WHERE s2.visitor_id = s1.visitor_id AND s2.started_at < s1.started_at) "
-          f"AND {f})")
+    scalars = ",\n ".join(f"{e} AS {k}" for k, e in _SESSION_SCALARS.items())
     return oracle(f"""
-SELECT {tv} AS total_visitors,
- (SELECT count(*) FROM sessions WHERE {f}) AS total_sessions,
- (SELECT count(*) FROM page_views WHERE {fv}) AS total_page_views,
- (SELECT count(DISTINCT visitor_id) FROM sessions WHERE {today_sql('started_at')}) AS unique_today,
- (SELECT coalesce(count(CASE WHEN page_views = 1 THEN 1 END) * CAST(100.0 AS DOUBLE)
-   / NULLIF(count(*), 0), 0.0) FROM sessions WHERE {f}) AS bounce_rate,
- (SELECT coalesce(avg(duration), 0.0) FROM sessions WHERE duration IS NOT NULL AND {f})
-   AS avg_session_duration,
- (SELECT coalesce(avg(page_views), 0.0) FROM sessions WHERE {f}) AS avg_pages_per_session,
- {rv} AS return_visitors,
- {tv} - {rv} AS new_visitors,
- (SELECT count(DISTINCT session_id) FROM page_views WHERE {after_sql('viewed_at', '5 MINUTE')})
-   AS active_sessions""", *S_NEEDS, "page_views")
+SELECT s.*, v.* FROM (SELECT {scalars} FROM marked) s,
+ (SELECT count(*) FILTER (WHERE inside) AS total_page_views,
+   count(DISTINCT session_id) FILTER (WHERE live) AS active_sessions FROM views) v""",
+                  *S_NEEDS, "page_views", extra=_flagged(f) | {
+        "views": f"SELECT session_id, ({fv}) AS inside, ({after_sql('viewed_at', '5 MINUTE')}) AS live FROM page_views"})
 
 
 def _scalar_sqls(f: str, fv: str) -> dict[str, str]:
-    rv = (f"SELECT count(DISTINCT visitor_id) FROM sessions s1 WHERE EXISTS (SELECT 1 FROM "
-          f"sessions s2 WHERE s2.visitor_id = s1.visitor_id AND s2.started_at < s1.started_at) "
-          f"AND {f}")
-    return {
-        "total_visitors": oracle(
-            f"SELECT count(DISTINCT visitor_id) AS total_visitors FROM sessions WHERE {f}", *S_NEEDS),
-        "total_sessions": oracle(
-            f"SELECT count(*) AS total_sessions FROM sessions WHERE {f}", *S_NEEDS),
-        "total_page_views": oracle(
-            f"SELECT count(*) AS total_page_views FROM page_views WHERE {fv}", *PV_NEEDS),
-        "bounce_rate": oracle(
-            f"SELECT coalesce(count(CASE WHEN page_views = 1 THEN 1 END) * CAST(100.0 AS DOUBLE) "
-            f"/ NULLIF(count(*), 0), 0.0) AS bounce_rate FROM sessions WHERE {f}", *S_NEEDS),
-        "avg_session_duration": oracle(
-            f"SELECT coalesce(avg(duration), 0.0) AS avg_session_duration FROM sessions "
-            f"WHERE duration IS NOT NULL AND {f}", *S_NEEDS),
-        "avg_pages_per_session": oracle(
-            f"SELECT coalesce(avg(page_views), 0.0) AS avg_pages_per_session FROM sessions "
-            f"WHERE {f}", *S_NEEDS),
-        "return_visitors": oracle(f"SELECT ({rv}) AS return_visitors", *S_NEEDS),
-        "new_visitors": oracle(
-            f"SELECT (SELECT count(DISTINCT visitor_id) FROM sessions WHERE {f}) - ({rv}) "
-            f"AS new_visitors", *S_NEEDS),
-    }
+    out = {k: oracle(f"SELECT {e} AS {k} FROM marked", *S_NEEDS, extra=_flagged(f))
+           for k, e in _SESSION_SCALARS.items() if k != "unique_today"}
+    out["total_page_views"] = oracle(
+        f"SELECT count(*) AS total_page_views FROM page_views WHERE {fv}", *PV_NEEDS)
+    return out
 
 
 # Period variants: the default (24h), the other named periods, "all", and an absolute range.
@@ -126,13 +117,12 @@ def _hourly(spark, d):
     return M.hourly_trends(t.sessions, t.as_of)
 
 
-@register("daily_trends", oracle(
-    f"SELECT d.date, d.sessions, d.visitors, (SELECT count(*) FROM page_views pv "
-    f"WHERE CAST(pv.viewed_at AS DATE) = d.date) AS page_views_count FROM ("
-    f"SELECT CAST(started_at AS DATE) AS date, count(*) AS sessions, "
-    f"count(DISTINCT visitor_id) AS visitors FROM sessions s "
-    f"WHERE {after_sql('started_at', '30 DAY')} GROUP BY CAST(started_at AS DATE)) d "
-    f"ORDER BY d.date", *S_NEEDS, "page_views"))
+@register("daily_trends", oracle("""
+SELECT day AS date, sessions, visitors, coalesce(n, 0) AS page_views_count
+FROM starts LEFT JOIN views USING (day) ORDER BY day""", *S_NEEDS, "page_views", extra={
+    "starts": f"""SELECT CAST(started_at AS DATE) AS day, count(*) AS sessions, count(DISTINCT visitor_id) AS visitors
+FROM sessions WHERE {after_sql('started_at', '30 DAY')} GROUP BY day""",
+    "views": "SELECT CAST(viewed_at AS DATE) AS day, count(*) AS n FROM page_views GROUP BY day"}))
 def _daily(spark, d):
     t = T(spark, d)
     return M.daily_trends(t.sessions, t.page_views, t.as_of)

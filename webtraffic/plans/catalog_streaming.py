@@ -12,7 +12,7 @@ from ..sources.hits import fixture_geo_ranges, raw_hits_from_events
 from ..streaming import live as L
 from .catalog import T, oracle, register
 from .catalog_ingest import ingest_sql
-from .catalog_reports import _FEED_NEEDS, _FEED_SQL
+from .catalog_reports import _FEED_CTES, _FEED_NEEDS, _FEED_SQL
 
 
 def events_stream(spark, sf_dir):
@@ -85,7 +85,7 @@ def _stream_active(spark, d):
                       "active_sessions")
 
 
-@register("stream_realtime_feed", oracle(_FEED_SQL, *_FEED_NEEDS))
+@register("stream_realtime_feed", oracle(_FEED_SQL, *_FEED_NEEDS, extra=_FEED_CTES))
 def _stream_feed(spark, d):
     t = T(spark, d)
     hits = hits_from_events(events_stream(spark, d))
