@@ -10,7 +10,8 @@ date partition; when present, a matching ``dt >=`` bound is added for partition
 
 from __future__ import annotations
 
-from datetime import date, datetime, timedelta
+import re
+from datetime import UTC, date, datetime, timedelta
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -28,17 +29,38 @@ HOURLY_WINDOW = timedelta(hours=24)
 DAILY_WINDOW = timedelta(days=30)
 
 
+_FORM = re.compile(r"(\d{4})-(\d{2})-(\d{2})(?:[T ]+(\d{2}):(\d{2})(?::(\d{2})(\.\d+)?)?\s*(?:(Z)|([+-])(\d{2}):(\d{2}))?)?", re.I)
+
+
 def to_datetime(value) -> datetime | None:
-    """Parse an ``as_of``/bound value; ``None`` when it cannot be read as a date-time."""
+    """Read an ``as_of``/bound value as UTC; ``None`` when it cannot be read as a date-time.
+
+    Texts follow SQLite's date functions: ``YYYY-MM-DD``, optionally ``HH:MM``, seconds and a
+    fraction after ``T`` or a space, optionally ``Z`` or an offset, which is applied. A day up to 31
+    that its month lacks runs over into the next one, and 24:00 into the next day. Julian day
+    numbers, ``now`` and modifiers are not supported and give ``None``, as do other texts.
+    Aware datetimes are converted to UTC.
+    """
     if value is None:
         return None
     if isinstance(value, datetime):
-        return value.replace(tzinfo=None)
+        return value.astimezone(UTC).replace(tzinfo=None) if value.tzinfo else value
     if isinstance(value, date):
         return datetime(value.year, value.month, value.day)
+    m = _FORM.fullmatch(str(value).strip())
+    if not m:
+        return None
+    y, mo, d, h, mi, s = (int(x or 0) for x in m.group(1, 2, 3, 4, 5, 6))
+    if not (1 <= mo <= 12 and 1 <= d <= 31 and h <= 24 and mi <= 59 and s <= 59 and y >= 1):
+        return None
+    east = timedelta(hours=int(m[10]), minutes=int(m[11])) if m[9] else timedelta(0)
+    if m[9] and (int(m[10]) > 14 or int(m[11]) > 59):
+        return None
+    micro = round(float(m[7] or 0) * 1_000_000)
     try:
-        return datetime.fromisoformat(str(value).strip())
-    except ValueError:
+        local = datetime(y, mo, 1) + timedelta(days=d - 1, hours=h, minutes=mi, seconds=s, microseconds=micro)
+        return local - east if m[9] != "-" else local + east
+    except OverflowError:
         return None
 
 

@@ -16,12 +16,13 @@ from ..functions.useragent import parse_user_agent
 from ..schema import EVENTS, PAGE_VIEWS, SESSIONS, VISITOR_DETAILS, VISITORS, conform
 from ..sources.tables import Tables
 from .geo import with_geo
-from .partitioning import spread
 
 PAGEVIEW = "pageview"
 # The collector's rejection messages.
 VISITOR_REQUIRED = "visitorId is required"
 SESSION_REQUIRED = "sessionId is required"
+# Our own: a hit without a readable arrival time would drop out of every time-bounded report.
+TIME_REQUIRED = "received_at cannot be read"
 
 
 def _first(*cols):
@@ -32,13 +33,14 @@ def normalize_hits(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Validate and flatten payloads (E08 defaults, E09 client address).
 
     Returns ``(valid, rejected)``; a rejected row keeps its hit id and the first failing
-    reason (the visitor id is checked first).
+    reason (visitor id, session id, arrival time).
     """
     def missing(c):
         return F.col(c).isNull() | (F.col(c) == "")
 
     reason = (F.when(missing("visitorId"), F.lit(VISITOR_REQUIRED))
-              .when(missing("sessionId"), F.lit(SESSION_REQUIRED)))
+              .when(missing("sessionId"), F.lit(SESSION_REQUIRED))
+              .when(F.col("received_at").isNull(), F.lit(TIME_REQUIRED)))
     h = raw.withColumn("reject_reason", reason)
     valid = h.where(F.col("reject_reason").isNull()).select(
         "hit_id", "received_at",
@@ -103,7 +105,7 @@ def derive_visitor_details(valid: DataFrame, geo_ranges: DataFrame | None = None
     collector. A hit without any client address gets no row (the collector's lookup failed on
     it and skipped the insert).
     """
-    h = spread(valid.where(F.col("ip").isNotNull()))
+    h = valid.where(F.col("ip").isNotNull())
     if geo_ranges is not None:
         h = with_geo(h, geo_ranges, "ip", broadcast=broadcast_geo)
     else:

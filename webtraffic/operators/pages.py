@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.period import DEFAULT_PERIOD, pcol, period_filter, time_filter
@@ -45,15 +45,16 @@ def _boundary_pages(page_views: DataFrame, period, as_of, start, end, n: int, fi
     """Entry (first) / exit (last) pages: per session the earliest/latest in-period view time,
     then every view of that session at that instant (ties all count).
 
-    The per-session extreme is a partially aggregated groupBy, and views are matched to it by an
-    equi-join on (session_id, viewed_at): a session with millions of views is spread over its
-    timestamps instead of landing in one window task.
+    One scan: views are ranked within their session, and only rank 1 is kept. Spark cuts each
+    task's rows to rank 1 before the shuffle (a window group limit), so a session with millions of
+    views sends only the ties of each task's extreme.
     """
     pv = (page_views.where(time_filter("viewed_at", period, start, end, as_of, pcol(page_views)))
+          .where(F.col("session_id").isNotNull() & F.col("viewed_at").isNotNull())
           .select("session_id", "page_path", "viewed_at"))
-    ext = F.min("viewed_at") if first else F.max("viewed_at")
-    bounds = pv.groupBy("session_id").agg(ext.alias("viewed_at")).where(F.col("viewed_at").isNotNull())
-    hits = pv.join(bounds, ["session_id", "viewed_at"], "left_semi")
+    edge = F.asc("viewed_at") if first else F.desc("viewed_at")
+    rank = F.rank().over(Window.partitionBy("session_id").orderBy(edge))
+    hits = pv.withColumn("_rank", rank).where(F.col("_rank") == 1)
     return top_k(hits.groupBy("page_path").agg(F.count(F.lit(1)).alias(out)), out, ["page_path"], n)
 
 

@@ -9,12 +9,11 @@ from pyspark.sql import functions as F
 
 from ..operators import audience as A
 from ..operators import ingest as I
-from ..operators.partitioning import spread
 from ..session import scratch_path
 from ..sources.hits import (GEO_RANGES_SQL, RAW_HITS_SQL, REFERRERS, UA_EXPECTED_SQL,
-                            USER_AGENTS, fixture_geo_ranges, fixture_raw_hits)
+                            USER_AGENTS, fixture_geo_ranges, fixture_raw_hits, read_hits)
 from ..sources.tables import Tables
-from .catalog import register, source_sql
+from .catalog import CATALOG, register, source_sql
 
 _CACHE: dict = {}
 _LOCK = threading.Lock()
@@ -27,13 +26,34 @@ def raw_hits(spark, sf_dir):
     with _LOCK:
         if key not in _CACHE:
             out = scratch_path(spark, "hits")
-            (spread(fixture_raw_hits(spark, sf_dir))
+            (fixture_raw_hits(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism)
              .withColumn("dt", F.to_date("received_at"))
              .write.partitionBy("dt").parquet(out))
             _CACHE[key] = spark.read.parquet(out).drop("dt")
         return _CACHE[key]
 
 
+def json_hits(spark, sf_dir) -> str:
+    """The fixture hits as JSON payloads, times in turn with ``Z``, an offset and no zone; the path."""
+    key = ("json", spark.sparkContext.applicationId, sf_dir)
+    raw = raw_hits(spark, sf_dir)
+    with _LOCK:
+        if key not in _CACHE:
+            out = scratch_path(spark, "json_hits")
+            t, form = F.col("received_at"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+            east = F.date_format(t + F.make_dt_interval(hours=F.lit(2)), form)
+            text = (F.when(F.col("hit_id") % 3 == 0, F.concat(F.date_format(t, form), F.lit("Z")))
+                    .when(F.col("hit_id") % 3 == 1, F.concat(east, F.lit("+02:00")))
+                    .otherwise(F.date_format(t, "yyyy-MM-dd HH:mm:ss.SSSSSS")))
+            raw.withColumn("received_at", text).write.json(out)
+            _CACHE[key] = out
+        return _CACHE[key]
+
+
+def json_ingested(spark, sf_dir) -> tuple[Tables, object]:
+    return I.ingest(read_hits(spark, json_hits(spark, sf_dir)), fixture_geo_ranges(spark, sf_dir))
+
+
 def ingested(spark, sf_dir) -> tuple[Tables, object]:
     key = (spark.sparkContext.applicationId, sf_dir)
     raw = raw_hits(spark, sf_dir)
@@ -189,3 +209,16 @@ _ing_breakdown("top_cities", ["city", "country"], 20)
 _ing_breakdown("top_browsers", ["browser"], 10)
 _ing_breakdown("device_types", ["device_type"], None)
 _ing_breakdown("languages", ["language"], 15)
+
+
+# The same tables from JSON payloads.
+_JSON = {
+    "rejected": lambda t, r: r,
+    "visitors": lambda t, r: t.visitors,
+    "sessions": lambda t, r: t.sessions,
+    "page_views": lambda t, r: t.page_views,
+    "visitor_details": lambda t, r: t.visitor_details.select(*_DETAIL_COLS),
+}
+for _name, _pick_table in _JSON.items():
+    register("ingest_json_" + _name, CATALOG["ingest_" + _name].sql)(
+        lambda spark, d, pick=_pick_table: pick(*json_ingested(spark, d)))

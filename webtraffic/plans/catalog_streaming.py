@@ -10,8 +10,8 @@ from ..session import scratch_path
 from ..sources.fixtures import hits_from_events
 from ..sources.hits import fixture_geo_ranges, raw_hits_from_events
 from ..streaming import live as L
-from .catalog import T, oracle, register
-from .catalog_ingest import ingest_sql
+from .catalog import CATALOG, T, oracle, register
+from .catalog_ingest import _DETAIL_COLS, ingest_sql, json_hits
 from .catalog_reports import _FEED_CTES, _FEED_NEEDS, _FEED_SQL
 
 
@@ -68,6 +68,44 @@ def _stream_page_views(spark, d):
     return spark.read.parquet(f"{out}/page_views").select(*PAGE_VIEWS.fieldNames())
 
 
+def _appended(spark, d, valid, table):
+    out, ck = scratch_path(spark, "stream", "append"), scratch_path(spark, "stream", "ck")
+    for q in L.stream_append(valid, out, ck, fixture_geo_ranges(spark, d)):
+        _run(q)
+    return spark.read.parquet(f"{out}/{table}")
+
+
+def _json_stream(spark, d):
+    """JSON payloads, two files a micro-batch."""
+    return L.read_hits_stream(spark, json_hits(spark, d), max_files_per_trigger=2)
+
+
+@register("stream_visitor_details", CATALOG["ingest_visitor_details"].sql)
+def _stream_details(spark, d):
+    return _appended(spark, d, _valid_stream(spark, d), "visitor_details").select(*_DETAIL_COLS)
+
+
+@register("stream_json_page_views", CATALOG["stream_page_views"].sql)
+def _stream_json_page_views(spark, d):
+    valid = L.ingest_stream(_json_stream(spark, d))
+    return _appended(spark, d, valid, "page_views").select(*PAGE_VIEWS.fieldNames())
+
+
+@register("stream_json_sessions", CATALOG["stream_sessions"].sql)
+def _stream_json_sessions(spark, d):
+    out, ck = scratch_path(spark, "stream", "sessions"), scratch_path(spark, "stream", "ck")
+    valid = L.ingest_stream(_json_stream(spark, d))
+    _run(L.versioned_sink(L.stream_sessions(valid), out, ck, key="session_id", compact_every=2))
+    return L.read_latest(spark, out, "session_id", SESSIONS)
+
+
+@register("stream_dedupe", CATALOG["stream_page_views"].sql)
+def _stream_dedupe(spark, d):
+    raw = L.read_hits_stream(spark, json_hits(spark, d))  # one micro-batch: no hit is late
+    valid = L.ingest_stream(L.dedupe_hits(raw.unionByName(raw)))
+    return _appended(spark, d, valid, "page_views").select(*PAGE_VIEWS.fieldNames())
+
+
 @register("stream_active_sessions", oracle("""
 SELECT window_start, window_start + INTERVAL 5 MINUTE AS window_end,
  count(DISTINCT session_id) AS active_sessions

@@ -8,7 +8,7 @@ days of one window, device classes), so no unbounded group reaches one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.period import DEFAULT_PERIOD, on_day, pcol, period_filter
@@ -36,20 +36,15 @@ SCALAR_KEYS = {
     "new_visitors": "newVisitors", "active_sessions": "activeSessions",
 }
 
-# Columns the breakdowns read; the bundle first reduces details to distinct combinations of
-# these per visitor, which leaves every distinct-visitor count unchanged.
-DETAIL_DIMENSIONS = ["visitor_id", "country", "country_code", "city", "browser",
-                     "browser_version", "device_type", "device_brand", "device_model", "os",
-                     "os_version", "screen_width", "screen_height", "language"]
-
-
 def basic_totals(sessions: DataFrame, page_views: DataFrame, period=DEFAULT_PERIOD,
                  as_of=None) -> DataFrame:
     """Q01-Q04 of the basic report in one row: one sessions pass (period OR today pushed to
     the scan), grouped per visitor, and one page-view pass; folded without a join."""
     in_p = period_filter("started_at", period, as_of)
     today = on_day("started_at", as_of)
-    per_v = (sessions.where(in_p | today)
+    pc = pcol(sessions)
+    scan = period_filter("started_at", period, as_of, pc) | on_day("started_at", as_of, pc)
+    per_v = (sessions.where(scan)
              .groupBy("visitor_id")
              .agg(F.count_if(in_p).alias("n"), F.count_if(today).alias("n_today")))
     known = F.col("visitor_id").isNotNull()
@@ -75,6 +70,14 @@ def _fold(rows: list[DataFrame], order: list[str]) -> DataFrame:
     return stacked.agg(*[F.first(c, ignorenulls=True).alias(c) for c in order])
 
 
+def _resolved(t: Tables, as_of):
+    """The report's reference instant: given, or that of the tables; a clock is never read."""
+    as_of = as_of or t.as_of
+    if as_of is None:
+        raise ValueError("a report needs as_of: pass it, or load the tables with it (load_tables(..., as_of=...))")
+    return as_of
+
+
 def basic_stats(t: Tables, period=DEFAULT_PERIOD, as_of=None,
                 fuse_audience: bool = True) -> dict[str, DataFrame]:
     """Q36: the basic report as named DataFrames.
@@ -82,7 +85,7 @@ def basic_stats(t: Tables, period=DEFAULT_PERIOD, as_of=None,
     With ``fuse_audience`` the bundle also holds ``_lists``: top countries and top browsers
     from one pass over the detail table, which the JSON document uses.
     """
-    as_of = as_of or t.as_of
+    as_of = _resolved(t, as_of)
     d = t.visitor_details
     extra = {}
     if fuse_audience:
@@ -97,7 +100,7 @@ def basic_stats(t: Tables, period=DEFAULT_PERIOD, as_of=None,
 
 
 def enhanced_stats(t: Tables, period=DEFAULT_PERIOD, start=None, end=None, as_of=None,
-                   reduce_details: bool = True, fuse_audience: bool = True) -> dict[str, DataFrame]:
+                   fuse_audience: bool = True) -> dict[str, DataFrame]:
     """Q37: the enhanced report as named DataFrames (``totals`` is the Q38 KPI row).
 
     With ``fuse_audience`` the bundle also holds ``_lists`` (every top-k audience breakdown
@@ -105,15 +108,13 @@ def enhanced_stats(t: Tables, period=DEFAULT_PERIOD, start=None, end=None, as_of
     three acquisition lists from one pass over the period's sessions). The JSON document
     takes those lists from them; the separate pieces stay for callers that want one list.
     """
-    as_of = as_of or t.as_of
+    as_of = _resolved(t, as_of)
     s, pv = t.sessions, t.page_views
-    raw = d = t.visitor_details
-    if reduce_details:
-        d = d.select(*DETAIL_DIMENSIONS).distinct()
+    d = t.visitor_details
     kw = dict(period=period, as_of=as_of, start=start, end=end)
     extra = {}
     if fuse_audience:
-        extra = {"_lists": A.breakdown_lists(raw), "_acquisition": A.acquisition_lists(s, **kw)}
+        extra = {"_lists": A.breakdown_lists(d), "_acquisition": A.acquisition_lists(s, **kw)}
     return extra | {
         "totals": M.kpi_row(s, pv, **kw),
         "hourlyTrends": M.hourly_trends(s, as_of),
@@ -187,13 +188,38 @@ def report_json(bundle: dict[str, DataFrame], keys: list[str] = ENHANCED_KEYS) -
             inner.append(_as_list(name, df).scalar().alias(name))
             outer[name] = F.col(name)
     doc = F.struct(*[outer[k].alias(k) for k in keys if k in outer])
-    return spark.range(1).select(*inner).select(F.to_json(doc).alias("json"))
+    return spark.range(1).select(*inner).select(_json(doc).alias("json"))
+
+
+def _json(doc) -> Column:
+    """A JSON object that keeps NULL fields as ``null``, as the service's documents do."""
+    return F.to_json(doc, {"ignoreNullFields": "false"})
+
+
+def realtime_json(feed: DataFrame) -> DataFrame:
+    """Q39: the realtime document of a feed (at most its limit of rows, in the feed's order)."""
+    rows = F.sort_array(F.collect_list(F.struct(
+        (-F.unix_micros(F.col("viewed_at").cast("timestamp"))).alias("_k"), F.struct(*feed.columns).alias("_v"))))
+    doc = F.struct(F.count(F.lit(1)).alias("count"), rows.getField("_v").alias("visitors"))
+    return feed.agg(_json(doc).alias("json"))
+
+
+def visitors_json_lines(recent: DataFrame) -> DataFrame:
+    """Q39: the visitors document as JSON lines, one per visitor in the listing's order.
+
+    The listing has no upper bound, so it is not folded into one row.
+    """
+    return recent.select(_json(F.struct(*recent.columns)).alias("json"))
 
 
 def write_report(bundle: dict[str, DataFrame], out_dir: str, keys: list[str] = ENHANCED_KEYS,
                  mode: str = "overwrite") -> None:
-    """The JSON document as a text file, and each piece as Parquet beside it."""
-    report_json(bundle, keys).coalesce(1).write.mode(mode).text(f"{out_dir}/report.json")
+    """Each piece as Parquet, and the JSON document of what was written beside them.
+
+    The document reads the written pieces, so the tables behind the report are scanned once.
+    """
+    stored = {}
     for name, df in bundle.items():
-        if not name.startswith("_"):
-            df.write.mode(mode).parquet(f"{out_dir}/{name}")
+        df.write.mode(mode).parquet(f"{out_dir}/{name.lstrip('_')}")
+        stored[name] = df.sparkSession.read.schema(df.schema).parquet(f"{out_dir}/{name.lstrip('_')}")
+    report_json(stored, keys).coalesce(1).write.mode(mode).text(f"{out_dir}/report.json")

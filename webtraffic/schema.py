@@ -29,6 +29,14 @@ HIT = _struct(
     ("hit_id", L),
 )
 
+# The same payload as JSON carries it: ids of any JSON type, times as text with or without a zone,
+# sizes as any number.
+JSON_HIT = T.StructType([
+    T.StructField(f.name, {"visitorId": T.VariantType(), "sessionId": T.VariantType(), "received_at": S,
+                           "screen": _struct(("width", D), ("height", D))}.get(f.name, f.dataType), True)
+    for f in HIT.fields
+])
+
 VISITORS = _struct(
     ("id", L), ("visitor_id", S), ("ip_address", S), ("user_agent", S),
     ("created_at", TS), ("last_seen", TS),

@@ -82,18 +82,4 @@ def scratch_path(spark: SparkSession, *parts: str) -> str:
     return "/".join([root, "webtraffic", app, *parts, uuid.uuid4().hex[:12]])
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Make ``DataFrame.checkpoint()`` usable: set the context's dir from the conf if needed."""
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(checkpoint_root(spark))
-    return sc.getCheckpointDir()
-
-
-def local_path(p: str) -> str:
-    """Strip a ``file:`` scheme for use with Python's own file functions (tests only)."""
-    return p[len("file:"):] if p.startswith("file:") else p
-
-
-__all__ = ["get_spark", "checkpoint_root", "scratch_path", "ensure_checkpoint_dir", "is_local",
-           "local_path", "DEFAULT_CONF"]
+__all__ = ["get_spark", "checkpoint_root", "scratch_path", "is_local", "DEFAULT_CONF"]

@@ -9,17 +9,55 @@ from ``nation``/``region``. The SQL twins feed the DuckDB oracle.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schema import HIT
+from ..schema import JSON_HIT
 from .fixtures import read_table
 
 
+def instant(text) -> Column:
+    """A date-time text as UTC ``timestamp_ntz``, whatever the session's zone.
+
+    ``T`` or a space between date and time, any fraction of a second; ``Z`` or an offset
+    (``+02:00``, ``-0530``, ``+02``) is applied, no zone means UTC; a date alone is its midnight.
+    Anything else is NULL.
+    """
+    form = r"^\s*(\d{4}-\d{2}-\d{2})(?:[T ](\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?)\s*([Zz]|[+-]\d{2}(?::?\d{2})?)?)?\s*$"
+    t = F.col(text) if isinstance(text, str) else text
+    day, clock, zone = (F.regexp_extract(t, form, k) for k in (1, 2, 3))
+    local = F.concat(day, F.lit(" "), F.when(clock == "", F.lit("00:00:00"))
+                     .when(F.length(clock) == 5, F.concat(clock, F.lit(":00"))).otherwise(clock))
+    digits = F.regexp_replace(F.substring(zone, 2, 5), ":", "")
+    minutes = (F.substring(digits, 1, 2).try_cast("int") * 60
+               + F.coalesce(F.substring(digits, 3, 2).try_cast("int"), F.lit(0)))
+    east = F.when(zone.startswith("+"), minutes).when(zone.startswith("-"), -minutes).otherwise(F.lit(0))
+    utc = F.try_add(local.try_cast("timestamp_ntz"), F.make_dt_interval(mins=-east))
+    return F.when(t.rlike(form), utc)
+
+
+def _id(c: str) -> Column:
+    """A payload id as text; the falsy values 0 and false count as missing, like null and ''."""
+    v = F.col(c)
+    text = F.try_variant_get(v, "$", "string")
+    falsy = F.schema_of_variant(v).isin("BIGINT", "BOOLEAN", "DOUBLE", "DECIMAL(1,0)") & text.isin("0", "false", "0.0")
+    return F.when(~F.coalesce(falsy, F.lit(False)), text)
+
+
+def from_payload(df: DataFrame) -> DataFrame:
+    """Rows read with ``JSON_HIT`` in the shape of ``HIT``; a time that cannot be read is NULL and
+    is rejected by validation. Sizes are whole pixels, a fraction is cut."""
+    size = lambda c: F.when(F.abs(F.col(c)) < 1e9, F.col(c)).cast("int").alias(c.split(".")[1])
+    return df.withColumns({
+        "visitorId": _id("visitorId"), "sessionId": _id("sessionId"), "received_at": instant("received_at"),
+        "screen": F.struct(size("screen.width"), size("screen.height")),
+    })
+
+
 def read_hits(spark: SparkSession, path: str) -> DataFrame:
     """JSON-lines payloads with the declared schema (no inference); bad records keep
     NULL fields (PERMISSIVE) and are then rejected by validation."""
-    return spark.read.schema(HIT).option("mode", "PERMISSIVE").json(path)
+    return from_payload(spark.read.schema(JSON_HIT).option("mode", "PERMISSIVE").json(path))
 
 
 # Fixed values of the raw-hit fixture (our own test inputs).

@@ -18,10 +18,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.enrich import referrer_domain
-from ..operators.ingest import PAGEVIEW, derive_page_views, derive_visitor_details, normalize_hits
+from ..operators.ingest import (derive_page_views, derive_sessions, derive_visitor_details,
+                                derive_visitors, normalize_hits)
 from ..operators.people import realtime_feed
-from ..schema import HIT, SESSIONS, VISITORS, conform
+from ..schema import HIT, JSON_HIT, SESSIONS, VISITORS, conform
+from ..sources.hits import from_payload
 
 EVENT_TIME = "event_time"
 WATERMARK = "10 minutes"
@@ -36,14 +37,20 @@ def with_event_time(hits: DataFrame, watermark: str | None = WATERMARK) -> DataF
     return df.withWatermark(EVENT_TIME, watermark) if watermark else df
 
 
-def read_hits_stream(spark: SparkSession, path: str, fmt: str = "json", schema=HIT,
+def read_hits_stream(spark: SparkSession, path: str, fmt: str = "json", schema=None,
                      max_files_per_trigger: int | None = None,
                      watermark: str | None = WATERMARK) -> DataFrame:
-    """A streaming hit source with a declared schema and an event-time watermark."""
-    r = spark.readStream.schema(schema).format(fmt)
+    """A streaming hit source with a declared schema and an event-time watermark.
+
+    JSON payloads are read like :func:`webtraffic.sources.hits.read_hits` reads them; other formats
+    hold typed hits (``schema``, by default ``HIT``).
+    """
+    payload = fmt == "json" and schema is None
+    r = spark.readStream.schema(JSON_HIT if payload else schema or HIT).format(fmt)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    return with_event_time(r.load(path), watermark)
+    hits = r.load(path)
+    return with_event_time(from_payload(hits) if payload else hits, watermark)
 
 
 def dedupe_hits(hits: DataFrame, key: str = "hit_id") -> DataFrame:
@@ -51,28 +58,14 @@ def dedupe_hits(hits: DataFrame, key: str = "hit_id") -> DataFrame:
     return hits.dropDuplicatesWithinWatermark([key])
 
 
-def _first(*cols):
-    return F.min_by(F.struct(*cols), F.struct("received_at", "hit_id"))
-
-
 def stream_visitors(valid: DataFrame) -> DataFrame:
-    """Per-visitor get-or-create aggregate (emit in update mode)."""
-    return (valid.groupBy("visitor_id").agg(
-        _first(F.col("hit_id").alias("id"), F.col("ip").alias("ip_address"), "user_agent").alias("f"),
-        F.min("received_at").alias("created_at"),
-        F.max("received_at").alias("last_seen"))
-        .select("f.id", "visitor_id", "f.ip_address", "f.user_agent", "created_at", "last_seen"))
+    """Per-visitor get-or-create aggregate (emit in update mode), as in batch."""
+    return derive_visitors(valid)
 
 
 def stream_sessions(valid: DataFrame, count_from: int = 1) -> DataFrame:
-    """Per-session get-or-create aggregate and page-view counter (update mode)."""
-    return (valid.groupBy("session_id").agg(
-        _first(F.col("hit_id").alias("id"), "visitor_id", F.col("received_at").alias("started_at"),
-               "referrer").alias("f"),
-        F.count_if(F.col("type") == PAGEVIEW).alias("_n_pv"))
-        .select("f.id", "f.visitor_id", "session_id", "f.started_at",
-                (F.lit(count_from) + F.col("_n_pv")).cast("long").alias("page_views"),
-                "f.referrer", referrer_domain(F.col("f.referrer")).alias("referrer_domain")))
+    """Per-session get-or-create aggregate and page-view counter (update mode), as in batch."""
+    return derive_sessions(valid, count_from)
 
 
 SNAPSHOTS = "_snapshots"
