@@ -21,3 +21,12 @@ def spark():
 @pytest.fixture()
 def tmp_dir(tmp_path):
     return str(tmp_path)
+
+
+@pytest.fixture()
+def broadcast_threshold(spark):
+    """Set the size up to which Spark broadcasts a join side; put back afterwards."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    yield lambda size: spark.conf.set(key, size)
+    spark.conf.set(key, before)

@@ -104,12 +104,12 @@ def test_returning_visitor_with_earlier_session_outside_period(spark):
     assert r["bounce_rate"] == pytest.approx(75.0)
 
 
-@pytest.mark.parametrize("max_rows", [1_000_000, 0])  # broadcast and shuffled history check
-def test_return_visitors_equals_exists(spark, monkeypatch, max_rows):
+@pytest.mark.parametrize("threshold", ["10m", "-1"])  # broadcast and shuffled history check
+def test_return_visitors_equals_exists(spark, broadcast_threshold, threshold):
     """Rewrite equivalence on a random table with ties and NULLs: per-visitor form vs EXISTS."""
     import random
 
-    monkeypatch.setattr(M, "EARLIER_BROADCAST_MAX_ROWS", max_rows)
+    broadcast_threshold(threshold)
 
     rnd = random.Random(7)
     rows = []

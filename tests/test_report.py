@@ -84,17 +84,17 @@ def test_basic_document_same_with_and_without_fusion(spark):
         assert list(doc) == R.BASIC_KEYS and "cities" not in doc["topCountries"][0]
 
 
-def test_large_limits_skip_the_key_broadcast_with_same_results(spark, monkeypatch):
+def test_shuffled_key_joins_give_the_same_results(spark, broadcast_threshold):
     from webtraffic.operators import people as PE
 
     t = fixture_tables(spark, SF_SMALL)
 
     def both(fn):
-        a = [tuple(r) for r in fn().collect()]
-        monkeypatch.setattr(PE, "TOPN_BROADCAST_MAX", 1)
-        b = [tuple(r) for r in fn().collect()]
-        monkeypatch.setattr(PE, "TOPN_BROADCAST_MAX", 1_000_000)
-        return a, b
+        out = []
+        for threshold in ("10m", "-1"):
+            broadcast_threshold(threshold)
+            out.append([tuple(r) for r in fn().collect()])
+        return out
 
     a, b = both(lambda: PE.recent_visitors(t.visitors, t.visitor_details, t.sessions, 7))
     assert a == b and len(a) == 7

@@ -16,8 +16,6 @@ from ..functions.enrich import empty_to_null, is_local_ip
 IPV4_RE = r"^(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})$"
 MAPPED_PREFIX_RE = r"^::ffff:"
 BLOCK_BITS = 16
-# Above this many exploded range rows the range side is shuffled instead of broadcast.
-BROADCAST_MAX_ROWS = 1_000_000
 NULL_KEY_SPREAD = 1024
 
 
@@ -43,27 +41,20 @@ def explode_ranges(geo_ranges: DataFrame) -> DataFrame:
 
 
 def with_geo(hits: DataFrame, geo_ranges: DataFrame, ip_col: str = "ip",
-             salt_col: str = "hit_id", broadcast: bool | None = None,
-             broadcast_max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+             salt_col: str = "hit_id", broadcast: bool | None = None) -> DataFrame:
     """Add ``geo_country``, ``geo_region``, ``geo_city`` (NULL for local or unknown addresses).
 
-    The range side is broadcast only after counting it (``broadcast=None``): a measured bound,
-    not a guess. Otherwise both sides shuffle on the block; a hot block is split by AQE's skew
+    Spark broadcasts the range side if its size allows (``broadcast=True`` asks for it, for a table
+    known to be small). Otherwise both sides shuffle on the block; a hot block is split by AQE's skew
     join, and rows with no address (local, IPv6, malformed) get a spread of negative block ids
     that never match, so they do not pile into the single partition of a NULL key.
     """
     ranges = explode_ranges(geo_ranges)
-    if broadcast is None:
-        broadcast = ranges.count() <= broadcast_max_rows
     addr = F.when(~is_local_ip(F.col(ip_col)), ipv4_to_long(ip_col))
+    spread = -1 - F.pmod(F.xxhash64(F.col(salt_col)), F.lit(NULL_KEY_SPREAD))
     h = hits.withColumn("_ip_long", addr)
-    if broadcast:
-        h = h.withColumn("_blk", F.shiftright("_ip_long", BLOCK_BITS))
-        r = F.broadcast(ranges)
-    else:
-        spread = -1 - F.pmod(F.xxhash64(F.col(salt_col)), F.lit(NULL_KEY_SPREAD))
-        h = h.withColumn("_blk", F.coalesce(F.shiftright("_ip_long", BLOCK_BITS), spread))
-        r = ranges
+    h = h.withColumn("_blk", F.coalesce(F.shiftright("_ip_long", BLOCK_BITS), spread))
+    r = F.broadcast(ranges) if broadcast else ranges
     cond = (F.col("_blk") == F.col("_block")) & F.col("_ip_long").between(F.col("_ip_from"),
                                                                           F.col("_ip_to"))
     out = h.join(r, cond, "left").drop("_blk", "_block", "_ip_from", "_ip_to", "_ip_long")

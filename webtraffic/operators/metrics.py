@@ -76,39 +76,22 @@ def avg_pages_per_session(sessions, period=DEFAULT_PERIOD, as_of=None, start=Non
         _mean(F.sum("page_views"), F.count("page_views")).alias("avg_pages_per_session"))
 
 
-# Above this many in-period visitors, the check for earlier sessions shuffles the history
-# (after a map-side distinct) instead of broadcasting the visitors into the history scan.
-EARLIER_BROADCAST_MAX_ROWS = 1_000_000
-
-
-def _with_earlier(per_v: DataFrame, sessions: DataFrame, period, start, end, as_of,
-                  broadcast: bool | None = None) -> DataFrame:
+def _with_earlier(per_v: DataFrame, sessions: DataFrame, period, start, end, as_of) -> DataFrame:
     """Add ``_earlier`` to a per-visitor in-period aggregate (with ``n`` = in-period sessions):
     does the visitor have a session before the period's lower bound?
 
-    Only the period's sessions are aggregated per visitor; older history is read for two
-    columns and matched against the period's visitors. When the period's session count (an
-    upper bound on its visitors) is under the bound, their visitor ids are broadcast into the
-    history scan, so history is filtered map-side and only matching visitors are shuffled,
-    each collapsed to one row per task by the distinct. Above the bound the history is first
-    reduced by a map-side distinct and then semi-joined to the period's visitors (pruned at
-    scale by a runtime bloom filter of those visitors).
+    Only the period's sessions are aggregated per visitor; older history is read for one column,
+    reduced to its semi-join with the period's session scan and then to one row per visitor. No
+    job runs while the plan is built: Spark broadcasts the period's side if its size allows, as
+    measured at run time, and otherwise can prune history by a runtime bloom filter of it.
     """
     before = before_period("started_at", period, start, end, as_of, pcol(sessions))
     if before is None:
         return per_v.withColumn("_earlier", F.lit(False))
-    hist = sessions.where(before & F.col("visitor_id").isNotNull()).select("visitor_id")
-    # The period's sessions: a pruned scan whose row count bounds the number of their visitors.
-    in_p = sessions.where(time_filter("started_at", period, start, end, as_of, pcol(sessions))
-                          & F.col("visitor_id").isNotNull()).select("visitor_id")
-    if broadcast is None:
-        broadcast = in_p.count() <= EARLIER_BROADCAST_MAX_ROWS
-    if broadcast:
-        seen = hist.join(F.broadcast(in_p), "visitor_id", "left_semi").distinct()
-    else:
-        # Semi-joined to the period's session scan (not the aggregate), so Spark can build a
-        # runtime bloom filter from it and prune the history scan below the map-side distinct.
-        seen = hist.distinct().join(in_p, "visitor_id", "left_semi")
+    known = F.col("visitor_id").isNotNull()
+    hist = sessions.where(before & known).select("visitor_id")
+    in_p = sessions.where(time_filter("started_at", period, start, end, as_of, pcol(sessions)) & known)
+    seen = hist.join(in_p.select("visitor_id"), "visitor_id", "left_semi").distinct()
     return (per_v.join(seen.withColumn("_earlier", F.lit(True)), "visitor_id", "left")
             .withColumn("_earlier", F.coalesce(F.col("_earlier"), F.lit(False))))
 
@@ -199,7 +182,10 @@ KPI_COLUMNS = ("total_visitors", "total_sessions", "total_page_views", "unique_t
 
 def kpi_row(sessions, page_views, period=DEFAULT_PERIOD, as_of=None, start=None,
             end=None) -> DataFrame:
-    """Q38: the enhanced report's ten scalars in two scans and one shuffle.
+    """Q38: the enhanced report's ten scalars in one row.
+
+    Four scans: the period's sessions twice (measures, and the semi-join of history), older
+    sessions for one column, and the period's page views.
 
     Sessions: one pass over the period's (and today's) sessions, grouped by visitor with
     partial aggregation map-side, carries every session scalar; the returning-visitor test

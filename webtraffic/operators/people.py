@@ -11,8 +11,6 @@ from .topk import parse_limit
 FEED_COLUMNS = ["visitor_id", "country", "city", "browser", "device_type", "page_path",
                 "viewed_at"]
 RECENT_DETAIL_COLUMNS = ["country", "city", "browser", "device_type", "os"]
-# A top-n key set is broadcast only up to this many keys (n comes from the request).
-TOPN_BROADCAST_MAX = 1_000_000
 
 
 def latest_details(details: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -35,9 +33,10 @@ def realtime_feed(page_views: DataFrame, visitors: DataFrame, details: DataFrame
     (one output row per pair), ``ORDER BY viewed_at DESC LIMIT n``; ties are broken by page
     view id, then detail id. Every page view yields at least one row, so only the newest ``n``
     page views can appear; for their (at most ``n``) visitors only the first ``n`` detail rows
-    by id can appear. Both cuts are exact, and the per-visitor cut runs as a window group limit
-    that Spark applies before the shuffle too — a visitor with millions of detail rows sends
-    at most ``n`` per map task, and no visitor × detail product is ever built.
+    by id can appear. Both cuts are exact. Up to Spark's window group limit threshold (1000) the
+    per-visitor cut also runs before the shuffle, so a visitor with millions of detail rows sends at
+    most ``n`` per map task; with a larger ``n`` all of the visitor's rows are shuffled. No
+    visitor × detail product is ever built.
     ``latest=True`` joins the single latest detail row per visitor (E07) instead.
     """
     recent = (page_views.where(after("viewed_at", as_of, LIVE_WINDOW, pcol(page_views)))
@@ -45,12 +44,8 @@ def realtime_feed(page_views: DataFrame, visitors: DataFrame, details: DataFrame
     known = recent.join(visitors.select("visitor_id"), "visitor_id", "left_semi")
     top = known.orderBy(F.desc("viewed_at"), F.asc("_pv_id")).limit(n)
     dcols = ["country", "city", "browser", "device_type"]
-    # The key set is the output of a limit-n query: its size is bounded by n, so (for a
-    # moderate n) it is broadcast into the semi-join that narrows the detail scan.
-    keys = top.select("visitor_id").distinct()
-    if n <= TOPN_BROADCAST_MAX:
-        keys = F.broadcast(keys)
-    mine = details.join(keys, "visitor_id", "left_semi")
+    # The key set is the output of a limit-n query; Spark broadcasts it if its measured size allows.
+    mine = details.join(top.select("visitor_id").distinct(), "visitor_id", "left_semi")
     if latest:
         d = latest_details(mine, dcols).withColumn("_rk", F.lit(1))
     else:
@@ -81,16 +76,15 @@ def recent_visitors(visitors: DataFrame, details: DataFrame, sessions: DataFrame
     ``limit`` follows ``parseInt(limit) || 50``; negative means all visitors.
 
     With a limit, the ``n`` most recent visitors are chosen first (a top-k over the visitors
-    table); that key set is bounded by ``n``, so (up to ``TOPN_BROADCAST_MAX``) it is broadcast
-    into the session and detail scans and only those visitors' rows are aggregated, not all
-    history. A larger ``n`` aggregates every visitor and keeps the ``n`` most recent.
+    table), and only their sessions and details are aggregated, through semi-joins whose side
+    Spark broadcasts if its measured size allows.
     """
     n = parse_limit(limit)
     order = [F.desc_nulls_last("last_seen"), F.asc("visitor_id")]
     v = visitors.select("visitor_id", "ip_address", "last_seen")
-    if n is not None and n <= TOPN_BROADCAST_MAX:
+    if n is not None:
         v = v.orderBy(*order).limit(n)
-        keys = F.broadcast(v.select("visitor_id"))
+        keys = v.select("visitor_id")
         sessions = sessions.join(keys, "visitor_id", "left_semi")
         details = details.join(keys, "visitor_id", "left_semi")
     s = (sessions.where(F.col("visitor_id").isNotNull()).groupBy("visitor_id")
@@ -106,5 +100,4 @@ def recent_visitors(visitors: DataFrame, details: DataFrame, sessions: DataFrame
                    *[F.col(f"_d.{c}").alias(c) for c in RECENT_DETAIL_COLUMNS],
                    F.coalesce("session_count", F.lit(0)).alias("session_count"),
                    (F.col("_pv_sum") * factor).alias("total_page_views")))
-    out = out.orderBy(*order)
-    return out if n is None or n <= TOPN_BROADCAST_MAX else out.limit(n)
+    return out.orderBy(*order)
