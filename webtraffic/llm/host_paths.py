@@ -202,7 +202,7 @@ def own_path(nodes: list[Node], blocks: list[tuple[int, str, int]]) -> str | Non
     """The path that a page votes for; None without text."""
     score = [0.0] * len(nodes)
     for n, block, linked in blocks:
-        score[n] += max(0, len(block) - LINK_COST * linked) or 0
+        score[n] += max(0, len(block) - LINK_COST * linked)
     for n in range(len(nodes) - 1, 0, -1):  # children come after their parents
         score[nodes[n].parent] += score[n]
     if score[0] <= 0:
