@@ -24,6 +24,7 @@ among the training rows every score is that class's smoothed share. Repeated row
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -270,11 +271,15 @@ class Scorer:
 _NAMES = ["c0", "c1", "c2", "c3", "c4"]
 
 
-def _compared(batches, full, half):
-    models = {}
+_scorers: dict[str, dict[str, Scorer]] = {}  # of one run, kept by a worker between its tasks
+
+
+def _compared(batches, run: str, full, half):
+    if run not in _scorers:
+        _scorers.clear()
+        _scorers[run] = {"full": Scorer(full.value), "half": Scorer(half.value)}
+    models = _scorers[run]
     for b in batches:
-        if not models:
-            models = {"full": Scorer(full.value), "half": Scorer(half.value)}
         off, data = buffers(b.column("text"))
         n = len(off) - 1
         probe = b.column("probe").to_numpy(zero_copy_only=False)
@@ -337,7 +342,8 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
         (fold(F.col("doc_id")) == 2).alias("probe"), text.alias("text"),
     )
     schema = "doc_id long, place long, probe boolean, " + ", ".join(f"{p}{c} double" for p in ("", "h") for c in _NAMES)
-    compared = staged(rows.mapInArrow(lambda it: _compared(it, full, half), schema), "compared")
+    run = uuid.uuid4().hex
+    compared = staged(rows.mapInArrow(lambda it: _compared(it, run, full, half), schema), "compared")
     known = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     fit = (
         compared.where("probe").join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "place").limit(FIT_ROWS)
