@@ -108,15 +108,16 @@ _WALK = "part int, state string, item long, size long, bin long, gap long, level
 
 
 def _walk(batches):
-    """Sweep one sorted range: matched pairs ('m'), gaps ('g') and pieces ('p') left over.
+    """Sweep one sorted range: matched pairs ('m'), gaps ('g') and pieces ('p') left over, and last
+    how much deeper the range ends than it began ('n').
 
     ``level`` of what is left is its nesting depth relative to the start of the range.
     """
     free: list[tuple[int, int]] = []
     out: list[tuple] = []
-    part, closed = 0, 0
+    part, closed = None, 0
     for b in batches:
-        part = b.column("part")[0].as_py() if len(b) else part
+        part = b.column("part")[0].as_py() if b.num_rows else part
         for kind, size, item in zip(b.column("kind").to_pylist(), b.column("size").to_pylist(), b.column("item").to_pylist(), strict=True):
             if kind == 0:
                 free.append((item, size))
@@ -130,6 +131,8 @@ def _walk(batches):
             yield _rows(out)
             out = []
     out += [(part, "p", item, size, None, None, k + 1 - closed) for k, (item, size) in enumerate(free)]
+    if part is not None:
+        out.append((part, "n", None, None, None, None, len(free) - closed))
     for i in range(0, len(out), 50_000):
         yield _rows(out[i : i + 50_000])
 
@@ -152,11 +155,12 @@ def sweep(pieces: DataFrame, gaps: DataFrame) -> tuple[DataFrame, DataFrame]:
         .withColumn("part", F.spark_partition_id()).mapInArrow(_walk, _WALK),
         "walk",
     )
-    net = F.sum(F.when(F.col("state") == "p", 1).when(F.col("state") == "g", -1).otherwise(0)).alias("net")
-    parts = walk.groupBy("part").agg(net).orderBy("part").collect()  # one row per range partition
+    # one row per range partition
+    parts = sorted(walk.where("state = 'n'").select("part", F.col("level").alias("net")).collect())
     base = np.cumsum([0] + [r.net for r in parts]).tolist()
     bases = spark.createDataFrame([(r.part, b) for r, b in zip(parts, base, strict=False)], "part int, base long")
-    left = walk.where("state <> 'm'").join(F.broadcast(bases), "part")  # bounded by the partitions
+    # the depth at which a partition begins: the sum of those before it (bounded by the partitions)
+    left = walk.where("state in ('p', 'g')").join(F.broadcast(bases), "part")
     w = Window.partitionBy(F.col("level") + F.col("base")).orderBy("part", "state")
     # at one nesting level pieces and gaps take turns: a gap closes the piece just before it
     left = left.select(
@@ -242,18 +246,23 @@ def pack(items: DataFrame, capacity: int = CAPACITY, tail: int = TAIL) -> DataFr
     pieces = items.where(F.col("size") < capacity).select("item", "size")
     gaps = spark.createDataFrame([], "bin long, gap long")
 
-    def histogram(df: DataFrame, size: str) -> dict[int, int]:
-        return {r[0]: r[1] for r in df.groupBy(size).count().collect()}  # at most ``capacity`` rows
+    def histograms(pieces: DataFrame, gaps: DataFrame) -> tuple[dict[int, int], dict[int, int]]:
+        """Counts by size of pieces and gaps: at most ``capacity`` rows each."""
+        both = pieces.select("size", F.lit(0).alias("kind")).unionByName(gaps.select(F.col("gap").alias("size"), F.lit(1).alias("kind")))
+        out = {}, {}
+        for r in both.groupBy("kind", "size").count().collect():
+            out[r[0]][r[1]] = r[2]
+        return out
 
-    counts, room = histogram(pieces, "size"), 0
+    counts, room = histograms(pieces, gaps)[0], 0
     total = sum(s * n for s, n in counts.items())
     small, bundles = capacity // 32, None
     if sum(n for s, n in counts.items() if s <= small) > 16 * (total // capacity + 1):
         bundles = _bundled(pieces, small, capacity // 8)
         tied = bundles.groupBy("bundle").agg(F.sum("size").alias("size")).withColumnRenamed("bundle", "item")
         pieces = staged(pieces.where(F.col("size") > small).unionByName(tied), "tied")
-        counts = histogram(pieces, "size")
-    stuck, turn = True, 0
+        counts = histograms(pieces, gaps)[0]
+    stuck, turn = False, 0
     while counts:
         turn += 1
         total, number = sum(s * n for s, n in counts.items()), sum(counts.values())
@@ -274,14 +283,13 @@ def pack(items: DataFrame, capacity: int = CAPACITY, tail: int = TAIL) -> DataFr
         met = near.unionByName(cross.where("state = 'm'"))
         done.append(met.select("item", "bin", (F.lit(capacity) - F.col("gap")).alias("offset")))
         pieces = cross.where("state = 'p'").select("item", "size")
-        counts = histogram(pieces, "size")
+        gaps = met.select("bin", (F.col("gap") - F.col("size")).alias("gap")).unionByName(
+            cross.where("state = 'g'").select("bin", "gap")
+        ).where("gap > 0")
+        counts, open_ = histograms(pieces, gaps)
         least = min(counts, default=1)
-        gaps = (
-            met.select("bin", (F.col("gap") - F.col("size")).alias("gap"))
-            .unionByName(cross.where("state = 'g'").select("bin", "gap"))
-            .where(F.col("gap") >= least)
-        )
-        room = sum(s * n for s, n in histogram(gaps, "gap").items())
+        gaps = gaps.where(F.col("gap") >= least)
+        room = sum(s * n for s, n in open_.items() if s >= least)
         stuck = room == 0
     out = done[0]
     for d in done[1:]:
