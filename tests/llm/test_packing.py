@@ -34,7 +34,7 @@ KINDS = {
 
 
 @pytest.mark.parametrize("kind", KINDS)
-@pytest.mark.parametrize("tail", [20_000, 0])
+@pytest.mark.parametrize("tail", [P.TAIL, 0])
 def test_packs_all_pieces_as_tightly_as_best_fit(spark, kind, tail):
     r = random.Random(kind)
     sizes = {i: KINDS[kind](r) for i in range(3000)}

@@ -10,9 +10,9 @@ capacity into full pieces; the first piece keeps the remainder. ``pack`` places
    brackets. Each range partition sweeps its own part; gaps and pieces left over are matched across
    partitions by their nesting level, which is their rank against all that came before, so two
    gaps never take one piece.
-3. Gaps shrink, matched pieces leave, and the next round begins. When a sweep matches nothing, no
-   gap fits any piece: at most ``TAIL`` last pieces are then placed by sequential best fit, more of
-   them open new sequences and go on.
+3. Gaps shrink, matched pieces leave, and the next round begins; where no gap fits any piece, the
+   largest pieces open new sequences first. After the sweeps that leave at most ``TAIL`` pieces,
+   one task places these by sequential best fit, into as many of the largest gaps or new sequences.
 
 Only histograms by size (at most the capacity) and one number for each partition reach the driver.
 Runs of very small pieces are tied into bundles of an eighth of the capacity first if there are
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from webtraffic.llm.common import documents_of, staged
 
 CAPACITY = 2048
-TAIL = 20_000
+TAIL = 2_000       #: last pieces that one task places
 VOCABULARY = "byte_bpe_50k"
 
 
@@ -179,28 +179,35 @@ def sweep(pieces: DataFrame, gaps: DataFrame) -> tuple[DataFrame, DataFrame]:
     return walk.where("state = 'm'").select("state", "item", "size", "bin", "gap"), staged(cross, "cross")
 
 
-def best_fit(sizes: list[int], capacity: int) -> list[tuple[int, int]]:
-    """(number of sequence, offset) for each size, given in descending order."""
-    gaps: list[tuple[int, int]] = []
+def best_fit(sizes: list[int], capacity: int, gaps: list[tuple[int, int]] = ()) -> list[tuple[int, int]]:
+    """(number of sequence, offset) for each size, given in descending order.
+
+    ``gaps`` are open (gap, number) pairs with numbers below 0; new sequences count from 0.
+    """
+    free = sorted(gaps)
     out, opened = [], 0
     for n in sizes:
-        i = bisect.bisect_left(gaps, (n, -1))
-        if i == len(gaps):
+        i = bisect.bisect_left(free, (n, -(1 << 62)))
+        if i == len(free):
             gap, k = capacity, opened
             opened += 1
         else:
-            gap, k = gaps.pop(i)
+            gap, k = free.pop(i)
         out.append((k, capacity - gap))
-        bisect.insort(gaps, (gap - n, k))
+        bisect.insort(free, (gap - n, k))
     return out
 
 
 def _finish(table: pa.Table, capacity: int) -> pa.Table:
-    rows = sorted(zip(table.column("size").to_pylist(), table.column("item").to_pylist(), strict=True), reverse=True)
-    at = best_fit([n for n, _ in rows], capacity)
+    """Best fit of the last pieces (kind 0) into open gaps (kind 1) and new sequences."""
+    rows = list(zip(*(table.column(c).to_pylist() for c in ("kind", "size", "item")), strict=True))
+    pieces = sorted(((n, item) for kind, n, item in rows if kind == 0), reverse=True)
+    bins = sorted(item for kind, _, item in rows if kind == 1)
+    number = {b: -1 - i for i, b in enumerate(bins)}
+    at = best_fit([n for n, _ in pieces], capacity, [(n, number[b]) for kind, n, b in rows if kind == 1])
     first: dict[int, int] = {}
-    bins = [first.setdefault(k, item) for (_, item), (k, _) in zip(rows, at, strict=True)]
-    return pa.table({"item": pa.array([i for _, i in rows], pa.int64()), "bin": pa.array(bins, pa.int64()), "offset": pa.array([o for _, o in at], pa.int64())})
+    where = [bins[-1 - k] if k < 0 else first.setdefault(k, item) for (_, item), (k, _) in zip(pieces, at, strict=True)]
+    return pa.table({"item": pa.array([i for _, i in pieces], pa.int64()), "bin": pa.array(where, pa.int64()), "offset": pa.array([o for _, o in at], pa.int64())})
 
 
 def _openers(counts: dict[int, int], wanted: int) -> tuple[int, float]:
@@ -266,8 +273,12 @@ def pack(items: DataFrame, capacity: int = CAPACITY, tail: int = TAIL) -> DataFr
     while counts:
         turn += 1
         total, number = sum(s * n for s, n in counts.items()), sum(counts.values())
-        if stuck and number <= tail:
-            done.append(staged(pieces.groupBy(F.lit("tail")).applyInArrow(lambda t: _finish(t, capacity), "item long, bin long, offset long"), "tail"))
+        if turn > 1 and number <= tail:  # as many gaps as pieces are enough, the largest ones
+            few = gaps.orderBy(F.desc("gap"), "bin").limit(number)
+            last = pieces.select(F.lit(0).alias("kind"), "size", "item").unionByName(
+                few.select(F.lit(1).alias("kind"), F.col("gap").alias("size"), F.col("bin").alias("item"))
+            )
+            done.append(staged(last.groupBy(F.lit("tail")).applyInArrow(lambda t: _finish(t, capacity), "item long, bin long, offset long"), "tail"))
             break
         large = sum(n for s, n in counts.items() if s > capacity // 2)
         missing = -(-(total if stuck else max(0, total - room)) // capacity)
