@@ -81,3 +81,22 @@ def test_logistic_fit_separates():
     y = (x[:, 1] > 1).astype(float)
     w = T.fit_logistic(x, y)
     assert ((x @ w[:-1] + w[-1] > 0) == y).mean() > 0.97
+
+
+@pytest.mark.parametrize("bits", [0, 6, 11])
+def test_scores_do_not_depend_on_how_many_ngrams_a_worker_holds(spark, bits):
+    d = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    docs = docs.unionByName(docs.limit(3))  # repeated rows are scored alike
+    want, got = (sorted((r.place, r.score, r.predicted) for r in T.scored(docs, labels, b).collect()) for b in (22, bits))
+    assert [(p, x) for p, _, x in got] == [(p, x) for p, _, x in want]
+    assert np.allclose([s for _, s, _ in got], [s for _, s, _ in want], rtol=1e-9, atol=1e-12)
+
+
+def test_every_ngram_keeps_its_own_ratio():
+    key = np.unique(np.random.default_rng(1).integers(1, 1 << 40, 200_000).astype(np.uint64))
+    ratio = np.arange(len(key), dtype=np.float32) + 1
+    s = T.Scorer(key, [ratio, -ratio])
+    assert (s.values[0][s.find(key)] == ratio).all() and (s.values[1][s.find(key)] == -ratio).all()
+    other = np.setdiff1d(key + np.uint64(1), key)
+    assert (s.values[0][s.find(other)] == 0).all()

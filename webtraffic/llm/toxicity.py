@@ -13,8 +13,9 @@ these comparisons into a score; it is fitted on at most ``FIT_ROWS`` labelled ro
 the training rows, scored by models whose class counts come from the other half. Everything else
 covers all rows.
 
-The scorer's tables have ``2**SLOT_BITS`` slots at most, whatever the corpus; of several n-grams in
-a slot the most frequent stays, and a 16-bit tag keeps the others from being taken for it.
+Every n-gram counts, whatever the corpus. Up to ``2**SLOT_BITS`` of them, the most frequent, are held
+by every worker; a word that has others is completed by a join with the table of evidence. Those
+are rare by their choice, so few places are joined and no key of the join is hot.
 
 Null and empty texts have no words: their comparisons are 0. Labels that are null or belong to no
 document are ignored, several labels of one document count as toxic if one is. With only one class
@@ -28,6 +29,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +37,7 @@ from webtraffic.llm.common import U64, buffers, chunks, mix, staged
 
 ORDER = 5          #: bytes of an n-gram; 8 * ORDER bits are its key
 DISCOUNT = 0.75
-SLOT_BITS = 22
+SLOT_BITS = 22     #: 2 to this power n-grams at most are held by every worker; others are joined
 FIT_ROWS = 20_000
 CUT = 0.7
 HELD_OUT = 1       #: crc32(doc_id) mod 3 of rows whose labels are not used
@@ -175,128 +177,186 @@ def shared_model(grams: DataFrame, order: int = ORDER, discount: float = DISCOUN
     return staged(p, "shared")
 
 
-def class_evidence(grams: DataFrame, shared: DataFrame, n0: Column, n1: Column, discount: float = DISCOUNT) -> DataFrame:
-    """(key, kind, llr, n): log-likelihood ratio of n-grams (kind 0) and, for n-grams that neither
-    class has, of their contexts (kind 1).
+def class_evidence(grams: DataFrame, shared: DataFrame, discount: float = DISCOUNT) -> DataFrame:
+    """(key, n, full, half): log-likelihood ratios of all n-grams under the models of both halves and
+    of the first half, and their counts in all documents.
 
-    An unseen n-gram has, in both models, the shared probability times what the context leaves to
-    backoff, so only those shares remain of the ratio.
+    An n-gram that neither class has seen has, in both models, the shared probability times what the
+    context leaves to backoff, so only those shares remain of the ratio: 0 if the context is new too.
     """
-    t = grams.select("key", n0.alias("n0"), n1.alias("n1")).where("n0 + n1 > 0").withColumn("ctx", F.shiftright("key", 8))
-    kinds = lambda c: F.sum((F.col(c) > 0).cast("long"))
-    ctx = staged(t.groupBy("ctx").agg(F.sum("n0").alias("s0"), F.sum("n1").alias("s1"), kinds("n0").alias("k0"), kinds("n1").alias("k1")), "contexts")
+    models = {"full": (F.col("n0a") + F.col("n0b"), F.col("n1a") + F.col("n1b")), "half": (F.col("n0a"), F.col("n1a"))}
+    columns = [n.alias(f"{m}_n{y}") for m, pair in models.items() for y, n in enumerate(pair)]
+    t = grams.select("key", "n", F.shiftright("key", 8).alias("ctx"), *columns)
+    sums = []
+    for m in models:
+        for y in (0, 1):
+            sums += [F.sum(f"{m}_n{y}").alias(f"{m}_s{y}"), F.sum((F.col(f"{m}_n{y}") > 0).cast("long")).alias(f"{m}_k{y}")]
+    ctx = t.where("full_n0 + full_n1 > 0").groupBy("ctx").agg(*sums)
 
-    def rest(y):
-        return F.when(F.col(f"s{y}") > 0, discount * F.col(f"k{y}") / F.col(f"s{y}")).otherwise(1.0)
+    def rest(m, y):
+        return F.when(F.col(f"{m}_s{y}") > 0, discount * F.col(f"{m}_k{y}") / F.col(f"{m}_s{y}")).otherwise(1.0)
 
-    def log_p(y):
-        own = F.when(F.col(f"s{y}") > 0, F.greatest(F.col(f"n{y}") - discount, F.lit(0.0)) / F.col(f"s{y}")).otherwise(0.0)
-        return F.log(own + rest(y) * F.col("p"))
+    def log_p(m, y):
+        own = F.greatest(F.col(f"{m}_n{y}") - discount, F.lit(0.0)) / F.col(f"{m}_s{y}")
+        return F.log(F.when(F.col(f"{m}_s{y}") > 0, own).otherwise(0.0) + rest(m, y) * F.col("p"))
 
-    seen = t.join(ctx, "ctx").join(shared, "key").select(
-        "key", F.lit(0).alias("kind"), (log_p(1) - log_p(0)).alias("llr"), (F.col("n0") + F.col("n1")).alias("n")
-    )
-    unseen = ctx.select(
-        F.col("ctx").alias("key"), F.lit(1).alias("kind"), (F.log(rest(1)) - F.log(rest(0))).alias("llr"),
-        (F.col("s0") + F.col("s1")).alias("n"),
-    )
-    return seen.unionByName(unseen)
+    def ratio(m):
+        seen = F.col(f"{m}_n0") + F.col(f"{m}_n1") > 0
+        return F.when(seen, log_p(m, 1) - log_p(m, 0)).otherwise(F.log(rest(m, 1)) - F.log(rest(m, 0))).cast("float").alias(m)
+
+    return staged(t.join(ctx, "ctx", "left").join(shared, "key").select("key", "n", ratio("full"), ratio("half")), "evidence")
 
 
-def scorer_tables(evidence: DataFrame, bits: int = SLOT_BITS) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For kinds 0 and 1, (keys, ratios) of at most ``2**bits`` n-grams, the most frequent last."""
-    slot = F.pmod(F.xxhash64("key"), F.lit(1 << bits)).cast("int")
-    best = evidence.groupBy("kind", slot.alias("slot")).agg(F.max(F.struct("n", "key", F.col("llr").cast("float").alias("llr"))).alias("best"))
-    rows = best.select("kind", "best.*").toArrow()  # one row per slot at most
-    kind, n, key, llr = (rows.column(c).to_numpy() for c in ("kind", "n", "key", "llr"))
-    o = np.lexsort((key, n))
-    kind, key, llr = kind[o], key[o], llr[o]
-    return [(key[kind == k].astype(U64), llr[kind == k].astype(np.float32)) for k in (0, 1)]
+def held_and_rest(evidence: DataFrame, bits: int = SLOT_BITS) -> tuple[DataFrame, DataFrame | None]:
+    """The n-grams that every worker holds, and those to be joined (None: there are none).
+
+    At most ``2**bits`` are held. If there is more evidence, they are the most frequent, so that
+    each of the others has a share of less than ``2 / 2**bits`` of all places.
+    """
+    useful = evidence.where("full != 0 or half != 0")
+    if useful.count() <= 1 << bits:
+        return useful, None  # what is not held has ratio 0
+    size = F.length(F.bin("n"))
+    least, room = 65, 1 << bits
+    for r in evidence.groupBy(size.alias("size")).count().orderBy(F.desc("size")).collect():  # 64 rows at most
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["size"]
+    return evidence.where(size >= least), useful.where(size < least)
 
 
 class Scorer:
-    """Log-likelihood ratios of n-gram keys, from direct-addressed tables."""
-
-    def __init__(self, tables, bits: int = SLOT_BITS):
-        self.shift = U64(64 - bits)
-        self.tables = []
-        for key, llr in tables:
-            h = mix(key)
-            slot, tag = (h >> self.shift).astype(np.int64), (h & U64(0xFFFF)).astype(np.uint16)
-            tags, values = np.zeros(1 << bits, np.uint16), np.zeros(1 << bits, np.float32)
-            tags[slot], values[slot] = tag | np.uint16(1), llr
-            self.tables.append((tags, values))
-
-    def _find(self, key: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        h = mix(key)
-        slot = (h >> self.shift).astype(np.int64)
-        tags, values = self.tables[k]
-        return tags[slot] == ((h & U64(0xFFFF)).astype(np.uint16) | np.uint16(1)), values[slot]
-
-    def ratios(self, key: np.ndarray) -> np.ndarray:
-        hit, value = self._find(key, 0)
-        miss = np.flatnonzero(~hit)
-        known, other = self._find(key[miss] >> U64(8), 1)
-        value[miss] = np.where(known, other, 0)
-        return value
-
-    def compare(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Per text: ratio per byte of the whole text, the two largest sums of a word, the largest
-        ratio per byte of a word, and the logarithm of the number of words."""
+    """Log-likelihood ratios of n-gram keys under two models, from an open-addressed table.
+
+    Keys stand there whole, so none is taken for another; 0 is no key.
+    """
+
+    def __init__(self, key: np.ndarray, ratios: list[np.ndarray], whole: bool = True):
+        bits = max(4, (2 * len(key)).bit_length())
+        self.whole, self.shift, self.last = whole, U64(64 - bits), (1 << bits) - 1
+        self.keys = np.zeros(1 << bits, U64)
+        self.values = [np.zeros(1 << bits, np.float32) for _ in ratios]
+        todo, slot = np.arange(len(key)), self._slot(key)
+        while len(todo):
+            free = self.keys[slot] == 0
+            self.keys[slot[free]] = key[todo[free]]  # of several for one slot the last
+            won = self.keys[slot] == key[todo]
+            for table, ratio in zip(self.values, ratios, strict=True):
+                table[slot[won]] = ratio[todo[won]]
+            todo, slot = todo[~won], (slot[~won] + 1) & self.last
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return (mix(key) >> self.shift).astype(np.int64)
+
+    def find(self, key: np.ndarray) -> np.ndarray:
+        """The slot of each key, a free one where it is not held."""
+        slot = self._slot(key)
+        there = self.keys[slot]
+        todo = np.flatnonzero((there != key) & (there != 0))
+        while len(todo):
+            slot[todo] = (slot[todo] + 1) & self.last
+            there = self.keys[slot[todo]]
+            todo = todo[(there != key[todo]) & (there != 0)]
+        return slot
+
+    def compare(self, data: np.ndarray, offsets: np.ndarray):
+        """Per text: bytes and number of its words, and for each model the sum of the words' ratios,
+        the two largest, and the largest per byte (0 at least).
+
+        Words with n-grams that are not held take no part in these; they come as (text, bytes of the
+        word, sums of what is held, n-grams that are not held), empty if all evidence is held.
+        """
         n = len(offsets) - 1
-        out = np.zeros((n, 5))
+        size, words, out = np.zeros(n, np.int64), np.zeros(n, np.int64), [np.zeros((n, 4)) for _ in self.values]
         key, first, text = spelled(data, offsets)
         if not len(first):
-            return out
-        llr = self.ratios(key).astype(np.float64)
+            return size, words, out, []
+        slot = self.find(key)
         length = np.diff(np.append(first, len(key)))
-        word = np.add.reduceat(llr, first)
         begin = np.flatnonzero(np.r_[True, text[1:] != text[:-1]])
         owner = text[begin]
-        words = np.diff(np.append(begin, len(text)))
-        size = np.add.reduceat(length, begin)
-        out[owner, 0] = np.add.reduceat(word, begin) / size
-        top = np.maximum.reduceat(word, begin)
-        out[owner, 1] = np.maximum(top, 0)
-        again = word.copy()
-        peak = np.flatnonzero(word == np.repeat(top, words))
-        _, once = np.unique(np.repeat(np.arange(len(begin)), words)[peak], return_index=True)
-        again[peak[once]] = 0
-        out[owner, 2] = np.maximum(np.maximum.reduceat(again, begin), 0)
-        out[owner, 3] = np.maximum(np.maximum.reduceat(word / length, begin), 0)
-        out[owner, 4] = np.log1p(words)
-        return out
+        many = np.diff(np.append(begin, len(text)))
+        size[owner], words[owner] = np.add.reduceat(length, begin), many
+        sums = [np.add.reduceat(table[slot].astype(np.float64), first) for table in self.values]
+        rest = []
+        if not self.whole:
+            missing = self.keys[slot] != key
+            open_ = np.flatnonzero(np.logical_or.reduceat(missing, first))
+            for w in open_.tolist():
+                at = slice(first[w], first[w] + length[w])
+                rest.append((int(text[w]), int(length[w]), [float(x[w]) for x in sums], key[at][missing[at]].tolist()))
+            for x in sums:
+                x[open_] = 0
+        for x, o in zip(sums, out, strict=True):
+            o[owner, 0] = np.add.reduceat(x, begin)
+            top = np.maximum.reduceat(x, begin)
+            o[owner, 1] = np.maximum(top, 0)
+            again = x.copy()
+            peak = np.flatnonzero(x == np.repeat(top, many))
+            _, once = np.unique(np.repeat(np.arange(len(begin)), many)[peak], return_index=True)
+            again[peak[once]] = 0
+            o[owner, 2] = np.maximum(np.maximum.reduceat(again, begin), 0)
+            o[owner, 3] = np.maximum(np.maximum.reduceat(x / length, begin), 0)
+        return size, words, out, rest
 
 
 _NAMES = ["c0", "c1", "c2", "c3", "c4"]
+_PARTS = ["sum", "top", "second", "peak"]
+_MODELS = ["full", "half"]
+_COMPARED = (
+    "row long, doc_id long, place long, probe boolean, size long, words long, "
+    + ", ".join(f"{m}_{p} double" for m in _MODELS for p in _PARTS)
+    + ", open array<struct<size:int,full:double,half:double,keys:array<long>>>"
+)
+_OPEN = pa.list_(pa.struct([("size", pa.int32()), ("full", pa.float64()), ("half", pa.float64()), ("keys", pa.list_(pa.int64()))]))
 
 
-_scorers: dict[str, dict[str, Scorer]] = {}  # of one run, kept by a worker between its tasks
+_scorers: dict[str, Scorer] = {}  # of one run, kept by a worker between its tasks
 
 
-def _compared(batches, run: str, full, half):
+def _compared(batches, run: str, held, whole: bool):
     if run not in _scorers:
         _scorers.clear()
-        _scorers[run] = {"full": Scorer(full.value), "half": Scorer(half.value)}
-    models = _scorers[run]
+        _scorers[run] = Scorer(held.value[0], held.value[1:], whole)
+    scorer, row = _scorers[run], TaskContext.get().partitionId() << 36
     for b in batches:
         off, data = buffers(b.column("text"))
-        n = len(off) - 1
-        probe = b.column("probe").to_numpy(zero_copy_only=False)
-        own, other = np.zeros((n, 5)), np.zeros((n, 5))
         for i, j in chunks(off, 1 << 18, 4096):
-            part, o = data[off[i] : off[j]], off[i : j + 1] - off[i]
-            own[i:j] = models["full"].compare(part, o)
-            rows = np.flatnonzero(probe[i:j]) + i
-            if len(rows):
-                part = np.concatenate([data[off[r] : off[r + 1]] for r in rows])
-                o = np.concatenate([[0], np.cumsum(off[rows + 1] - off[rows])])
-                other[rows] = models["half"].compare(part, o)
-        cols = [pa.array(own[:, k]) for k in range(5)] + [pa.array(other[:, k]) for k in range(5)]
-        yield pa.RecordBatch.from_arrays(
-            [b.column("doc_id").cast(pa.int64()), b.column("place"), b.column("probe"), *cols],
-            names=["doc_id", "place", "probe", *_NAMES, *(f"h{x}" for x in _NAMES)],
-        )
+            size, words, out, rest = scorer.compare(data[off[i] : off[j]], off[i : j + 1] - off[i])
+            open_ = [[] for _ in range(j - i)]
+            for t, length, (full, half), keys in rest:
+                open_[t].append({"size": length, "full": full, "half": half, "keys": keys})
+            part = b.slice(i, j - i)
+            columns = {"row": pa.array(np.arange(row, row + j - i)), "doc_id": part.column("doc_id"), "place": part.column("place"), "probe": part.column("probe")}
+            columns |= {"size": pa.array(size), "words": pa.array(words)}
+            columns |= {f"{m}_{p}": pa.array(out[x][:, y]) for x, m in enumerate(_MODELS) for y, p in enumerate(_PARTS)}
+            yield pa.RecordBatch.from_pydict(columns | {"open": pa.array(open_, _OPEN)})
+            row += j - i
+
+
+def with_rest(compared: DataFrame, rest: DataFrame) -> DataFrame:
+    """``compared`` with the words that need n-grams of ``rest`` brought in."""
+    words = compared.where(F.size("open") > 0).select("row", F.posexplode("open").alias("word", "o")).select("row", "word", "o.*")
+    grams = words.select("row", "word", "size", *(F.col(m).alias(f"held_{m}") for m in _MODELS), F.explode("keys").alias("key"))
+    whole = grams.join(rest.select("key", *_MODELS), "key", "left").groupBy("row", "word").agg(
+        F.first("size").alias("length"),
+        *((F.first(f"held_{m}") + F.sum(F.coalesce(F.col(m).cast("double"), F.lit(0.0)))).alias(m) for m in _MODELS),
+    )
+    more = []
+    for m in _MODELS:
+        best = F.slice(F.sort_array(F.collect_list(m), asc=False), 1, 2)
+        more += [F.sum(m).alias(f"more_{m}"), best.alias(f"best_{m}"), F.max(F.col(m) / F.col("length")).alias(f"ratio_{m}")]
+    both = compared.join(whole.groupBy("row").agg(*more), "row", "left")
+    columns = {}
+    for m in _MODELS:
+        top = F.sort_array(F.concat(F.array(f"{m}_top", f"{m}_second"), F.coalesce(f"best_{m}", F.array().cast("array<double>"))), asc=False)
+        columns |= {
+            f"{m}_sum": F.col(f"{m}_sum") + F.coalesce(f"more_{m}", F.lit(0.0)),
+            f"{m}_top": top[0], f"{m}_second": top[1],
+            f"{m}_peak": F.greatest(f"{m}_peak", f"ratio_{m}"),
+        }
+    return both.withColumns(columns).select(*compared.columns)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -325,7 +385,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarra
     return np.append(w[:-1] / scale, w[-1])
 
 
-def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def scored(docs: DataFrame, labels: DataFrame, bits: int = SLOT_BITS) -> DataFrame:
     """One row per document: (doc_id, place, held_out, score, predicted).
 
     ``place`` is a hash of id and text, for joins back to ``docs``.
@@ -333,17 +393,26 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     grams = gram_counts(docs, labels)
     shared = shared_model(grams)
-    n0, n1 = F.col("n0a") + F.col("n0b"), F.col("n1a") + F.col("n1b")
-    full = spark.sparkContext.broadcast(scorer_tables(class_evidence(grams, shared, n0, n1)))
-    half = spark.sparkContext.broadcast(scorer_tables(class_evidence(grams, shared, F.col("n0a"), F.col("n1a"))))
+    held, rest = held_and_rest(class_evidence(grams, shared), bits)
+    table = held.select("key", *_MODELS).toArrow()  # 2**bits rows at most
+    key, full, half = (table.column(c).to_numpy() for c in ("key", *_MODELS))
+    model = spark.sparkContext.broadcast((key.astype(U64), full.astype(np.float32), half.astype(np.float32)))
+    whole = rest is None
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", text).alias("place"),
         (fold(F.col("doc_id")) == 2).alias("probe"), text.alias("text"),
     )
-    schema = "doc_id long, place long, probe boolean, " + ", ".join(f"{p}{c} double" for p in ("", "h") for c in _NAMES)
     run = uuid.uuid4().hex
-    compared = staged(rows.mapInArrow(lambda it: _compared(it, run, full, half), schema), "compared")
+    compared = staged(rows.mapInArrow(lambda it: _compared(it, run, model, whole), _COMPARED), "compared")
+    if rest is not None:
+        compared = staged(with_rest(compared, rest), "complete")
+    figures = []
+    for m, start in zip(_MODELS, ("", "h"), strict=True):
+        share = F.when(F.col("size") > 0, F.col(f"{m}_sum") / F.col("size")).otherwise(0.0)
+        parts = [share, F.col(f"{m}_top"), F.col(f"{m}_second"), F.col(f"{m}_peak"), F.log1p("words")]
+        figures += [x.alias(f"{start}{c}") for x, c in zip(parts, _NAMES, strict=True)]
+    compared = compared.select("doc_id", "place", "probe", *figures)
     known = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     fit = (
         compared.where("probe").join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "place").limit(FIT_ROWS)
