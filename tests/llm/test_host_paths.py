@@ -67,3 +67,22 @@ def test_generated_pages_give_their_article(spark):
         want[r.page_id] = "\n".join(b for b in blocks if b)
     got = {r.page_id: r.text for r in H.main_text(pages).collect()}
     assert got == want
+
+
+@pytest.mark.parametrize("words", [1, 30, 3000])
+def test_headline_and_lead_stay_whatever_the_length(spark, words):
+    body = "<div class=page><h1>Title</h1><p>Lead</p><div class=wrap><div class=text><p>%s</p></div></div></div><ul><li><a href=/x>More to read elsewhere</a></ul>"
+    long = " ".join(["word"] * words)
+    rows = [(i, f"http://h.example/{i}", page(body % long)) for i in range(3)] + [(3, "http://h.example/3", page(body % "word"))]
+    got = texts(spark, rows)
+    assert got[0] == "Title\nLead\n" + long and got[3] == "Title\nLead\nword"
+
+
+def test_a_headline_in_its_own_container_stays():
+    p = page("<div class=page><div class=top><h1>Title</h1></div><div class=text><p>%s</p></div></div>" % ("word " * 300))
+    assert H.extract(p, []).startswith("Title\nword")
+
+
+def test_deep_pages_take_linear_time():
+    p = "<div>" * 20_000 + "<p>" + "word " * 300 + "</p>" + "</div>" * 20_000
+    assert H.extract(p, []) == " ".join(["word"] * 300)

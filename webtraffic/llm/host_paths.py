@@ -1,8 +1,9 @@
 """HTML main text by consensus host paths.
 
 1. Each page's containers are scored: characters of text outside boilerplate, links counting
-   against them. A page votes for one path: the deepest container that holds nearly all of the
-   best score, or the article around it. A path lists tags with their classes from the root, with
+   against them. A page votes for one path: the article around the deepest container that holds
+   nearly all of the best score, or else that container, or the one around it that adds a headline or
+   lead. A path lists tags with their classes from the root, with
    digits generalised, so that pages of one template agree.
 2. Votes are added up per host in Spark, in part before the shuffle, and each host keeps its
    ``PATHS`` first paths.
@@ -45,6 +46,7 @@ BOILERPLATE = frozenset(
     "aside audio button canvas dialog embed footer form head header iframe math menu nav noscript object select svg "
     "template title video".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 RAW = frozenset("script style textarea xmp".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
 WORDS = frozenset(
@@ -112,12 +114,13 @@ def _step(tag: str, attributes: dict[str, str]) -> str:
     return ".".join([tag, *classes])
 
 
-def parse(page: str) -> tuple[list[Node], list[tuple[int, str, int]]]:
-    """(nodes, blocks): each block is (its node, text, characters of link text); boilerplate has none."""
+def parse(page: str) -> tuple[list[Node], list[tuple[int, str, int, bool]]]:
+    """(nodes, blocks): each block is (its node, text, characters of link text, whether it is a heading);
+    boilerplate has none."""
     nodes = [Node("", "", 0, 0, -1, False)]
     opened: Counter[str] = Counter()
-    blocks: list[tuple[int, str, int]] = []
-    open_, parts, at, links, linked, skipped = [0], [], 0, 0, 0, 0
+    blocks: list[tuple[int, str, int, bool]] = []
+    open_, parts, at, links, linked, skipped, heading = [0], [], 0, 0, 0, 0, False
 
     def text(s: str) -> None:
         nonlocal linked
@@ -128,12 +131,13 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str, int]]]:
                 linked += len(s)
 
     def flush() -> None:
-        nonlocal parts, linked
+        nonlocal parts, linked, heading
         if parts:
             block = " ".join("".join(parts).split())
             if block:
-                blocks.append((open_[-1], block, min(linked, len(block))))
+                blocks.append((open_[-1], block, min(linked, len(block)), heading))
             parts, linked = [], 0
+        heading = False
 
     def close(depth: int) -> None:
         nonlocal skipped, links
@@ -187,6 +191,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str, int]]]:
                     break
         if tag in BLOCKS or skip:
             flush()
+            heading = tag in HEADINGS
         if (tag in CONTAINERS or skip) and not closed and tag not in ("input", "hr", "img", "embed"):
             parent = open_[-1]
             step = _step(re.sub(r"[^\w#-]+", "_", tag), attributes)
@@ -198,10 +203,10 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str, int]]]:
     return nodes, blocks
 
 
-def own_path(nodes: list[Node], blocks: list[tuple[int, str, int]]) -> str | None:
+def own_path(nodes: list[Node], blocks: list[tuple[int, str, int, bool]]) -> str | None:
     """The path that a page votes for; None without text."""
     score = [0.0] * len(nodes)
-    for n, block, linked in blocks:
+    for n, block, linked, _ in blocks:
         score[n] += max(0, len(block) - LINK_COST * linked)
     for n in range(len(nodes) - 1, 0, -1):  # children come after their parents
         score[nodes[n].parent] += score[n]
@@ -215,16 +220,47 @@ def own_path(nodes: list[Node], blocks: list[tuple[int, str, int]]) -> str | Non
             if nodes[up].tag == "article":
                 break
         up = nodes[up].parent
+    if nodes[best].tag not in ("article", "main"):
+        best = with_lead(nodes, blocks, best)
     return spelled(nodes, best)
 
 
-def chosen(nodes: list[Node], blocks: list[tuple[int, str, int]], path: str) -> list[str]:
+def with_lead(nodes: list[Node], blocks: list[tuple[int, str, int, bool]], best: int) -> int:
+    """The container around ``best`` that adds its headline and lead: text of its own, or a heading
+    before ``best``, not mostly links. Text that only stands in other containers ends the search."""
+    last_of = list(range(len(nodes)))  # a container's descendants follow it without a gap
+    for n in range(len(nodes) - 1, 0, -1):
+        last_of[nodes[n].parent] = max(last_of[nodes[n].parent], last_of[n])
+    at = [i for i, b in enumerate(blocks) if best <= b[0] <= last_of[best]]
+    if not at:
+        return best
+    first, last = at[0], at[-1]
+    up = best
+    while up > 0:
+        up = nodes[up].parent
+        i, j = first, last  # a container's blocks stand together
+        while i > 0 and up <= blocks[i - 1][0] <= last_of[up]:
+            i -= 1
+        while j + 1 < len(blocks) and up <= blocks[j + 1][0] <= last_of[up]:
+            j += 1
+        more = blocks[i:first] + blocks[last + 1 : j + 1]
+        if not more:
+            continue
+        if all(n != up for n, *_ in more) and not any(b[3] for b in blocks[i:first]):
+            break
+        if LINK_COST * sum(linked for _, _, linked, _ in more) >= sum(len(b) for _, b, _, _ in more):
+            break
+        best, first, last = up, i, j
+    return best
+
+
+def chosen(nodes: list[Node], blocks: list[tuple[int, str, int, bool]], path: str) -> list[str]:
     """Blocks within the containers of a path."""
     inside = [False] * len(nodes)
     key = key_of(path)
     for n, node in enumerate(nodes):
         inside[n] = node.key == key or (n > 0 and inside[node.parent])
-    return [b for n, b, _ in blocks if inside[n]]
+    return [b for n, b, _, _ in blocks if inside[n]]
 
 
 def extract(page: str, paths: list[str]) -> str:
