@@ -86,3 +86,23 @@ def test_all_occurrences_of_a_repeat_share_its_number(spark, docs_of):
     for r in rows:
         by.setdefault(r["repeat"], set()).add(r["rid"])
     assert any(len(v) == 5 for v in by.values())
+
+
+@pytest.mark.parametrize("max_scan", [1024, 1])
+def test_copies_share_the_repeats_of_other_texts(spark, docs_of, max_scan):
+    r = random.Random(5)
+    text = lambda n: "".join(r.choice("abcdefghijklmnop") for _ in range(n))
+    passage, a = text(600), [text(300), text(300)]
+    copies = [(i, a[0] + passage + a[1]) for i in range(6)]
+    whole = dict(copies + [(6, text(300) + passage + text(300))])
+    rows = S.maximal_repeats(docs_of(list(whole.items())), 200, S.GRAM, max_scan).collect()
+    by = {}
+    for x in rows:
+        by.setdefault(x["repeat"], []).append((x["rid"], whole[x["rid"]][x["s"] : x["e"]]))
+    # whatever group the seventh text is in, all copies are in it, with the same bytes
+    for group in by.values():
+        own = {t for i, t in group if i == 6}
+        if own:
+            assert {i for i, t in group if t in own} == set(range(7))
+    spans = sorted((x["s"], x["e"]) for x in rows if x["rid"] == 6)
+    assert spans[0][0] == 300 and max(e for _, e in spans) == 900

@@ -220,9 +220,9 @@ def scan_groups(h: np.ndarray, right: list[bytes], left: list[bytes], length: in
     return tuple(np.concatenate(v) for v in (who, low, high, rep))
 
 
-_CONTEXT = "h long, big boolean, once boolean, rid long, tag int, a int, left binary, right binary"
-_START = "h long, w long, rid long, tag int, s int"
-_SPAN = "rid long, tag int, s int, e int, repeat long"
+_CONTEXT = "h long, f long, big boolean, once boolean, rid long, tag int, a int, left binary, right binary"
+_START = "h long, w long, f long, once boolean, rid long, tag int, run int, s int"
+_SPAN = "rid long, tag int, s int, e int, repeat long, h long, f long, once boolean, run int"
 
 
 def _pack(batches):
@@ -243,18 +243,18 @@ def packed(docs: DataFrame) -> DataFrame:
 def _contexts(variants: DataFrame, docs: DataFrame, length: int) -> DataFrame:
     """The text around the anchor of each variant, from the document that stands for it."""
     per_doc = variants.groupBy("rid", "tag").agg(
-        F.collect_list(F.struct("h", "c", "big", "s", "n", "o")).alias("v")
+        F.collect_list(F.struct("h", "f", "c", "big", "s", "n", "o")).alias("v")
     )
 
     def cut(batches):
         z = zstandard.ZstdDecompressor()
         for b in batches:
-            out, size = {k: [] for k in ("h", "big", "once", "rid", "tag", "a", "left", "right")}, 0
+            out, size = {k: [] for k in ("h", "f", "big", "once", "rid", "tag", "a", "left", "right")}, 0
             for rid, tag, text, vs in zip(b.column("rid").to_pylist(), b.column("tag").to_pylist(), b.column("z").to_pylist(), b.column("v").to_pylist(), strict=True):
                 text = z.decompress(text)
                 for v in vs:
                     s, a = v["s"], v["s"] + v["o"]
-                    row = (v["h"], v["big"], v["c"] == 1, rid, tag, a, text[s:a][::-1], text[a : s + v["n"] - 1 + length])
+                    row = (v["h"], v["f"], v["big"], v["c"] == 1, rid, tag, a, text[s:a][::-1], text[a : s + v["n"] - 1 + length])
                     for k, x in zip(out, row, strict=True):
                         out[k].append(x)
                     size += 1
@@ -276,26 +276,31 @@ def _batch(cols: dict, schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(cols[k], _KINDS[kinds[k]]) for k in kinds], names=list(kinds))
 
 
-def _scan(batches, length: int):
-    """Scan whole k-gram groups of the sorted rows, some thousand rows at a time."""
+def _scan(batches, length: int, every: bool):
+    """Scan whole k-gram groups of the sorted rows, some thousand rows at a time.
+
+    Variants seen twice give rows only if ``every`` occurrence is asked for: their bytes are settled.
+    """
     held: dict[str, list] = {}
 
     def work(x):
         h = np.array(x["h"], np.int64)
         once, a = np.array(x["once"]), np.array(x["a"], np.int64)
         who, low, high, rep = scan_groups(h, x["right"], x["left"], length)
-        keep = once[who]  # a variant seen twice is settled already
+        keep = once[who] | every
         who, low, high, rep = who[keep], low[keep], high[keep], rep[keep]
         if len(who):
             rid, tag = np.array(x["rid"], np.int64), np.array(x["tag"], np.int32)
+            run = a - np.fromiter(map(len, x["left"]), np.int64, len(a))
             number = as_long(mix(h[who].astype(U64) + rep.astype(U64)))
             yield pa.RecordBatch.from_pydict({
                 "rid": rid[who], "tag": tag[who], "s": (a[who] - high).astype(np.int32),
                 "e": (a[who] - low + length).astype(np.int32), "repeat": number,
+                "h": h[who], "f": np.array(x["f"], np.int64)[who], "once": once[who], "run": run[who].astype(np.int32),
             })
 
     for b in batches:
-        for k in ("h", "once", "rid", "tag", "a", "left", "right"):
+        for k in ("h", "f", "once", "rid", "tag", "a", "left", "right"):
             held.setdefault(k, []).extend(b.column(k).to_pylist())
         if len(held["h"]) >= 8192:
             h, cut = held["h"], len(held["h"])
@@ -311,8 +316,8 @@ def _scan(batches, length: int):
 def _starts(batches, length: int):
     """Each window start of k-grams with very many variants, by its own hash."""
     for b in batches:
-        out = {k: [] for k in ("h", "w", "rid", "tag", "s")}
-        for h, rid, tag, a, left, right in zip(*(b.column(k).to_pylist() for k in ("h", "rid", "tag", "a", "left", "right")), strict=True):
+        out = {k: [] for k in ("h", "w", "f", "once", "rid", "tag", "run", "s")}
+        for h, f, once, rid, tag, a, left, right in zip(*(b.column(k).to_pylist() for k in ("h", "f", "once", "rid", "tag", "a", "left", "right")), strict=True):
             text = left[::-1] + right
             for s in range(len(text) - length + 1):
                 out["w"].append(int.from_bytes(hashlib.blake2b(text[s : s + length], digest_size=8).digest(), "little", signed=True))
@@ -321,6 +326,9 @@ def _starts(batches, length: int):
             out["h"] += [h] * n
             out["rid"] += [rid] * n
             out["tag"] += [tag] * n
+            out["f"] += [f] * n
+            out["once"] += [once] * n
+            out["run"] += [a - len(left)] * n
             if len(out["h"]) >= 50_000:
                 yield _batch(out, _START)
                 out = {k: [] for k in out}
@@ -351,6 +359,7 @@ def _spans_of(t: pa.RecordBatch, take: np.ndarray, length: int) -> pa.RecordBatc
     return pa.RecordBatch.from_pydict({
         "rid": t.column("rid"), "tag": t.column("tag"), "s": t.column("s"),
         "e": pa.array(s + length, pa.int32()), "repeat": pa.array(as_long(number)),
+        "h": t.column("h"), "f": t.column("f"), "once": t.column("once"), "run": t.column("run"),
     })
 
 
@@ -358,10 +367,15 @@ def maximal_repeats(docs: DataFrame, min_bytes: int = 200, gram: int = GRAM, max
     """Every occurrence of every repeat: rows (rid, tag, s, e, repeat).
 
     Bytes s to e (exclusive) of the row's text stand elsewhere too; occurrences of the same repeat
-    share ``repeat``. Repeats are cut to the window of one anchor; neighbouring ones overlap, so
+    share ``repeat``, those in copies of one variant too. Repeats are cut to the window of one anchor; neighbouring ones overlap, so
     the union of a document's spans is exactly its bytes in repeated strings of ``min_bytes``.
     (rid, tag) are those of ``common.documents_of``.
     """
+    return _repeats(docs, min_bytes, gram, max_scan, every=True)
+
+
+def _repeats(docs: DataFrame, min_bytes: int, gram: int, max_scan: int, every: bool) -> DataFrame:
+    """Rows of ``maximal_repeats``; unless ``every``, only as many as cover all repeated bytes."""
     if not 8 <= gram < min_bytes:
         raise ValueError("gram must be at least 8 and below min_bytes")
     by_gram = Window.partitionBy("h")
@@ -392,7 +406,7 @@ def maximal_repeats(docs: DataFrame, min_bytes: int = 200, gram: int = GRAM, max
         ctx.where(~F.col("big"))
         .repartition("h")
         .sortWithinPartitions("h", "right")
-        .mapInArrow(lambda it: _scan(it, min_bytes), _SPAN)
+        .mapInArrow(lambda it: _scan(it, min_bytes, every), _SPAN)
     )
     counted = (
         ctx.where("big").repartition("h", "rid", "tag", "a")
@@ -401,7 +415,19 @@ def maximal_repeats(docs: DataFrame, min_bytes: int = 200, gram: int = GRAM, max
         .sortWithinPartitions("h", "w")
         .mapInArrow(lambda it: _equal_starts(it, min_bytes), _SPAN)
     )
-    return settled.unionByName(scanned).unionByName(counted)
+    span = ["rid", "tag", "s", "e", "repeat"]
+    found = scanned.unionByName(counted)
+    if not every:
+        return settled.unionByName(found.select(*span))
+    found = staged(found, "found")
+    # a variant seen twice stands for all its runs: its rows, from the run's start, go to each of them
+    of_variant = found.where(~F.col("once")).select(
+        "h", "f", "repeat", (F.col("s") - F.col("run")).alias("from"), (F.col("e") - F.col("run")).alias("to")
+    )
+    copies = runs.join(of_variant, ["h", "f"]).select(
+        "rid", "tag", (F.col("s") + F.col("from")).alias("s"), (F.col("s") + F.col("to")).alias("e"), "repeat"
+    )
+    return settled.unionByName(found.where("once").select(*span)).unionByName(copies).distinct()
 
 
 def _merge(spans) -> list[tuple[int, int]]:
@@ -415,7 +441,7 @@ def _merge(spans) -> list[tuple[int, int]]:
 
 
 def _spans_by_row(docs: DataFrame, min_bytes: int, gram: int, max_scan: int) -> DataFrame:
-    spans = maximal_repeats(docs, min_bytes, gram, max_scan)
+    spans = _repeats(docs, min_bytes, gram, max_scan, every=False)
     return spans.groupBy("rid", "tag").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
 
 
