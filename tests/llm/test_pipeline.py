@@ -1,16 +1,12 @@
 import random
-import sys
-from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).parent))
-import test_lsh_forest
-import test_suffix_repeats
-
 import corpus_pipeline as P
 from webtraffic.llm import suffix_repeats as S
 
+from . import test_lsh_forest, test_suffix_repeats
+
 NAMES = ["toxicity", "ngram_jaccard", "suffix_repeats", "mixing", "packing"]
 
 
