@@ -13,8 +13,11 @@ from webtraffic.llm import (
     packing,
     pivot_annuli,
     suffix_repeats,
+    token_alignment,
+    token_counts,
     toxicity,
     vantage_trees,
+    vector_codes,
 )
 
 
@@ -65,6 +68,18 @@ def op10_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_repeats.digests(table(spark, sf_dir, "documents"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.alignment_report(table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.code_report(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_vantage_trees": op2_vantage_trees,
@@ -76,9 +91,13 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_suffix_repeats": op10_suffix_repeats,
+    "op11_token_counts": op11_token_counts,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 SQL: dict[str, str] = {
     "op3_pivot_annuli": pivot_annuli.top_scores_sql(),
     "op8_license_scan": license_scan.scan_sql(),
+    "op13_vector_codes": vector_codes.code_report_sql(),
 }
