@@ -11,7 +11,8 @@ its path. Lower-casing, the word pattern and the merges are all inside the trans
   longer token, the last token before each, and how the counts there differ.
 * ``Counter`` adds the word pattern (letters, single digits, other runs, contractions) around it. States
   are compiled when first reached, and all are dropped and compiled anew once there are ``STATES`` of them,
-  which bounds memory and changes no count.
+  which bounds memory and changes no count. Counts of stretches between white space, from the state that it
+  resets to, are kept likewise.
 
 Texts of up to ``CHUNK`` characters are run in place. Longer ones are cut into chunks that go to other tasks.
 A chunk's state map leads every state through the chunk; white space resets the transducer, so behind
@@ -30,6 +31,7 @@ import json
 import re
 import unicodedata
 from functools import lru_cache
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,7 +43,9 @@ VOCABULARY = "word_bpe_49k.json"
 LIMIT = 2048
 CHUNK = 1 << 16    #: characters
 FAN = 64           #: chunk maps composed by one group
-STATES = 150_000   #: compiled states kept by a worker
+STATES = 400_000   #: compiled states kept by a worker
+KEPT = 200_000     #: counts of short stretches between white space kept by a worker
+PAIRS = 200_000    #: tests of neighbouring tokens kept by a worker
 END = "</w>"
 
 
@@ -52,15 +56,14 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
-class _Prefix:
+class _Prefix(NamedTuple):
     """A state of ``Words``: ``suffix`` holds the longest live suffix; ``live`` has (length, last token before it or
     None at the word's start, its count less the prefix's); ``over`` is how many tokens the word has more
     if it ends here than the prefix has."""
 
-    __slots__ = ("suffix", "live", "over", "next")
-
-    def __init__(self, suffix: str, live: tuple, over: int):
-        self.suffix, self.live, self.over, self.next = suffix, live, over, {}
+    suffix: str
+    live: tuple[tuple[int, str | None, int], ...]
+    over: int
 
 
 class Words:
@@ -79,7 +82,7 @@ class Words:
         self.clear()
 
     def clear(self) -> None:
-        self.states: dict[tuple, _Prefix] = {}
+        self.states: dict[_Prefix, _Prefix] = {}
         self.pairs: dict[tuple, bool] = {}
         self.start = _Prefix("", ((0, None, 0),), 0)
 
@@ -126,6 +129,8 @@ class Words:
                 left, left_until = a[1], a[2]
             else:
                 right, right_until = b[0], b[2]
+        if len(self.pairs) >= PAIRS:
+            self.pairs.clear()
         self.pairs[(last, token)] = found
         return found
 
@@ -139,19 +144,13 @@ class Words:
 
     def step(self, at: _Prefix, symbol: str) -> tuple[_Prefix, int]:
         """(next state, tokens that the word gains if it ends there instead of here)."""
-        found = at.next.get(symbol)
-        if found is None:
-            _, whole = self._last(at, symbol + END)
-            token, count = self._last(at, symbol)
-            grown = at.suffix + symbol
-            live = [(0, token, 0)] + [(n + 1, last, c - count) for n, last, c in at.live if grown[len(grown) - n - 1 :] in self.begins]
-            suffix = grown[len(grown) - max(n for n, _, _ in live) :]
-            key = (suffix, tuple(live), whole - count)
-            new = self.states.get(key)
-            if new is None:
-                new = self.states[key] = _Prefix(*key)
-            found = at.next[symbol] = (new, whole - at.over)
-        return found
+        _, whole = self._last(at, symbol + END)
+        token, count = self._last(at, symbol)
+        grown = at.suffix + symbol
+        live = [(0, token, 0)] + [(n + 1, last, c - count) for n, last, c in at.live if grown[len(grown) - n - 1 :] in self.begins]
+        suffix = grown[len(grown) - max(n for n, _, _ in live) :]
+        new = _Prefix(suffix, tuple(live), whole - count)
+        return self.states.setdefault(new, new), whole - at.over
 
 
 class _State(dict):
@@ -164,10 +163,25 @@ class _State(dict):
         return self.owner.compile(self, char)
 
 
+class _Counts(dict):
+    """Counts of stretches without white space, run when first met; at most ``most``, then all are dropped."""
+
+    def __init__(self, run, most: int):
+        self.run, self.most = run, most
+
+    def __missing__(self, text: str) -> int:
+        n = self.run(text)
+        if len(text) <= 64:
+            if len(self) >= self.most:
+                self.clear()
+            self[text] = n
+        return n
+
+
 class Counter:
     """The whole tokenizer, compiled from its file."""
 
-    def __init__(self, vocabulary: str = VOCABULARY, states: int = STATES):
+    def __init__(self, vocabulary: str = VOCABULARY, states: int = STATES, kept: int = KEPT):
         import public_tokenizers as P
         from tokenizers import Tokenizer
         from tokenizers.normalizers import Lowercase
@@ -183,6 +197,7 @@ class Counter:
         self.special = re.compile("|".join(re.escape(t["content"]) for t in spec["added_tokens"]) or r"(?!)")
         self.bytes, self.most = byte_symbols(), states
         self.classes: dict[str, str] = {}
+        self.kept = _Counts(self.run, kept)
         self.contraction = {c: self._word(c) - self._word("'") for c in ("'s", "'t", "'m", "'d", "'re", "'ve", "'ll")}
         self.clear()
 
@@ -240,7 +255,7 @@ class Counter:
         return "other" if inside or char != "'" else "mark", now, gain
 
     def compile(self, state: _State, char: str) -> _State:
-        if len(self.states) + len(self.words.states) + len(self.words.pairs) // 4 > self.most:
+        if len(self.states) + len(self.words.states) > self.most:
             self.clear()
         kind, at, gain = state.kind, state.at, 0
         for c in self.lower(char):
@@ -265,9 +280,13 @@ class Counter:
             pieces = [unicodedata.normalize("NFC", p) for p in pieces]
         return pieces, len(pieces) - 1
 
+    def plain(self, text: str) -> int:
+        """As ``run``; spaces and line ends reset, so stretches between them add up."""
+        return sum(map(self.kept.__getitem__, text.replace("\n", " ").split(" ")))
+
     def count(self, text: str) -> int:
         pieces, n = self.parts(text)
-        return n + sum(map(self.run, pieces))
+        return n + sum(map(self.plain, pieces))
 
     # maps: (head, count, tail); count None where no white space resets
 
@@ -281,7 +300,7 @@ class Counter:
         first, last = self._reset(text, 0, 1), self._reset(text, len(text) - 1, -1)
         if last < 0:
             return text, None, ""
-        return text[:first], self.run(text[first:last]), text[last:]
+        return text[:first], self.plain(text[first:last]), text[last:]
 
     def compose(self, maps: list[tuple[str, int | None, str]]) -> tuple[str, int | None, str]:
         head, count, pending = [], None, []
