@@ -50,7 +50,7 @@ def got(rows):
     return sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows)
 
 
-@pytest.mark.parametrize(("seed", "max_scan"), [(1, 1024), (2, 1024), (3, 3)])
+@pytest.mark.parametrize(("seed", "max_scan"), [(1, 1024), (2, 1024), (3, 3), (4, 1)])
 def test_removes_exactly_the_repeated_bytes(spark, docs_of, seed, max_scan, monkeypatch):
     monkeypatch.setattr(S.remove_repeats, "__defaults__", (200, S.GRAM, max_scan))
     texts = corpus(seed)
@@ -106,3 +106,19 @@ def test_copies_share_the_repeats_of_other_texts(spark, docs_of, max_scan):
             assert {i for i, t in group if t in own} == set(range(7))
     spans = sorted((x["s"], x["e"]) for x in rows if x["rid"] == 6)
     assert spans[0][0] == 300 and max(e for _, e in spans) == 900
+
+
+@pytest.mark.parametrize("max_scan", [1024, 20, 1])
+def test_near_copies_give_a_few_rows_each(spark, docs_of, max_scan):
+    """Splitting a common k-gram costs rows in proportion to the variants, not to their window starts."""
+    r = random.Random(9)
+    base = [r.choice("abcdefghijklmnop") for _ in range(420)]
+    texts = []
+    for _ in range(300):
+        t = list(base)
+        t[r.randrange(len(t))] = r.choice("0123456789") + "#"
+        texts.append("".join(t))
+    docs = docs_of(list(enumerate(texts)))
+    rows = S._repeats(docs, 200, S.GRAM, max_scan, every=False)
+    assert rows.count() <= 25 * rows.select("rid", "tag").distinct().count()
+    assert got(S.remove_repeats(docs, 200, S.GRAM, max_scan).transform(S._digest).collect()) == sorted(brute(texts, 200))

@@ -16,10 +16,15 @@ anchor, and each window start belongs to exactly one.
    the text to the left decides how far each suffix extends and with which others: where left
    extensions differ the interval splits into groups. Each (interval, left group) is a maximal
    repeat within the anchor's window, reported with all its occurrences.
-4. A k-gram with more than ``max_scan`` variants is not scanned by one task: each of its window
-   starts is counted by its own hash, which combines before the shuffle.
+4. A k-gram with more than ``max_scan`` variants is split before it is scanned: into its windows that start in the
+   nearer and in the farther half before the anchor. All windows of a half share a longer text than
+   the k-gram, so the variants of a half part into smaller groups by that text, and windows are equal only
+   within them. Variants that agree in all bytes of a half's windows are settled by a count, and one of them
+   goes on for the others. Groups still too large are halved again; a single window start has none left,
+   as its shared text is the window. A variant stays in the halves whose edge its differences touch, so
+   it has a few rows for each halving, not one for each window.
 
-Window hashes have 64 bits each and are compared only beside an equal 64-bit k-gram hash.
+Hashes of shared texts have 64 bits each and are compared only beside an equal 64-bit k-gram hash.
 
 Null texts are empty and have no repeat. A text shorter than ``min_bytes`` has none. Repeated rows
 repeat each other, so their whole text (if long enough) is a repeat. Rows with equal or null
@@ -30,6 +35,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -42,7 +48,7 @@ from pyspark.sql.types import StringType
 from webtraffic.llm.common import Roller, U64, as_long, buffers, chunks, documents_of, mix, staged
 
 GRAM = 40          #: bytes of an anchor's k-gram
-MAX_SCAN = 1024    #: variants of one k-gram that one task scans; more are counted by hash
+MAX_SCAN = 1024    #: variants that one scan takes; larger groups are split first
 FLUSH = 400_000    #: anchors that a task combines before it hands them to the shuffle
 
 _RUN = "h long, f long, n int, o int, c long, rid long, tag int, s int"
@@ -221,7 +227,7 @@ def scan_groups(h: np.ndarray, right: list[bytes], left: list[bytes], length: in
 
 
 _CONTEXT = "h long, f long, big boolean, once boolean, rid long, tag int, a int, left binary, right binary"
-_START = "h long, w long, f long, once boolean, rid long, tag int, run int, s int"
+_PART = "g long, u long, t0 int, t1 int, s int, e int, h long, f long, once boolean, rid long, tag int, a int, left binary, right binary"
 _SPAN = "rid long, tag int, s int, e int, repeat long, h long, f long, once boolean, run int"
 
 
@@ -277,22 +283,24 @@ def _batch(cols: dict, schema: str) -> pa.RecordBatch:
 
 
 def _scan(batches, length: int, every: bool):
-    """Scan whole k-gram groups of the sorted rows, some thousand rows at a time.
+    """Scan whole groups (g) of the sorted rows, some thousand rows at a time: k-grams, or parts of them
+    with only the windows that start ``t0`` to ``t1`` bytes before the anchor.
 
     Variants seen twice give rows only if ``every`` occurrence is asked for: their bytes are settled.
     """
     held: dict[str, list] = {}
 
     def work(x):
-        h = np.array(x["h"], np.int64)
+        g, h = np.array(x["g"], np.int64), np.array(x["h"], np.int64)
         once, a = np.array(x["once"]), np.array(x["a"], np.int64)
-        who, low, high, rep = scan_groups(h, x["right"], x["left"], length)
-        keep = once[who] | every
+        who, low, high, rep = scan_groups(g, x["right"], x["left"], length)
+        low, high = np.maximum(low, np.array(x["t0"], np.int64)[who]), np.minimum(high, np.array(x["t1"], np.int64)[who])
+        keep = (once[who] | every) & (low <= high)
         who, low, high, rep = who[keep], low[keep], high[keep], rep[keep]
         if len(who):
             rid, tag = np.array(x["rid"], np.int64), np.array(x["tag"], np.int32)
             run = a - np.fromiter(map(len, x["left"]), np.int64, len(a))
-            number = as_long(mix(h[who].astype(U64) + rep.astype(U64)))
+            number = as_long(mix(g[who].astype(U64) + rep.astype(U64)))
             yield pa.RecordBatch.from_pydict({
                 "rid": rid[who], "tag": tag[who], "s": (a[who] - high).astype(np.int32),
                 "e": (a[who] - low + length).astype(np.int32), "repeat": number,
@@ -300,67 +308,68 @@ def _scan(batches, length: int, every: bool):
             })
 
     for b in batches:
-        for k in ("h", "f", "once", "rid", "tag", "a", "left", "right"):
+        for k in ("g", "t0", "t1", "h", "f", "once", "rid", "tag", "a", "left", "right"):
             held.setdefault(k, []).extend(b.column(k).to_pylist())
-        if len(held["h"]) >= 8192:
-            h, cut = held["h"], len(held["h"])
-            while cut and h[cut - 1] == h[-1]:  # the last group may go on
+        if len(held["g"]) >= 8192:
+            g, cut = held["g"], len(held["g"])
+            while cut and g[cut - 1] == g[-1]:  # the last group may go on
                 cut -= 1
             if cut:
                 yield from work({k: v[:cut] for k, v in held.items()})
                 held = {k: v[cut:] for k, v in held.items()}
-    if held.get("h"):
+    if held.get("g"):
         yield from work(held)
 
 
-def _starts(batches, length: int):
-    """Each window start of k-grams with very many variants, by its own hash."""
+def _halves(batches, length: int):
+    """Each variant in the two halves of its range of window starts, ``t0`` to ``t1`` bytes before the anchor: ``g`` names
+    the half and the text that all its windows share, ``u`` that and all bytes of the variant's windows there."""
+    name = lambda *x: int.from_bytes(hashlib.blake2b(b"".join(x), digest_size=8).digest(), "little", signed=True)
+    number = lambda x: x.to_bytes(8, "little", signed=True)
+    kinds = [k.split()[0] for k in _PART.split(", ")]
     for b in batches:
-        out = {k: [] for k in ("h", "w", "f", "once", "rid", "tag", "run", "s")}
-        for h, f, once, rid, tag, a, left, right in zip(*(b.column(k).to_pylist() for k in ("h", "f", "once", "rid", "tag", "a", "left", "right")), strict=True):
-            text = left[::-1] + right
-            for s in range(len(text) - length + 1):
-                out["w"].append(int.from_bytes(hashlib.blake2b(text[s : s + length], digest_size=8).digest(), "little", signed=True))
-                out["s"].append(a - len(left) + s)
-            n = len(out["w"]) - len(out["h"])
-            out["h"] += [h] * n
-            out["rid"] += [rid] * n
-            out["tag"] += [tag] * n
-            out["f"] += [f] * n
-            out["once"] += [once] * n
-            out["run"] += [a - len(left)] * n
-            if len(out["h"]) >= 50_000:
-                yield _batch(out, _START)
-                out = {k: [] for k in out}
-        if out["h"]:
-            yield _batch(out, _START)
-
-
-def _equal_starts(batches, length: int):
-    """Spans of the window starts that have a neighbour of the same hash; rows come sorted by it."""
-    held = None
-    for b in batches:
-        t = pa.Table.from_batches([b] if held is None else [held, b]).combine_chunks().to_batches()[0]
-        h, w = t.column("h").to_numpy(), t.column("w").to_numpy()
-        same = np.zeros(len(h), bool)
-        same[1:] = (h[1:] == h[:-1]) & (w[1:] == w[:-1])
-        take = same.copy()
-        take[:-1] |= same[1:]
-        yield _spans_of(t.slice(0, len(h) - 1), take[:-1], length)
-        held = t.slice(len(h) - 1)  # decided with the row after it
-        if same[-1]:  # it has one before it: give it out now, and once more if one follows
-            yield _spans_of(held, np.ones(1, bool), length)
-
-
-def _spans_of(t: pa.RecordBatch, take: np.ndarray, length: int) -> pa.RecordBatch:
-    t = t.filter(pa.array(take))
-    s = t.column("s").to_numpy()
-    number = mix(t.column("h").to_numpy().view(U64) ^ mix(t.column("w").to_numpy().view(U64)))
-    return pa.RecordBatch.from_pydict({
-        "rid": t.column("rid"), "tag": t.column("tag"), "s": t.column("s"),
-        "e": pa.array(s + length, pa.int32()), "repeat": pa.array(as_long(number)),
-        "h": t.column("h"), "f": t.column("f"), "once": t.column("once"), "run": t.column("run"),
-    })
+        out, size = {k: [] for k in kinds}, 0
+        for r in b.to_pylist():
+            text, at = r["left"][::-1] + r["right"], len(r["left"])
+            least = length - len(r["right"])  # the nearest window start of the variant
+            mid = (r["t0"] + r["t1"]) // 2
+            for t0, t1 in ((r["t0"], mid), (mid + 1, r["t1"])):
+                low, high = max(t0, least), min(t1, at)
+                if low > high:
+                    continue
+                g = name(number(r["h"]), number(t0), number(t1), text[at - t0 : at - t1 + length])
+                u = name(number(g), number(low), number(high), text[at - high : at - low + length])
+                row = r | {"g": g, "u": u, "t0": t0, "t1": t1, "s": r["a"] - high, "e": r["a"] - low + length}
+                for k in kinds:
+                    out[k].append(row[k])
+                size += 1
+            if size >= 20_000:
+                yield _batch(out, _PART)
+                out, size = {k: [] for k in kinds}, 0
+        if size:
+            yield _batch(out, _PART)
+
+
+def _split(hot: DataFrame, length: int, max_scan: int, every: bool) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Spans of the settled variants of very common k-grams, and groups of at most ``max_scan`` variants to scan."""
+    spans, small = [], []
+    while not hot.isEmpty():
+        parts = staged(hot.mapInArrow(lambda it: _halves(it, length), _PART), "halves")
+        equal = staged(parts.groupBy("g", "u").agg(F.count(F.lit(1)).alias("c"), F.min("f").alias("first")), "equal")
+        sizes = equal.groupBy("g").agg(F.count(F.lit(1)).alias("texts"), F.sum("c").alias("rows")).where("texts > 1")
+        settled = parts.join(equal.where("c > 1").select("g", "u"), ["g", "u"], "left_semi")
+        if not every:
+            settled = settled.where("once")  # copies of a whole variant are settled with it
+        spans.append(settled.select("rid", "tag", "s", "e", F.col("u").alias("repeat"), "h", "f", "once", (F.col("a") - F.length("left")).alias("run")))
+        # where occurrences count, equal texts go on together; else one of them does
+        going = equal.join(sizes.select("g", F.col("rows" if every else "texts").alias("size")), "g")
+        left = parts.join(going.select("g", "u", "first", "size"), ["g", "u"])
+        if not every:
+            left = left.where("f = first")
+        left = staged(left.drop("u", "s", "e", "first"), "split")
+        small.append(left.where(F.col("size") <= max_scan).drop("size"))
+        hot = left.where(F.col("size") > max_scan).drop("g", "size")
+    return spans, small
 
 
 def maximal_repeats(docs: DataFrame, min_bytes: int = 200, gram: int = GRAM, max_scan: int = MAX_SCAN) -> DataFrame:
@@ -402,21 +411,16 @@ def _repeats(docs: DataFrame, min_bytes: int, gram: int, max_scan: int, every: b
     several = variants.where("nv > 1").withColumn("big", F.col("nv") > max_scan)
     ctx = _contexts(several, docs, min_bytes)
     ctx = staged(ctx, "contexts")
+    wide = ctx.withColumns({"g": F.col("h"), "t0": F.lit(0), "t1": F.lit(min_bytes - gram)})
+    spans, small = _split(wide.where("big").drop("g", "big"), min_bytes, max_scan, every)
+    groups = reduce(DataFrame.unionByName, small, wide.where("not big").drop("big"))
     scanned = (
-        ctx.where(~F.col("big"))
-        .repartition("h")
-        .sortWithinPartitions("h", "right")
+        groups.repartition("g")
+        .sortWithinPartitions("g", "right")
         .mapInArrow(lambda it: _scan(it, min_bytes, every), _SPAN)
     )
-    counted = (
-        ctx.where("big").repartition("h", "rid", "tag", "a")
-        .mapInArrow(lambda it: _starts(it, min_bytes), _START)
-        .repartition("h", "w")
-        .sortWithinPartitions("h", "w")
-        .mapInArrow(lambda it: _equal_starts(it, min_bytes), _SPAN)
-    )
     span = ["rid", "tag", "s", "e", "repeat"]
-    found = scanned.unionByName(counted)
+    found = reduce(DataFrame.unionByName, spans, scanned)
     if not every:
         return settled.unionByName(found.select(*span))
     found = staged(found, "found")
@@ -479,8 +483,11 @@ def remove_repeats(docs: DataFrame, min_bytes: int = 200, gram: int = GRAM, max_
 
 def digests(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    r = remove_repeats(docs)
-    return r.select(
+    return _digest(remove_repeats(docs))
+
+
+def _digest(removed: DataFrame) -> DataFrame:
+    return removed.select(
         "doc_id", "n_bytes",
         (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"),
