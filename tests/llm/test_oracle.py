@@ -21,6 +21,6 @@ def test_query_matches_sql(spark, name):
     assert info["status"] in ("ok", "ok~float"), info
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"op10_suffix_repeats"}))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_queries_read_the_tables(spark, name):
     assert QUERIES[name](spark, SF).count() > 0

@@ -3,6 +3,7 @@ import pytest
 
 from webtraffic.llm import pivot_annuli as A
 from webtraffic.llm import vantage_trees as T
+from webtraffic.llm import vectors as V
 
 SCHEMA = "vec_id long, embedding array<float>, label int"
 
@@ -51,6 +52,36 @@ def test_factor_one_is_exact(spark, seed):
     assert got(T.nearest(table(spark, rows), factor=1, shard=300)) == brute(rows, 20, 20)
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_every_query_gets_its_rows(spark, sf):
+    """The production factor gives min(k, candidates) rows, factor 1 the rows of all scores."""
+    import pyarrow.parquet as pq
+
+    t = pq.read_table(f"/root/testdata/{sf}/embeddings.parquet")
+    ids, x = t.column("vec_id").to_numpy(), np.array(t.column("embedding").to_pylist(), np.float32).astype(np.float64)
+    data = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
+    want = {}
+    for i in np.flatnonzero(ids % 20 == 0):
+        score = T.exact(np.broadcast_to(x[i], x.shape), x)
+        order = [j for j in np.lexsort((ids, -score)) if j != i][:20]
+        want[int(ids[i])] = [(int(ids[j]), float(score[j])) for j in order]
+    for factor in (T.FACTOR, 1.0):
+        out = {}
+        for r in sorted(T.nearest(data, factor=factor).collect(), key=lambda r: r["rank"]):
+            out.setdefault(r.query_id, []).append((r.vec_id, r.score))
+        assert {q: len(v) for q, v in out.items()} == {q: len(v) for q, v in want.items()}
+    assert out == want
+
+
+@pytest.mark.parametrize("factor", [1.0, 50.0])
+def test_full_rows_with_a_small_sample_and_copies(spark, monkeypatch, factor):
+    rows = corpus(6, 1500)
+    monkeypatch.setattr(T, "sample", lambda rows, width: V.sample(rows, width, 40))
+    out = [(r.query_id, r["rank"]) for r in T.nearest(table(spark, rows), factor=factor, shard=200).collect()]
+    queries = {i for i, x in rows if i is not None and i < 1500 and i % 20 == 0}
+    assert sorted(out) == [(q, n) for q in sorted(queries) for n in range(1, 21)]
+
+
 def test_relaxed_pruning_computes_less_and_finds_most(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(4000, 16)) + 3 * rng.normal(size=(40, 16))[rng.integers(40, size=4000)]
