@@ -5,19 +5,27 @@ same rows whatever parts the log arrives in, in whatever order. Rows of one key
 first-hit rules of :mod:`ingest`: attributes of the earliest hit, earliest and latest times, page
 views added up. Page views, details and events are appended.
 
+A load is published by one commit of :mod:`webtraffic.sources.ledger`, in all tables or in none. It has an id, by default
+a fingerprint of its rows, and a load whose id is in the ledger already changes nothing: a load can be
+repeated after any interruption. Of two loads at once the one that commits second merges anew with what
+the first one published.
+
 A stored table is read for its keys; only the dates that hold rows of the load's keys, or receive
-them, are written again (dynamic partition overwrite from a staged copy, so a failed write can be
-repeated from it). A load must not run beside another one on the same tables.
+them, are written again, to new directories.
 """
 
 from __future__ import annotations
 
+import uuid
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import TABLE_SCHEMAS, TIME_COLUMN
 from ..session import scratch_path
-from ..sources.tables import Tables, load_tables, write_tables
+from ..sources import ledger as L
+from ..sources.tables import Tables, plain_tables
 
 KEY = {"visitors": "visitor_id", "sessions": "session_id"}
 
@@ -44,59 +52,82 @@ def combine_sessions(rows: DataFrame, count_from: int = 1) -> DataFrame:
 COMBINE = {"visitors": combine_visitors, "sessions": combine_sessions}
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
-def _drop_dates(spark: SparkSession, path: str, dates: list) -> None:
-    """Remove date directories that no row is left for."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    for d in dates:
-        p = hadoop.Path(f"{path}/dt={d if d is not None else '__HIVE_DEFAULT_PARTITION__'}")
-        fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        if fs.exists(p):
-            fs.delete(p, True)
-
-
-def _merge_keyed(spark: SparkSession, name: str, new: DataFrame, out_dir: str) -> None:
-    key, time, path = KEY[name], TIME_COLUMN[name], f"{out_dir}/{name}"
+def _dated(name: str, rows: DataFrame) -> DataFrame:
     columns = [f.name for f in TABLE_SCHEMAS[name].fields]
-    old = load_tables(spark, out_dir, names=(name,)).frames()[name]
+    return rows.select(*columns, F.to_date(TIME_COLUMN[name]).alias("dt"))
+
+
+def _adopted(spark: SparkSession, root: str) -> L.State:
+    """The newest version; plain tables that were written without a ledger become its first one."""
+    state = L.read_state(spark, root)
+    if state is not None:
+        return state
+    plain = plain_tables(spark, root)
+    if not plain:
+        return L.State()
+    attempt = uuid.uuid4().hex
+    dirs = {n: L.write_dirs(df, root, n, attempt) for n, df in plain.items()}
+    try:
+        return L.commit(spark, root, L.State().after(None, dirs))
+    except L.Conflict:
+        return L.read_state(spark, root)
+
+
+def _together(job, names) -> dict:
+    """Independent jobs of the named tables, submitted at once."""
+    with ThreadPoolExecutor(max_workers=max(1, len(names))) as pool:
+        return dict(zip(names, pool.map(job, names), strict=True))
+
+
+def _merge_keyed(spark: SparkSession, name: str, new: DataFrame, root: str, state: L.State) -> dict[str, list[str]]:
+    """Write the touched dates of a keyed table anew; the directories of each, none where no row is left."""
+    key, columns = KEY[name], [f.name for f in TABLE_SCHEMAS[name].fields]
+    listed = state.dirs.get(name, {})
+    old = L.read_dirs(spark, root, name, listed, TABLE_SCHEMAS[name])
     staged = scratch_path(spark, "merge", name)
-    new.select(*columns).write.parquet(f"{staged}/new")
-    new = spark.read.schema(TABLE_SCHEMAS[name]).parquet(f"{staged}/new")
     keys = new.select(key)
-    known = old.join(keys, key, "left_semi")
-    known.write.parquet(f"{staged}/known")
+    old.join(keys, key, "left_semi").select(*columns, "dt").write.parquet(f"{staged}/known")
     known = spark.read.schema(old.schema).parquet(f"{staged}/known")
-    merged = COMBINE[name](known.select(*columns).unionByName(new)).withColumn("dt", F.to_date(time))
-    merged.write.parquet(f"{staged}/merged")
+    _dated(name, COMBINE[name](known.select(*columns).unionByName(new))).write.parquet(f"{staged}/merged")
     merged = spark.read.schema(old.schema).parquet(f"{staged}/merged")
     # one value for each date that the load touches
-    touched = known.select("dt").unionByName(merged.select("dt")).distinct()
-    dates = [r.dt for r in touched.collect()]
-    in_dates = F.col("dt").isin([d for d in dates if d is not None])
-    if None in dates:
-        in_dates = in_dates | F.col("dt").isNull()
-    rest = old.where(in_dates).join(keys, key, "left_anti")
-    rest.select(*columns, "dt").unionByName(merged.select(*columns, "dt")).write.parquet(f"{staged}/out")
-    out = spark.read.schema(old.schema).parquet(f"{staged}/out")
-    (out.hint("rebalance", "dt").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("dt").parquet(path))
-    left = {r.dt for r in out.select("dt").distinct().collect()}
-    _drop_dates(spark, path, [d for d in dates if d not in left])
-
-
-def merge_tables(spark: SparkSession, new: Tables, out_dir: str) -> None:
-    """Add a load's tables (:func:`webtraffic.operators.ingest.ingest`) to those under ``out_dir``."""
+    touched = {r.dt for r in known.select("dt").unionByName(merged.select("dt")).distinct().collect()}
+    names = {d: n for d, n in L.dates_of(listed).items() if d in touched}
+    rest = L.read_dirs(spark, root, name, {n: listed[n] for n in names.values()}, TABLE_SCHEMAS[name])
+    rest = rest.join(keys, key, "left_anti").select(*columns, "dt")
+    written = L.write_dirs(rest.unionByName(merged), root, name, uuid.uuid4().hex)
+    return {n: [] for n in names.values()} | written
+
+
+def merge_tables(spark: SparkSession, new: Tables, out_dir: str, load_id: str | None = None) -> L.State:
+    """Add a load's tables (:func:`webtraffic.operators.ingest.ingest`) to those under ``out_dir``, once; the version that
+    holds them. ``load_id`` names the load where its rows do not (say, two loads of equal rows that both count)."""
+    state = _adopted(spark, out_dir)
+    if load_id is not None and load_id in state.loads:
+        return state
+    attempt, staged = uuid.uuid4().hex, scratch_path(spark, "merge", "load")
     frames = new.frames()
-    fresh = {n: df for n, df in frames.items() if not _exists(spark, f"{out_dir}/{n}")}
-    for name in frames.keys() - fresh.keys():
+    appended: dict[str, dict[str, list[str]]] = {}
+
+    def write(name: str) -> DataFrame:
         if name in KEY:
-            _merge_keyed(spark, name, frames[name], out_dir)
-    more = {n: df for n, df in frames.items() if n not in fresh and n not in KEY}
-    if fresh:
-        write_tables(Tables(**fresh), out_dir)
-    if more:
-        write_tables(Tables(**more), out_dir, mode="append")
+            frames[name].select(*TABLE_SCHEMAS[name].fieldNames()).write.parquet(f"{staged}/{name}")
+            return spark.read.schema(TABLE_SCHEMAS[name]).parquet(f"{staged}/{name}")
+        # in place already, to be published
+        appended[name] = L.write_dirs(_dated(name, frames[name]), out_dir, name, attempt)
+        return L.read_dirs(spark, out_dir, name, appended[name], TABLE_SCHEMAS[name]).drop("dt")
+
+    rows = _together(write, frames)
+    load = load_id or L.fingerprint(_together(lambda n: L.row_sums(rows[n]), rows))
+    while True:
+        state = _adopted(spark, out_dir)
+        if load in state.loads:
+            return state
+        changes = _together(lambda n: _merge_keyed(spark, n, rows[n], out_dir, state), [n for n in rows if n in KEY])  # noqa: B023
+        for name, dates in appended.items():
+            listed = state.dirs.get(name, {})
+            changes[name] = {d: [*listed.get(d, []), *p] for d, p in dates.items()}
+        try:
+            return L.commit(spark, out_dir, state.after(load, changes))
+        except L.Conflict:
+            continue

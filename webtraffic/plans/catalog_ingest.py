@@ -230,6 +230,27 @@ for _name in ("visitors", "sessions", "page_views"):
     register(f"ingest_{_name}_incremental", CATALOG["ingest_" + _name].sql)(
         lambda spark, d, name=_name: incremental(spark, d).frames()[name].drop("dt"))
 
+
+def repeated(spark, sf_dir):
+    """The hit log loaded in two parts, each of them twice and the first one once more at the end."""
+    key = ("repeated", spark.sparkContext.applicationId, sf_dir)
+    raw, geo = raw_hits(spark, sf_dir), fixture_geo_ranges(spark, sf_dir)
+    with _LOCK:
+        if key not in _CACHE:
+            out = scratch_path(spark, "repeated")
+            for part in (1, 1, 0, 0, 1):
+                tables, _ = I.ingest(raw.where(F.col("hit_id") % 2 == part), geo)
+                merge_tables(spark, tables, out)
+            _CACHE[key] = load_tables(spark, out)
+        return _CACHE[key]
+
+
+for _name in ("visitors", "sessions", "page_views"):
+    register(f"ingest_{_name}_repeated", CATALOG["ingest_" + _name].sql)(
+        lambda spark, d, name=_name: repeated(spark, d).frames()[name].drop("dt"))
+register("ingest_visitor_details_repeated", CATALOG["ingest_visitor_details"].sql)(
+    lambda spark, d: repeated(spark, d).visitor_details.select(*_DETAIL_COLS))
+
 # The same tables from JSON payloads.
 _JSON = {
     "rejected": lambda t, r: r,

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schema import TABLE_SCHEMAS, TIME_COLUMN
+from . import ledger
 
 TABLE_NAMES = tuple(TIME_COLUMN)
 
@@ -55,16 +56,31 @@ def write_tables(tables: Tables, out_dir: str, mode: str = "overwrite") -> None:
 
 def load_tables(spark: SparkSession, in_dir: str, as_of=None,
                 names=TABLE_NAMES) -> Tables:
-    """Read tables written by :func:`write_tables` (``dt`` partitions discovered).
+    """Read tables written by :func:`write_tables` (``dt`` partitions discovered), or the newest version of those that
+    :func:`webtraffic.operators.merge.merge_tables` committed.
 
     Schemas are declared, so a table that was written without rows, or without some columns, loads.
     """
+    state = ledger.read_state(spark, in_dir)
+    if state is not None:
+        return Tables(**{n: ledger.read_dirs(spark, in_dir, n, state.dirs.get(n, {}), TABLE_SCHEMAS[n]) for n in names}, as_of=as_of)
     dt = T.StructField("dt", T.DateType(), True)
     frames = {n: spark.read.schema(T.StructType([*TABLE_SCHEMAS[n].fields, dt])).parquet(f"{in_dir}/{n}")
               for n in names}
     return Tables(**frames, as_of=as_of)
 
 
+def plain_tables(spark: SparkSession, in_dir: str) -> dict[str, DataFrame]:
+    """Those tables under ``in_dir`` that :func:`write_tables` wrote, with no ledger."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    there = []
+    for n in TABLE_NAMES:
+        p = path(f"{in_dir}/{n}/_SUCCESS")
+        if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+            there.append(n)
+    return load_tables(spark, in_dir, names=there).frames() if there else {}
+
+
 def latest_instant(page_views: DataFrame, col: str = "viewed_at") -> datetime | None:
     """The fixtures' "now": the newest page view (a single scalar brought to the driver)."""
     return page_views.agg(F.max(col).alias("m")).first()["m"]
