@@ -26,6 +26,7 @@ from ..schema import TABLE_SCHEMAS, TIME_COLUMN
 from ..session import scratch_path
 from ..sources import ledger as L
 from ..sources.tables import Tables, plain_tables
+from . import profiles as P
 
 KEY = {"visitors": "visitor_id", "sessions": "session_id"}
 
@@ -67,6 +68,8 @@ def _adopted(spark: SparkSession, root: str) -> L.State:
         return L.State()
     attempt = uuid.uuid4().hex
     dirs = {n: L.write_dirs(df, root, n, attempt) for n, df in plain.items()}
+    if "visitor_details" in plain:
+        dirs[P.TABLE] = P.write_profiles(plain["visitor_details"], root, attempt)
     try:
         return L.commit(spark, root, L.State().after(None, dirs))
     except L.Conflict:
@@ -118,15 +121,16 @@ def merge_tables(spark: SparkSession, new: Tables, out_dir: str, load_id: str |
         return L.read_dirs(spark, out_dir, name, appended[name], TABLE_SCHEMAS[name]).drop("dt")
 
     rows = _together(write, frames)
+    if "visitor_details" in rows:  # the maintained view changes in the same commit
+        appended[P.TABLE] = P.write_profiles(rows["visitor_details"], out_dir, attempt)
     load = load_id or L.fingerprint(_together(lambda n: L.row_sums(rows[n]), rows))
     while True:
         state = _adopted(spark, out_dir)
         if load in state.loads:
             return state
         changes = _together(lambda n: _merge_keyed(spark, n, rows[n], out_dir, state), [n for n in rows if n in KEY])  # noqa: B023
-        for name, dates in appended.items():
-            listed = state.dirs.get(name, {})
-            changes[name] = {d: [*listed.get(d, []), *p] for d, p in dates.items()}
+        for name, written in appended.items():
+            changes[name] = P.appended(state, name, written)
         try:
             return L.commit(spark, out_dir, state.after(load, changes))
         except L.Conflict:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.period import LIVE_WINDOW, after, pcol
+from .profiles import PROFILE_ROWS, combine_profiles, profiles_of
 from .topk import parse_limit
 
 FEED_COLUMNS = ["visitor_id", "country", "city", "browser", "device_type", "page_path",
@@ -39,10 +40,7 @@ def realtime_feed(page_views: DataFrame, visitors: DataFrame, details: DataFrame
     visitor × detail product is ever built.
     ``latest=True`` joins the single latest detail row per visitor (E07) instead.
     """
-    recent = (page_views.where(after("viewed_at", as_of, LIVE_WINDOW, pcol(page_views)))
-              .select(F.col("id").alias("_pv_id"), "visitor_id", "page_path", "viewed_at"))
-    known = recent.join(visitors.select("visitor_id"), "visitor_id", "left_semi")
-    top = known.orderBy(F.desc("viewed_at"), F.asc("_pv_id")).limit(n)
+    top = _newest_views(page_views, visitors, as_of, n)
     dcols = ["country", "city", "browser", "device_type"]
     # The key set is the output of a limit-n query; Spark broadcasts it if its measured size allows.
     mine = details.join(top.select("visitor_id").distinct(), "visitor_id", "left_semi")
@@ -53,7 +51,30 @@ def realtime_feed(page_views: DataFrame, visitors: DataFrame, details: DataFrame
         d = (mine.select("visitor_id", "id", *dcols)
              .withColumn("_rk", F.row_number().over(w))
              .where(F.col("_rk") <= n))
-    return (top.join(d, "visitor_id", "left")
+    return _feed(top, d, n)
+
+
+def realtime_feed_maintained(page_views: DataFrame, visitors: DataFrame, profiles: DataFrame, as_of,
+                             n: int = 50) -> DataFrame:
+    """Q32 from the maintained profiles (:mod:`.profiles`) of the newest page views' visitors; no detail row is
+    read. A feed of more rows than a profile keeps needs :func:`realtime_feed`."""
+    if n > PROFILE_ROWS:
+        raise ValueError(f"profiles keep {PROFILE_ROWS} detail rows")
+    top = _newest_views(page_views, visitors, as_of, n)
+    mine = profiles_of(profiles, top)
+    d = mine.select("visitor_id", F.posexplode("first").alias("_rk", "_d")).select("visitor_id", "_rk", "_d.*")
+    return _feed(top, d, n)
+
+
+def _newest_views(page_views: DataFrame, visitors: DataFrame, as_of, n: int) -> DataFrame:
+    recent = (page_views.where(after("viewed_at", as_of, LIVE_WINDOW, pcol(page_views)))
+              .select(F.col("id").alias("_pv_id"), "visitor_id", "page_path", "viewed_at"))
+    known = recent.join(visitors.select("visitor_id"), "visitor_id", "left_semi")
+    return known.orderBy(F.desc("viewed_at"), F.asc("_pv_id")).limit(n)
+
+
+def _feed(top: DataFrame, details: DataFrame, n: int) -> DataFrame:
+    return (top.join(details, "visitor_id", "left")
             .orderBy(F.desc("viewed_at"), F.asc("_pv_id"), F.asc_nulls_first("_rk"))
             .limit(n)
             .select(*FEED_COLUMNS))
@@ -80,19 +101,41 @@ def recent_visitors(visitors: DataFrame, details: DataFrame, sessions: DataFrame
     Spark broadcasts if its measured size allows.
     """
     n = parse_limit(limit)
-    order = [F.desc_nulls_last("last_seen"), F.asc("visitor_id")]
+    v = _last_seen(visitors, n)
+    if n is not None:
+        details = details.join(v.select("visitor_id"), "visitor_id", "left_semi")
+    d = (details.groupBy("visitor_id")
+         .agg(F.count(F.lit(1)).alias("_n_details"),
+              F.max_by(F.struct(*RECENT_DETAIL_COLUMNS), F.struct("updated_at", "id")).alias("_d")))
+    return _recent(v, d, sessions, n, dedupe)
+
+
+def recent_visitors_maintained(visitors: DataFrame, profiles: DataFrame, sessions: DataFrame,
+                               limit=None, dedupe: bool = False) -> DataFrame:
+    """Q34/Q35 from the maintained profiles (:mod:`.profiles`); no detail row is read."""
+    n = parse_limit(limit)
+    v = _last_seen(visitors, n)
+    mine = combine_profiles(profiles) if n is None else profiles_of(profiles, v)
+    d = mine.select("visitor_id", F.col("n_details").alias("_n_details"), F.col("latest").alias("_d"))
+    return _recent(v, d, sessions, n, dedupe)
+
+
+def _recent_order() -> list:
+    return [F.desc_nulls_last("last_seen"), F.asc("visitor_id")]
+
+
+def _last_seen(visitors: DataFrame, n: int | None) -> DataFrame:
     v = visitors.select("visitor_id", "ip_address", "last_seen")
+    return v if n is None else v.orderBy(*_recent_order()).limit(n)
+
+
+def _recent(v: DataFrame, d: DataFrame, sessions: DataFrame, n: int | None, dedupe: bool) -> DataFrame:
+    """The visitors ``v`` with their session sums and details (visitor_id, _n_details, _d)."""
     if n is not None:
-        v = v.orderBy(*order).limit(n)
-        keys = v.select("visitor_id")
-        sessions = sessions.join(keys, "visitor_id", "left_semi")
-        details = details.join(keys, "visitor_id", "left_semi")
+        sessions = sessions.join(v.select("visitor_id"), "visitor_id", "left_semi")
     s = (sessions.where(F.col("visitor_id").isNotNull()).groupBy("visitor_id")
          .agg(F.count_distinct("id").alias("session_count"),
               F.sum("page_views").alias("_pv_sum")))
-    d = (details.groupBy("visitor_id")
-         .agg(F.count(F.lit(1)).alias("_n_details"),
-              F.max_by(F.struct(*RECENT_DETAIL_COLUMNS), F.struct("updated_at", "id")).alias("_d")))
     factor = F.lit(1) if dedupe else F.greatest(F.coalesce("_n_details", F.lit(0)), F.lit(1))
     out = (v.join(d, "visitor_id", "left")
            .join(s, "visitor_id", "left")
@@ -100,4 +143,4 @@ def recent_visitors(visitors: DataFrame, details: DataFrame, sessions: DataFrame
                    *[F.col(f"_d.{c}").alias(c) for c in RECENT_DETAIL_COLUMNS],
                    F.coalesce("session_count", F.lit(0)).alias("session_count"),
                    (F.col("_pv_sum") * factor).alias("total_page_views")))
-    return out.orderBy(*order)
+    return out.orderBy(*_recent_order())

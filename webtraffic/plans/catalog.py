@@ -78,3 +78,4 @@ from . import catalog_reports  # noqa: E402,F401
 from . import catalog_ingest  # noqa: E402,F401
 from . import catalog_bundles  # noqa: E402,F401
 from . import catalog_streaming  # noqa: E402,F401
+from . import catalog_maintained  # noqa: E402,F401

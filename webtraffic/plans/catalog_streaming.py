@@ -123,13 +123,17 @@ def _stream_active(spark, d):
                       "active_sessions")
 
 
-@register("stream_realtime_feed", oracle(_FEED_SQL, *_FEED_NEEDS, extra=_FEED_CTES))
-def _stream_feed(spark, d):
-    t = T(spark, d)
+def events_page_views(spark, d):
     hits = hits_from_events(events_stream(spark, d))
-    pv = hits.where(F.col("type") == "pageview").select(
+    return hits.where(F.col("type") == "pageview").select(
         F.col("hit_id").alias("id"), "session_id", "visitor_id", "page_path",
         F.col("received_at").alias("viewed_at"))
+
+
+@register("stream_realtime_feed", oracle(_FEED_SQL, *_FEED_NEEDS, extra=_FEED_CTES))
+def _stream_feed(spark, d):
+    t = T(spark, d)
+    pv = events_page_views(spark, d)
     out, ck = scratch_path(spark, "stream", "feed"), scratch_path(spark, "stream", "ck")
     _run(L.realtime_sink(pv, t.visitors, t.visitor_details, out, ck))
     return L.read_feed(spark, out)

@@ -116,11 +116,11 @@ def commit(spark: SparkSession, root: str, state: State) -> State:
     return state
 
 
-def write_dirs(df: DataFrame, root: str, table: str, attempt: str) -> dict[str, list[str]]:
-    """Write rows with their ``dt``, unpublished; the directories by date."""
-    df.hint("rebalance", "dt").write.partitionBy("dt").parquet(f"{root}/{table}/load={attempt}")
+def write_dirs(df: DataFrame, root: str, table: str, attempt: str, by: str = "dt") -> dict[str, list[str]]:
+    """Write rows with their ``dt`` (or other partition column), unpublished; the directories by its value."""
+    df.hint("rebalance", by).write.partitionBy(by).parquet(f"{root}/{table}/load={attempt}")
     names = _Files(df.sparkSession, root).names(f"{table}/load={attempt}")
-    return {n[3:]: [f"load={attempt}/{n}"] for n in names if n.startswith("dt=")}
+    return {n[len(by) + 1 :]: [f"load={attempt}/{n}"] for n in names if n.startswith(f"{by}=")}
 
 
 def dates_of(listed: dict[str, list[str]]) -> dict:
@@ -130,24 +130,27 @@ def dates_of(listed: dict[str, list[str]]) -> dict:
     return {None if d == NO_DATE else date.fromisoformat(d): d for d in listed}
 
 
-def read_dirs(spark: SparkSession, root: str, table: str, listed: dict[str, list[str]], schema: T.StructType) -> DataFrame:
-    """Rows of the listed directories, with ``dt`` for pruning."""
-    full = T.StructType([*schema.fields, T.StructField("dt", T.DateType(), True)])
+def read_dirs(spark: SparkSession, root: str, table: str, listed: dict[str, list[str]], schema: T.StructType,
+              by: tuple[str, T.DataType] = ("dt", T.DateType())) -> DataFrame:
+    """Rows of the listed directories, with the partition column for pruning."""
+    full = T.StructType([*schema.fields, T.StructField(*by, True)])
     paths = [f"{root}/{table}/{p}" for dirs in listed.values() for p in dirs]
     if not paths:
         return spark.createDataFrame([], full)
     return spark.read.schema(T.StructType([*full.fields, T.StructField("load", T.StringType())])).option("basePath", f"{root}/{table}").parquet(*paths).drop("load")
 
 
-def compact(spark: SparkSession, root: str, table: str, schema: T.StructType, least: int = 2) -> State:
-    """Rewrite the dates of ``table`` that lie in ``least`` or more directories into one each."""
+def compact(spark: SparkSession, root: str, table: str, schema: T.StructType, least: int = 2,
+            by: tuple[str, T.DataType] = ("dt", T.DateType()), fold=lambda df: df) -> State:
+    """Rewrite the dates (or other parts) of ``table`` that lie in ``least`` or more directories into one each; ``fold`` may
+    combine their rows."""
     while True:
         state = read_state(spark, root) or State()
         many = {d: p for d, p in state.dirs.get(table, {}).items() if len(p) >= least}
         if not many:
             return state
-        rows = read_dirs(spark, root, table, many, schema)
-        written = write_dirs(rows, root, table, uuid.uuid4().hex)
+        rows = fold(read_dirs(spark, root, table, many, schema, by))
+        written = write_dirs(rows, root, table, uuid.uuid4().hex, by[0])
         try:
             return commit(spark, root, state.after(None, {table: {d: written.get(d, []) for d in many}}))
         except Conflict:
@@ -168,7 +171,7 @@ def vacuum(spark: SparkSession, root: str, versions: int = 2, older_than_s: floa
         for load in (n for n in files.names(table) if n.startswith("load=")):
             if files.age_ms(f"{table}/{load}") < older_than_s * 1000:
                 continue
-            dead = [d for d in (f"{table}/{load}/{n}" for n in files.names(f"{table}/{load}") if n.startswith("dt=")) if d not in live]
+            dead = [d for d in (f"{table}/{load}/{n}" for n in files.names(f"{table}/{load}") if "=" in n) if d not in live]
             whole = not any(x.startswith(f"{table}/{load}/") for x in live)
             for d in [f"{table}/{load}"] if whole else dead:
                 files.fs.delete(files.path(d), True)

@@ -20,7 +20,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.ingest import (derive_page_views, derive_sessions, derive_visitor_details,
                                 derive_visitors, normalize_hits)
-from ..operators.people import realtime_feed
+from ..operators.people import realtime_feed, realtime_feed_maintained
 from ..schema import HIT, JSON_HIT, SESSIONS, VISITORS, conform
 from ..sources.hits import from_payload
 
@@ -176,10 +176,12 @@ def active_sessions_by_window(spark: SparkSession, out_dir: str) -> DataFrame:
 
 def realtime_sink(page_views: DataFrame, visitors: DataFrame, details: DataFrame,
                   out_dir: str, checkpoint: str, n: int = 50,
-                  trigger: dict | None = None) -> StreamingQuery:
+                  trigger: dict | None = None, maintained: bool = False) -> StreamingQuery:
     """Per micro-batch, append the batch's page views, then recompute the live feed
     (Q32) over stored page views at the newest view time — the five-minute window spans
-    several micro-batches, so one batch alone is not enough."""
+    several micro-batches, so one batch alone is not enough. With ``maintained``, ``details`` are
+    maintained profiles (:mod:`webtraffic.operators.profiles`), and no detail rows are read."""
+    feed_of = realtime_feed_maintained if maintained else realtime_feed
     store = f"{out_dir}/page_views"
 
     def write(batch: DataFrame, batch_id: int):
@@ -194,7 +196,7 @@ def realtime_sink(page_views: DataFrame, visitors: DataFrame, details: DataFrame
         # later one: only those date partitions are read, not the whole history.
         recent = stored.where(F.col("dt") >= F.lit(newest.date()))
         as_of = recent.agg(F.max("viewed_at").alias("m")).first()["m"]
-        feed = realtime_feed(stored, visitors, details, as_of, n=n)
+        feed = feed_of(stored, visitors, details, as_of, n=n)
         feed.write.mode("overwrite").parquet(f"{out_dir}/feed/{BATCH_COL}={batch_id}")
 
     return (page_views.writeStream.foreachBatch(write)
