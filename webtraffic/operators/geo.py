@@ -4,6 +4,10 @@ The collector looked addresses up in a bundled GeoIP database; here the ranges a
 (``GEO_RANGES``: ip_from, ip_to inclusive, non-overlapping). Spark has no range join, so each
 range is exploded into the /16 blocks it touches and hits join on (block, address between
 bounds): an equi-join plus a residual range test, with no nested loop.
+
+IPv6 ranges (``GEO_RANGES_V6``: addresses as text, inclusive) are cut into prefixes of whole hexadecimal digits, at most
+960 for any range and one to eight for a usual network. An address is probed with its own prefixes of the
+lengths that occur, by equality; the longest one that is there gives its place.
 """
 
 from __future__ import annotations
@@ -61,3 +65,96 @@ def with_geo(hits: DataFrame, geo_ranges: DataFrame, ip_col: str = "ip",
     return (out.withColumn("geo_country", empty_to_null("geo_country"))
                .withColumn("geo_region", empty_to_null("geo_region"))
                .withColumn("geo_city", empty_to_null("geo_city")))
+
+
+HEX = 32  #: hexadecimal digits of an IPv6 address
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def ipv6_hex(ip) -> Column:
+    """IPv6 text (``::``, a dotted tail, a zone and any letter case allowed) -> its 32 hexadecimal digits; else NULL."""
+    def dotted(s):
+        tail = F.regexp_extract(s, r":(\d+\.\d+\.\d+\.\d+)$", 1)
+        return F.when(tail == "", s).otherwise(_let(F.lpad(F.lower(F.hex(ipv4_to_long(tail))), 8, "0"), lambda low: F.concat(
+            s.substr(F.lit(1), F.length(s) - F.length(tail)), F.substring(low, 1, 4), F.lit(":"), F.substring(low, 5, 4))))
+
+    def filled(halves):
+        groups = lambda part: F.when(part == "", F.array().cast("array<string>")).otherwise(F.split(part, ":"))
+        return _let(F.struct(groups(F.get(halves, F.lit(0))).alias("head"), groups(F.coalesce(F.get(halves, F.lit(1)), F.lit(""))).alias("rest")), lambda g: _let(
+            F.lit(8) - F.size(g["head"]) - F.size(g["rest"]),
+            lambda missing: F.when(
+                ((F.size(halves) == 1) & (missing == 0)) | ((F.size(halves) == 2) & (missing >= 1)),
+                F.concat(g["head"], F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0)).cast("int")), g["rest"]))))
+
+    def text(whole):
+        return F.when(F.forall(whole, lambda g: g.rlike("^[0-9a-f]{1,4}$")), F.array_join(F.transform(whole, lambda g: F.lpad(g, 4, "0")), ""))
+
+    plain = F.regexp_replace(F.lower(F.trim(F.col(ip) if isinstance(ip, str) else ip)), "%.*$", "")
+    return _let(_let(F.split(_let(plain, dotted), "::"), filled), text)
+
+
+def _digit(text: Column, at) -> Column:
+    return F.conv(text.substr(at, F.lit(1)), 16, 10).cast("int")
+
+
+def range_prefixes(geo_ranges6: DataFrame) -> DataFrame:
+    """(prefix, geo_country, geo_region, geo_city): digits that all and only the addresses of a range begin with.
+
+    Behind the digits that both bounds share come the digits between theirs, and along either bound those
+    beyond its own digit, down to where the bound goes on with only zeros (or only f).
+    """
+    r = geo_ranges6.select(
+        ipv6_hex("ip_from").alias("f"), ipv6_hex("ip_to").alias("t"), F.col("country").alias("geo_country"),
+        F.col("region").alias("geo_region"), F.col("city").alias("geo_city"))
+    f, t, p = F.col("f"), F.col("t"), F.col("p")
+    places, digits = F.sequence(F.lit(1), F.lit(HEX)), F.sequence(F.lit(0), F.lit(15))
+    one = F.lit(1)
+    r = r.where(f <= t).withColumn("p", F.size(F.filter(places, lambda i: f.substr(one, i) == t.substr(one, i))))
+    f_end, t_end = F.length(F.rtrim(f, F.lit("0"))), F.length(F.rtrim(t, F.lit("f")))
+    r = r.withColumns({"k": F.greatest(p + 1, f_end), "l": F.greatest(p + 1, t_end)})
+    grow = lambda text, i, d: F.concat(text.substr(one, i - 1), F.substring(F.lit("0123456789abcdef"), d + 1, one))
+    between = F.transform(F.filter(digits, lambda d: (d > _digit(f, p + 1)) & (d < _digit(t, p + 1))), lambda d: grow(f, p + 1, d))
+    above = F.flatten(F.transform(F.filter(places, lambda i: (i > p + 1) & (i <= F.col("k"))),
+                                  lambda i: F.transform(F.filter(digits, lambda d: d > _digit(f, i)), lambda d: grow(f, i, d))))
+    below = F.flatten(F.transform(F.filter(places, lambda i: (i > p + 1) & (i <= F.col("l"))),
+                                  lambda i: F.transform(F.filter(digits, lambda d: d < _digit(t, i)), lambda d: grow(t, i, d))))
+    tips = F.array(f.substr(one, F.col("k")), t.substr(one, F.col("l")))
+    cut = F.when((f_end <= p) & (t_end <= p), F.array(f.substr(one, p))).otherwise(F.concat(tips, between, above, below))
+    return r.select(F.explode(cut).alias("prefix"), "geo_country", "geo_region", "geo_city")
+
+
+_GEO = ("geo_country", "geo_region", "geo_city")
+
+
+def with_geo6(hits: DataFrame, geo_ranges6: DataFrame, ip_col: str = "ip", salt_col: str = "hit_id") -> DataFrame:
+    """Fill ``geo_country``, ``geo_region``, ``geo_city`` (columns of ``hits``) for IPv6 addresses; others keep theirs.
+
+    Distinct addresses are probed, so a prefix or an address that many hits share is joined once for each of its
+    addresses; hits then join their address by equality, where AQE splits a hot one, and hits without an
+    IPv6 address are spread over keys that never match. A stream cannot be made distinct: there each
+    hit is joined to the static prefixes once for each length that occurs.
+    """
+    prefixes = range_prefixes(geo_ranges6)
+    mine = F.when(F.col(ip_col).contains(":") & ~is_local_ip(F.col(ip_col)) & ipv4_to_long(ip_col).isNull(), ipv6_hex(ip_col))
+    h = hits.withColumn("_hex", mine)
+    if hits.isStreaming:
+        lengths = sorted(r[0] for r in prefixes.select(F.length("prefix")).distinct().collect())  # at most 33
+        for n in lengths:  # longer ones overrule
+            part = prefixes.where(F.length("prefix") == n).select(F.col("prefix").alias("_prefix"), F.struct(*_GEO).alias("_geo"))
+            h = h.join(part, F.substring("_hex", 1, n) == F.col("_prefix"), "left")
+            h = h.withColumns({c: F.when(F.col("_prefix").isNotNull(), F.col(f"_geo.{c}")).otherwise(F.col(c)) for c in _GEO}).drop("_prefix", "_geo")
+        out = h.drop("_hex")
+    else:
+        lengths = prefixes.agg(F.collect_set(F.length("prefix"))).scalar()
+        probes = h.where(F.col("_hex").isNotNull()).select(F.col("_hex").alias("_addr")).distinct().withColumn("_n", F.explode(lengths))
+        probes = probes.withColumn("prefix", F.col("_addr").substr(F.lit(1), F.col("_n")))
+        found = probes.join(prefixes, "prefix").groupBy("_addr").agg(F.max_by(F.struct(*_GEO), "_n").alias("_geo"))
+        spread = F.concat(F.lit("-"), F.pmod(F.xxhash64(F.col(salt_col)), F.lit(NULL_KEY_SPREAD)).cast("string"))
+        h = h.withColumn("_hex", F.coalesce("_hex", spread)).join(found, F.col("_hex") == F.col("_addr"), "left")
+        h = h.withColumns({c: F.when(F.col("_addr").isNotNull(), F.col(f"_geo.{c}")).otherwise(F.col(c)) for c in _GEO})
+        out = h.drop("_hex", "_addr", "_geo")
+    return out.withColumns({c: empty_to_null(c) for c in _GEO})

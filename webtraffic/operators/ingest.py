@@ -15,7 +15,7 @@ from ..functions.enrich import client_ip, device_type, empty_to_null, referrer_d
 from ..functions.useragent import parse_user_agent
 from ..schema import EVENTS, PAGE_VIEWS, SESSIONS, VISITOR_DETAILS, VISITORS, conform
 from ..sources.tables import Tables
-from .geo import with_geo
+from .geo import with_geo, with_geo6
 
 PAGEVIEW = "pageview"
 # The collector's rejection messages.
@@ -97,7 +97,7 @@ def derive_page_views(valid: DataFrame) -> DataFrame:
 
 
 def derive_visitor_details(valid: DataFrame, geo_ranges: DataFrame | None = None,
-                           broadcast_geo: bool | None = None) -> DataFrame:
+                           broadcast_geo: bool | None = None, geo_ranges6: DataFrame | None = None) -> DataFrame:
     """A row per valid hit (append-only, as the collector's insert never conflicts).
 
     Geo (E05) through the range join, browser / OS / device families from the agent (E06),
@@ -112,6 +112,8 @@ def derive_visitor_details(valid: DataFrame, geo_ranges: DataFrame | None = None
         h = (h.withColumn("geo_country", F.lit(None).cast("string"))
               .withColumn("geo_region", F.lit(None).cast("string"))
               .withColumn("geo_city", F.lit(None).cast("string")))
+    if geo_ranges6 is not None:
+        h = with_geo6(h, geo_ranges6, "ip")
     ua = parse_user_agent(F.col("user_agent"))
     return conform(h.withColumn("_ua", ua).select(
         F.col("hit_id").alias("id"), "visitor_id",
@@ -150,7 +152,7 @@ def stage_hits(valid: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def ingest(raw: DataFrame, geo_ranges: DataFrame | None = None,
-           stage: bool = False) -> tuple[Tables, DataFrame]:
+           stage: bool = False, geo_ranges6: DataFrame | None = None) -> tuple[Tables, DataFrame]:
     """All of I01-I07: the five tables (lazy) and the rejected hits.
 
     ``stage=True`` first writes the validated hits once (:func:`stage_hits`), which is what a
@@ -161,6 +163,6 @@ def ingest(raw: DataFrame, geo_ranges: DataFrame | None = None,
         valid = stage_hits(valid)
     tables = Tables(visitors=derive_visitors(valid), sessions=derive_sessions(valid),
                     page_views=derive_page_views(valid),
-                    visitor_details=derive_visitor_details(valid, geo_ranges),
+                    visitor_details=derive_visitor_details(valid, geo_ranges, geo_ranges6=geo_ranges6),
                     events=derive_events(valid))
     return tables, rejected

@@ -12,7 +12,8 @@ from ..operators import ingest as I
 from ..operators.merge import merge_tables
 from ..session import scratch_path
 from ..sources.hits import (GEO_RANGES_SQL, RAW_HITS_SQL, REFERRERS, UA_EXPECTED_SQL,
-                            USER_AGENTS, fixture_geo_ranges, fixture_raw_hits, read_hits)
+                            USER_AGENTS, V6_HIGH, V6_LOW, fixture_geo_ranges, fixture_geo_ranges6,
+                            fixture_raw_hits, read_hits, with_ipv6)
 from ..sources.tables import Tables, load_tables
 from .catalog import CATALOG, register, source_sql
 
@@ -117,6 +118,18 @@ FROM (SELECT *,
 JOIN ua ON ua.idx = v.user_id % {len(USER_AGENTS)}
 LEFT JOIN geo g ON v.ip_long BETWEEN g.ip_from AND g.ip_to"""
 
+# IPv6 hits by the numbers their addresses are written from.
+_DETAILS6_SQL = f"""SELECT d.id, d.visitor_id, d.country, d.country_code, d.city, d.region, d.browser, d.device_type,
+ d.os, d.screen_width, d.screen_height, d.language, d.updated_at
+FROM details_i d WHERE d.id % 2 = 1
+UNION ALL
+SELECT v.hit_id, v.visitor_id, n_name, n_name, 'town' || CAST(n_nationkey AS VARCHAR), r_name, ua.browser,
+ ua.device_type, ua.os, v.screen_width, v.screen_height, v.language, v.received_at
+FROM valid v JOIN ua ON ua.idx = v.user_id % {len(USER_AGENTS)}
+LEFT JOIN (nation LEFT JOIN region ON n_regionkey = r_regionkey)
+  ON v.hit_id % 50 <> 0 AND n_nationkey = v.hit_id % 25 AND v.hit_id * 37 % 65536 BETWEEN {V6_LOW} AND {V6_HIGH}
+WHERE v.hit_id % 2 = 0"""
+
 _BASE = {"raw": RAW_HITS_SQL, "valid": _VALID_SQL}
 
 
@@ -174,6 +187,13 @@ def _details(spark, d):
     return ingested(spark, d)[0].visitor_details.select(*_DETAIL_COLS)
 
 
+@register("ingest_visitor_details_ipv6", ingest_sql(_DETAILS6_SQL, "details_i"))
+def _details6(spark, d):
+    raw = with_ipv6(raw_hits(spark, d))
+    tables, _ = I.ingest(raw, fixture_geo_ranges(spark, d), geo_ranges6=fixture_geo_ranges6(spark, d))
+    return tables.visitor_details.select(*_DETAIL_COLS)
+
+
 @register("ingest_events", ingest_sql("""
 SELECT hit_id AS id, session_id, visitor_id, type AS event_type,
  CAST(NULL AS VARCHAR) AS event_name, CAST(NULL AS VARCHAR) AS event_data, page_path,

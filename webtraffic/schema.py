@@ -71,6 +71,11 @@ GEO_RANGES = _struct(
     ("ip_from", L), ("ip_to", L), ("country", S), ("region", S), ("city", S),
 )
 
+# IPv6 ranges (inclusive bounds, addresses as text).
+GEO_RANGES_V6 = _struct(
+    ("ip_from", S), ("ip_to", S), ("country", S), ("region", S), ("city", S),
+)
+
 # The time column each table is filtered and date-partitioned on.
 TIME_COLUMN = {
     "visitors": "last_seen",

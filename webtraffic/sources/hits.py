@@ -191,6 +191,33 @@ def fixture_geo_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.concat(F.lit("city"), F.col("n_nationkey").cast("string")).alias("city")))
 
 
+# Every second hit from an IPv6 address, written in three ways; the range of nation k lies in 2001:db8:k+1.
+V6_LOW, V6_HIGH = 0x1234, 0xD00F
+
+
+def with_ipv6(raw: DataFrame) -> DataFrame:
+    i = F.col("hit_id")
+    hexed = lambda c: F.lower(F.hex(c))
+    third, fourth, last = 1 + i % 25, (i * 37) % 65536, i % 65536
+    full = F.concat_ws(":", F.lit("2001:0DB8"), *[F.upper(F.lpad(hexed(x), 4, "0")) for x in (third, fourth)],
+                       F.lit("0000:0000:0000"), F.upper(F.lpad(hexed(last), 4, "0")))
+    head = F.concat_ws(":", F.lit("2001:db8"), hexed(third), hexed(fourth))
+    dotted = F.concat_ws(".", F.lit("0.0"), F.floor(last / 256).cast("string"), (last % 256).cast("string"))
+    text = (F.when(i % 50 == 0, F.lit("::1")).when(i % 3 == 0, F.concat(head, F.lit("::"), hexed(last)))
+            .when(i % 3 == 1, full).otherwise(F.concat(head, F.lit(":0:0:"), dotted)))
+    return raw.withColumn("ip", F.when(i % 2 == 0, text).otherwise(F.col("ip")))
+
+
+def fixture_geo_ranges6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, r = read_table(spark, sf_dir, "nation"), read_table(spark, sf_dir, "region")
+    net = F.concat(F.lit("2001:db8:"), F.lower(F.hex(F.col("n_nationkey").cast("long") + 1)))
+    return (n.join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey"), "left")
+            .select(F.concat(net, F.lit(f":{V6_LOW:x}::")).alias("ip_from"),
+                    F.concat(net, F.lit(f":{V6_HIGH:x}:ffff:FFFF:ffff:8001")).alias("ip_to"),
+                    F.col("n_name").alias("country"), F.col("r_name").alias("region"),
+                    F.concat(F.lit("town"), F.col("n_nationkey").cast("string")).alias("city")))
+
+
 # --- SQL twins for the oracle ----------------------------------------------------------------
 def _sql_str(v):
     return "NULL" if v is None else "'" + str(v).replace("'", "''") + "'"
