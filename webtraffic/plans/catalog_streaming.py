@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..schema import PAGE_VIEWS, SESSIONS, VISITORS
 from ..session import scratch_path
-from ..sources.fixtures import hits_from_events
+from ..sources.fixtures import fixture_hits, hits_from_events
 from ..sources.hits import fixture_geo_ranges, raw_hits_from_events
 from ..streaming import live as L
 from .catalog import CATALOG, T, oracle, register
@@ -123,6 +123,31 @@ def _stream_active(spark, d):
                       "active_sessions")
 
 
+# A window closes once the newest page view is the watermark's delay past its end.
+@register("stream_closed_windows", oracle("""
+SELECT window_start, window_start + INTERVAL 5 MINUTE AS window_end,
+ count(DISTINCT session_id) AS active_sessions
+FROM (SELECT session_id, date_trunc('minute', viewed_at) - to_minutes(k) AS window_start
+      FROM (SELECT session_id, viewed_at, unnest([0, 1, 2, 3, 4]) AS k FROM page_views))
+WHERE window_start + INTERVAL 5 MINUTE <= (SELECT date_trunc('milliseconds', max(viewed_at)) FROM page_views) - INTERVAL 10 MINUTE
+GROUP BY window_start""", "page_views"))
+def _stream_closed(spark, d):
+    """The log arrives in three files in order of time, one a micro-batch; the stream is restarted before the last."""
+    views = fixture_hits(spark, d).where(F.col("type") == "pageview").select("session_id", "received_at")
+    cuts = views.select(F.percentile_approx(F.unix_micros(F.col("received_at").cast("timestamp")), [0.4, 0.8])).first()[0]
+    at = F.unix_micros(F.col("received_at").cast("timestamp"))
+    log, out, ck = (scratch_path(spark, "stream", x) for x in ("log", "closed", "ck"))
+    parts = (at <= cuts[0], (at > cuts[0]) & (at <= cuts[1]), at > cuts[1])
+    for done, part in enumerate(parts):
+        views.where(part).coalesce(1).write.mode("append").parquet(log)
+        if done:
+            hits = L.with_event_time(spark.readStream.schema(views.schema).option("maxFilesPerTrigger", 1).parquet(log))
+            _run(L.append_sink(L.stream_closed_windows(hits), out, ck))
+    res = spark.read.parquet(out)
+    return res.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"),
+                      F.col("window_end").cast("timestamp_ntz").alias("window_end"), "active_sessions")
+
+
 def events_page_views(spark, d):
     hits = hits_from_events(events_stream(spark, d))
     return hits.where(F.col("type") == "pageview").select(

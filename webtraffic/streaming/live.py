@@ -167,6 +167,25 @@ def stream_active_sessions(page_view_hits: DataFrame, window: str = LIVE_WINDOW,
                     "session_id", "views"))
 
 
+def stream_closed_windows(page_view_hits: DataFrame, window: str = LIVE_WINDOW, slide: str = LIVE_SLIDE) -> DataFrame:
+    """T05 as one stream in append mode: each window's distinct sessions, given out once, when the watermark has passed it.
+
+    Two stateful aggregations in a row: views of (window, session) first, then sessions of the window. Both drop a
+    window's state as it closes, and nothing written before is read again. Windows that are still open
+    have no row; :func:`stream_active_sessions` has them.
+    """
+    pairs = (page_view_hits.groupBy(F.window(EVENT_TIME, window, slide).alias("w"), "session_id")
+             .agg(F.count(F.lit(1)).alias("views")))
+    return (pairs.groupBy("w").agg(F.count(F.lit(1)).alias("active_sessions"))
+            .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "active_sessions"))
+
+
+def append_sink(rows: DataFrame, out_dir: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Append-mode rows as Parquet, through the file sink's own commit log."""
+    return (rows.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"availableNow": True})).start(out_dir))
+
+
 def active_sessions_by_window(spark: SparkSession, out_dir: str) -> DataFrame:
     """T05, second stage: distinct sessions per window from the versioned pairs."""
     pairs = spark.read.parquet(out_dir).select("window_start", "window_end", "session_id").distinct()
@@ -219,5 +238,5 @@ def ingest_stream(raw: DataFrame) -> DataFrame:
 
 __all__ = ["read_hits_stream", "with_event_time", "dedupe_hits", "stream_visitors",
            "stream_sessions", "versioned_sink", "read_latest", "stream_append",
-           "stream_active_sessions", "active_sessions_by_window", "realtime_sink", "read_feed",
+           "stream_active_sessions", "stream_closed_windows", "append_sink", "active_sessions_by_window", "realtime_sink", "read_feed",
            "ingest_stream", "SESSIONS", "VISITORS"]
