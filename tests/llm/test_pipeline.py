@@ -87,3 +87,10 @@ def test_cleaned_keeps_other_columns(spark):
     docs = spark.createDataFrame([(1, t, 9), (2, None, 8)], "doc_id long, text string, spans int")
     out = {r.doc_id: r for r in S.cleaned(docs).collect()}
     assert out[2].text is None and out[2].spans == 8 and len(out[1].text) < len(t)
+
+
+def test_an_empty_table_goes_through_all_stages(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], schema).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert P.run(spark, str(tmp_path)).collect() == []
