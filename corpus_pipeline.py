@@ -2,6 +2,10 @@
 
 Each stage works on all that the one before it kept; its rows are written as Parquet and read
 again. All but the last return the columns of ``documents``.
+
+Null and empty texts are scored like others and are exact copies of one another, so one of them stays; packed, it is
+one token. A null doc_id stays null, and such rows are told apart by their text. Of repeated rows one stays.
+Columns beside those of ``documents`` go along up to the last stage. Empty tables give an empty result.
 """
 
 from __future__ import annotations
