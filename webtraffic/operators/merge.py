@@ -26,6 +26,7 @@ from ..schema import TABLE_SCHEMAS, TIME_COLUMN
 from ..session import scratch_path
 from ..sources import ledger as L
 from ..sources.tables import Tables, plain_tables
+from . import first_touch as FT
 from . import profiles as P
 
 KEY = {"visitors": "visitor_id", "sessions": "session_id"}
@@ -70,6 +71,8 @@ def _adopted(spark: SparkSession, root: str) -> L.State:
     dirs = {n: L.write_dirs(df, root, n, attempt) for n, df in plain.items()}
     if "visitor_details" in plain:
         dirs[P.TABLE] = P.write_profiles(plain["visitor_details"], root, attempt)
+    if "sessions" in plain:
+        dirs[FT.TABLE] = FT.write_touches(FT.first_touches(plain["sessions"]), root, attempt)
     try:
         return L.commit(spark, root, L.State().after(None, dirs))
     except L.Conflict:
@@ -82,8 +85,9 @@ def _together(job, names) -> dict:
         return dict(zip(names, pool.map(job, names), strict=True))
 
 
-def _merge_keyed(spark: SparkSession, name: str, new: DataFrame, root: str, state: L.State) -> dict[str, list[str]]:
-    """Write the touched dates of a keyed table anew; the directories of each, none where no row is left."""
+def _merge_keyed(spark: SparkSession, name: str, new: DataFrame, root: str, state: L.State) -> dict[str, dict[str, list[str]]]:
+    """Write the touched dates of a keyed table anew; the directories of each, none where no row is left. With the
+    sessions, their visitors' first touches."""
     key, columns = KEY[name], [f.name for f in TABLE_SCHEMAS[name].fields]
     listed = state.dirs.get(name, {})
     old = L.read_dirs(spark, root, name, listed, TABLE_SCHEMAS[name])
@@ -99,7 +103,11 @@ def _merge_keyed(spark: SparkSession, name: str, new: DataFrame, root: str, stat
     rest = L.read_dirs(spark, root, name, {n: listed[n] for n in names.values()}, TABLE_SCHEMAS[name])
     rest = rest.join(keys, key, "left_anti").select(*columns, "dt")
     written = L.write_dirs(rest.unionByName(merged), root, name, uuid.uuid4().hex)
-    return {n: [] for n in names.values()} | written
+    changes = {name: {n: [] for n in names.values()} | written}
+    if name == "sessions":
+        untouched = old.join(keys, key, "left_anti").select(*columns)
+        changes[FT.TABLE] = FT.merged_touches(spark, root, state, known, merged, untouched)
+    return changes
 
 
 def merge_tables(spark: SparkSession, new: Tables, out_dir: str, load_id: str | None = None) -> L.State:
@@ -128,7 +136,8 @@ def merge_tables(spark: SparkSession, new: Tables, out_dir: str, load_id: str |
         state = _adopted(spark, out_dir)
         if load in state.loads:
             return state
-        changes = _together(lambda n: _merge_keyed(spark, n, rows[n], out_dir, state), [n for n in rows if n in KEY])  # noqa: B023
+        merged = _together(lambda n: _merge_keyed(spark, n, rows[n], out_dir, state), [n for n in rows if n in KEY])  # noqa: B023
+        changes = {table: listing for parts in merged.values() for table, listing in parts.items()}
         for name, written in appended.items():
             changes[name] = P.appended(state, name, written)
         try:

@@ -76,7 +76,7 @@ def avg_pages_per_session(sessions, period=DEFAULT_PERIOD, as_of=None, start=Non
         _mean(F.sum("page_views"), F.count("page_views")).alias("avg_pages_per_session"))
 
 
-def _with_earlier(per_v: DataFrame, sessions: DataFrame, period, start, end, as_of) -> DataFrame:
+def _with_earlier(per_v: DataFrame, sessions: DataFrame, period, start, end, as_of, first_touch=None) -> DataFrame:
     """Add ``_earlier`` to a per-visitor in-period aggregate (with ``n`` = in-period sessions):
     does the visitor have a session before the period's lower bound?
 
@@ -84,12 +84,18 @@ def _with_earlier(per_v: DataFrame, sessions: DataFrame, period, start, end, as_
     reduced to its semi-join with the period's session scan and then to one row per visitor. No
     job runs while the plan is built: Spark broadcasts the period's side if its size allows, as
     measured at run time, and otherwise can prune history by a runtime bloom filter of it.
+
+    With ``first_touch`` (:mod:`first_touch`) the history is that view's rows of before the period, and
+    no older session is read.
     """
-    before = before_period("started_at", period, start, end, as_of, pcol(sessions))
+    if first_touch is None:
+        before = before_period("started_at", period, start, end, as_of, pcol(sessions))
+    else:
+        before = before_period("first_started", period, start, end, as_of)
     if before is None:
         return per_v.withColumn("_earlier", F.lit(False))
     known = F.col("visitor_id").isNotNull()
-    hist = sessions.where(before & known).select("visitor_id")
+    hist = (sessions if first_touch is None else first_touch).where(before & known).select("visitor_id")
     in_p = sessions.where(time_filter("started_at", period, start, end, as_of, pcol(sessions)) & known)
     seen = hist.join(in_p.select("visitor_id"), "visitor_id", "left_semi").distinct()
     return (per_v.join(seen.withColumn("_earlier", F.lit(True)), "visitor_id", "left")
@@ -102,7 +108,7 @@ def _returning(c=F.col) -> Column:
     return (c("last_in") > c("first_in")) | c("_earlier")
 
 
-def _per_visitor(sessions: DataFrame, period, start, end, as_of) -> DataFrame:
+def _per_visitor(sessions: DataFrame, period, start, end, as_of, first_touch=None) -> DataFrame:
     """One row per visitor with an in-period session: count, first and last in-period start,
     and whether an earlier session exists. Partially aggregated before its shuffle, so a
     visitor with millions of sessions costs one row per map task."""
@@ -112,19 +118,19 @@ def _per_visitor(sessions: DataFrame, period, start, end, as_of) -> DataFrame:
              .agg(F.count(F.lit(1)).alias("n"),
                   F.min("started_at").alias("first_in"),
                   F.max("started_at").alias("last_in")))
-    return _with_earlier(per_v, sessions, period, start, end, as_of)
+    return _with_earlier(per_v, sessions, period, start, end, as_of, first_touch)
 
 
-def return_visitors(sessions, period=DEFAULT_PERIOD, as_of=None, start=None, end=None) -> DataFrame:
+def return_visitors(sessions, period=DEFAULT_PERIOD, as_of=None, start=None, end=None, first_touch=None) -> DataFrame:
     """Q08: visitors with an in-period session that has any earlier session (in or out of
     the period)."""
-    return _per_visitor(sessions, period, start, end, as_of).agg(
+    return _per_visitor(sessions, period, start, end, as_of, first_touch).agg(
         F.count_if(_returning()).alias("return_visitors"))
 
 
-def new_visitors(sessions, period=DEFAULT_PERIOD, as_of=None, start=None, end=None) -> DataFrame:
+def new_visitors(sessions, period=DEFAULT_PERIOD, as_of=None, start=None, end=None, first_touch=None) -> DataFrame:
     """Q09: total visitors minus returning visitors, from the same per-visitor pass."""
-    return _per_visitor(sessions, period, start, end, as_of).agg(
+    return _per_visitor(sessions, period, start, end, as_of, first_touch).agg(
         (F.count(F.lit(1)) - F.count_if(_returning())).alias("new_visitors"))
 
 
@@ -181,11 +187,11 @@ KPI_COLUMNS = ("total_visitors", "total_sessions", "total_page_views", "unique_t
 
 
 def kpi_row(sessions, page_views, period=DEFAULT_PERIOD, as_of=None, start=None,
-            end=None) -> DataFrame:
+            end=None, first_touch=None) -> DataFrame:
     """Q38: the enhanced report's ten scalars in one row.
 
     Four scans: the period's sessions twice (measures, and the semi-join of history), older
-    sessions for one column, and the period's page views.
+    sessions for one column (the first touches instead, where given), and the period's page views.
 
     Sessions: one pass over the period's (and today's) sessions, grouped by visitor with
     partial aggregation map-side, carries every session scalar; the returning-visitor test
@@ -210,7 +216,7 @@ def kpi_row(sessions, page_views, period=DEFAULT_PERIOD, as_of=None, start=None,
         F.min(F.when(in_p, c("started_at"))).alias("first_in"),
         F.max(F.when(in_p, c("started_at"))).alias("last_in"),
         F.count_if(today).alias("n_today"))
-    per_v = _with_earlier(per_v, sessions, period, start, end, as_of)
+    per_v = _with_earlier(per_v, sessions, period, start, end, as_of, first_touch)
     known = c("visitor_id").isNotNull()
     returning = F.count_if(known & (c("n") > 0) & _returning())
     visitors = F.count_if(known & (c("n") > 0))

@@ -1,4 +1,4 @@
-"""Catalog entries answered from maintained views instead of the detail rows."""
+"""Catalog entries answered from maintained views instead of the detail rows or older sessions."""
 
 from __future__ import annotations
 
@@ -6,11 +6,15 @@ import threading
 
 from pyspark.sql import functions as F
 
+from ..operators import metrics as M
 from ..operators import people as PE
 from ..operators import profiles as P
+from ..operators.merge import merge_tables
 from ..session import scratch_path
+from ..sources.tables import Tables, load_tables
 from ..streaming import live as L
 from .catalog import CATALOG, T, register
+from .catalog_metrics import VARIANTS
 from .catalog_streaming import _run, events_page_views
 
 _CACHE: dict = {}
@@ -53,3 +57,36 @@ def _stream_feed(spark, d):
     out, ck = scratch_path(spark, "stream", "feed"), scratch_path(spark, "stream", "ck")
     _run(L.realtime_sink(events_page_views(spark, d), T(spark, d).visitors, profiles(spark, d), out, ck, maintained=True))
     return L.read_feed(spark, out)
+
+
+def merged_sessions(spark, sf_dir) -> Tables:
+    """The fixture's sessions as three loads leave them in a ledger, the latest first; one load is repeated."""
+    key = (spark.sparkContext.applicationId, sf_dir, "sessions")
+    sessions = T(spark, sf_dir).sessions
+    with _LOCK:
+        if key not in _CACHE:
+            out = scratch_path(spark, "sessions")
+            for part in (2, 0, 0, 1):
+                merge_tables(spark, Tables(sessions=sessions.where(F.col("id") % 3 == part)), out)
+            _CACHE[key] = out
+    return load_tables(spark, _CACHE[key], as_of=T(spark, sf_dir).as_of, names=("sessions",))
+
+
+def _register_first_touch():
+    for suffix, kw in VARIANTS.items():
+        def kpi(spark, d, kw=kw):
+            t = merged_sessions(spark, d)
+            return M.kpi_row(t.sessions, T(spark, d).page_views, as_of=t.as_of, first_touch=t.first_touch, **kw)
+        register(f"kpi_row{suffix}_first_touch", CATALOG[f"kpi_row{suffix}"].sql)(kpi)
+
+        for name in ("return_visitors", "new_visitors"):
+            if f"{name}{suffix}" not in CATALOG:
+                continue
+
+            def run(spark, d, fn=getattr(M, name), kw=kw):
+                t = merged_sessions(spark, d)
+                return fn(t.sessions, as_of=t.as_of, first_touch=t.first_touch, **kw)
+            register(f"{name}{suffix}_first_touch", CATALOG[f"{name}{suffix}"].sql)(run)
+
+
+_register_first_touch()

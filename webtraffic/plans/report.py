@@ -116,7 +116,7 @@ def enhanced_stats(t: Tables, period=DEFAULT_PERIOD, start=None, end=None, as_of
     if fuse_audience:
         extra = {"_lists": A.breakdown_lists(d), "_acquisition": A.acquisition_lists(s, **kw)}
     return extra | {
-        "totals": M.kpi_row(s, pv, **kw),
+        "totals": M.kpi_row(s, pv, first_touch=t.first_touch, **kw),
         "hourlyTrends": M.hourly_trends(s, as_of),
         "dailyTrends": M.daily_trends(s, pv, as_of),
         "topPages": P.top_pages_bounce(pv, s, **kw),

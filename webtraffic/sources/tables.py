@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators import first_touch as FT
 from ..schema import TABLE_SCHEMAS, TIME_COLUMN
 from . import ledger
 
@@ -18,7 +19,10 @@ TABLE_NAMES = tuple(TIME_COLUMN)
 
 @dataclass(frozen=True)
 class Tables:
-    """The five traffic tables plus the reference instant that stands for "now"."""
+    """The five traffic tables plus the reference instant that stands for "now".
+
+    ``first_touch`` is the maintained view of :mod:`webtraffic.operators.first_touch`, where the tables have one.
+    """
 
     visitors: DataFrame | None = None
     sessions: DataFrame | None = None
@@ -26,13 +30,14 @@ class Tables:
     visitor_details: DataFrame | None = None
     events: DataFrame | None = None
     as_of: datetime | None = None
+    first_touch: DataFrame | None = None
 
     def with_as_of(self, as_of) -> "Tables":
         return replace(self, as_of=as_of)
 
     def frames(self) -> dict[str, DataFrame]:
         return {f.name: getattr(self, f.name) for f in fields(self)
-                if f.name != "as_of" and getattr(self, f.name) is not None}
+                if f.name in TIME_COLUMN and getattr(self, f.name) is not None}
 
 
 def write_tables(tables: Tables, out_dir: str, mode: str = "overwrite") -> None:
@@ -63,7 +68,9 @@ def load_tables(spark: SparkSession, in_dir: str, as_of=None,
     """
     state = ledger.read_state(spark, in_dir)
     if state is not None:
-        return Tables(**{n: ledger.read_dirs(spark, in_dir, n, state.dirs.get(n, {}), TABLE_SCHEMAS[n]) for n in names}, as_of=as_of)
+        frames = {n: ledger.read_dirs(spark, in_dir, n, state.dirs.get(n, {}), TABLE_SCHEMAS[n]) for n in names}
+        touches = FT.stored_first_touch(spark, in_dir, state) if FT.TABLE in state.dirs else None
+        return Tables(**frames, as_of=as_of, first_touch=touches)
     dt = T.StructField("dt", T.DateType(), True)
     frames = {n: spark.read.schema(T.StructType([*TABLE_SCHEMAS[n].fields, dt])).parquet(f"{in_dir}/{n}")
               for n in names}
