@@ -19,12 +19,14 @@ def brute(t):
         p = p.split()
         base += [(i, label) for i in range(len(words) - len(p) + 1) if words[i : i + len(p)] == p]
     labels, best = {x for _, x in base}, 0.0
-    for line in low(t).split("\n"):
-        have = set(WORD.findall(line))
-        for label, text in L.TEMPLATES:
-            want = set(text.split())
-            share = len(want & have) / len(want)
-            if share >= L.CONTAINED - 1e-12:
+    for label, text in L.TEMPLATES:
+        seq = text.split()
+        want, n = set(seq), len(seq)
+        long = n + -(-n // 4) if n >= 8 else n
+        for i in range(max(1, len(words) - long + 1)):
+            have = words[i : i + long]
+            share = len(want & set(have)) / len(want)
+            if (have == seq) if n < 8 else (share >= L.CONTAINED - 1e-12 and want & L.TELLING <= set(have)):
                 labels.add(label)
                 best = max(best, share)
     return (
@@ -70,3 +72,36 @@ def test_null_ids_repeated_rows_extra_columns_empty(spark, docs_of):
     docs = spark.createDataFrame([(None, "MIT License", 1.0)] * 2, "doc_id long, text string, score double")
     assert [tuple(r) for r in L.scan(docs).collect()] == [(None, 2, 1, 0, 0, "mit", "mit", 1.0)] * 2
     assert L.scan(docs_of([])).collect() == []
+
+
+def _labels(spark, docs_of, text):
+    (r,) = L.scan(docs_of([(1, text)])).collect()
+    return r.labels, r.score
+
+
+def test_notices_over_line_ends(spark, docs_of):
+    bsd = "Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided"
+    mit = "Permission is hereby granted, free of\ncharge, to any person\nobtaining a copy of this software and"
+    assert _labels(spark, docs_of, "x y\n" + bsd) == ("bsd", 1.0)
+    assert _labels(spark, docs_of, mit) == ("mit", 1.0)
+    assert _labels(spark, docs_of, "All rights\nreserved.") == ("all-rights-reserved", 1.0)
+
+
+def test_words_alone_are_no_license(spark, docs_of):
+    assert _labels(spark, docs_of, "Released under the Apache License") == ("apache", 1.0)
+    assert _labels(spark, docs_of, "The rights of all readers are reserved") == ("", 0.0)
+    assert _labels(spark, docs_of, "license the version 2 0 under licensed") == ("", 0.0)
+    # the words of a notice, spread over a long line
+    spread = " ".join(w + " and so on" for w in "permission is hereby granted free of charge to any person obtaining a copy of this software".split())
+    assert _labels(spark, docs_of, spread) == ("", 0.0)
+
+
+def test_sql_gives_the_same_rows(spark, docs_of):
+    import duckdb
+
+    texts = corpus(3)
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", list(enumerate(texts)))
+    want = con.execute("select doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score from (" + L.scan_sql() + ")").fetchall()
+    assert sorted(map(tuple, L.scan(docs_of(list(enumerate(texts)))).collect())) == sorted(want)

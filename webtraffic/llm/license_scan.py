@@ -1,16 +1,19 @@
 """License scan: exact set-similarity join of text blocks with license templates.
 
-Words are lower-cased (A-Z) runs of digits, letters and non-ASCII characters; a block is a line. A
-block meets a template if it holds at least ``CONTAINED`` of the template's distinct words. Instead
-of comparing every block with every template:
+Words are lower-cased (A-Z) runs of digits, letters and non-ASCII characters. A template's blocks are all runs of
+consecutive words of a text, a quarter longer than the template itself, across line ends (the whole text, if it is
+shorter). A block meets a template if it holds at least ``CONTAINED`` of the template's distinct words, and all of those
+that tell licenses apart (``TELLING``). Templates of under ``SHORT`` words say too little as sets: their blocks are of
+their own length and hold all their words in order. Instead of comparing every block with every template:
 
 * all template words are counted over the whole corpus, and each template's words put in ascending
   order of that count (``frequency_order``);
+* a block can be moved to start with a template word, so only these blocks are looked at;
 * prefix filter: with m words, of which o must be there, a block that meets the template holds one
   of its m - o + 1 rarest; only blocks that hold such a word are looked at;
-* length filter: the block must have o distinct words;
-* positional filter: words are compared rarest first, and the comparison ends as soon as those that
-  are left cannot make up what is missing.
+* length filter: the block must have o words;
+* positional filter: words are compared rarest first, and a block is left as soon as the words that
+  remain cannot make up what is missing.
 
 Templates are a fixed list, so every task holds the index of their prefixes. Besides, places where
 the words of a base phrase stand consecutively are found in the same pass.
@@ -40,21 +43,32 @@ PHRASES = {
     "mit license": "mit",
 }
 
-# Opening or customary lines of public licenses, and their labels.
+# Notices and customary lines of public licenses, and their labels.
 TEMPLATES = [
     ("apache", "licensed under the apache license version 2 0"),
     ("apache", "you may not use this file except in compliance with the license"),
     ("gpl", "this work is licensed under the gnu general public license version 3"),
     ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("lgpl", "you can redistribute it and or modify it under the terms of the gnu lesser general public license"),
+    ("agpl", "you can redistribute it and or modify it under the terms of the gnu affero general public license"),
     ("mit", "released under the mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("cc-by-nc", "licensed under cc by nc 4 0"),
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
+    ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
     ("mpl", "this source code form is subject to the terms of the mozilla public license"),
+    ("unlicense", "this is free and unencumbered software released into the public domain"),
     ("all-rights-reserved", "all rights reserved"),
 ]
 
+# Words that tell one license from another; a block must hold those of the template.
+TELLING = frozenset(["affero", "apache", "attribution", "cc", "commons", "gnu", "lesser", "mit", "mozilla", "nc", "unencumbered"])
+
+# Templates of fewer words must stand as they are.
+SHORT = 8
+
 _WORD = np.zeros(256, bool)
 _WORD[128:] = _WORD[48:58] = _WORD[97:123] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -62,7 +76,7 @@ _LOWER[65:91] += 32
 
 
 def hashed_words(data: np.ndarray, offsets: np.ndarray, roller: Roller):
-    """(hash, text number, block number) of each word; blocks count through all texts."""
+    """(hash, text number) of each word."""
     data = _LOWER[data]
     h = roller.prefix(data)
     inside = _WORD[data]
@@ -74,9 +88,7 @@ def hashed_words(data: np.ndarray, offsets: np.ndarray, roller: Roller):
     then[:-1] = inside[1:]
     s = np.flatnonzero(inside & (~prev | edge[:-1]))
     e = np.flatnonzero(inside & (~then | edge[1:])) + 1
-    text = np.searchsorted(offsets, s, side="right") - 1
-    block = np.searchsorted(np.flatnonzero(data == 10), s) + text
-    return mix(roller.spans(h, s, e) + (e - s).astype(U64)), text, block
+    return mix(roller.spans(h, s, e) + (e - s).astype(U64)), np.searchsorted(offsets, s, side="right") - 1
 
 
 def word_hash(word: str) -> int:
@@ -84,9 +96,16 @@ def word_hash(word: str) -> int:
     return int(hashed_words(data, np.array([0, len(data)]), Roller())[0][0])
 
 
-def needed(m: int, contained: float = CONTAINED) -> int:
-    """Distinct words of a template of ``m`` that a block must hold."""
-    return math.ceil(contained * m - 1e-9)
+def needed(template: str, contained: float = CONTAINED) -> int:
+    """Distinct words of a template that a block must hold."""
+    m = len(set(template.split()))
+    return m if len(template.split()) < SHORT else math.ceil(contained * m - 1e-9)
+
+
+def span(template: str) -> int:
+    """Words of a template's blocks."""
+    n = len(template.split())
+    return n if n < SHORT else n + math.ceil(n / 4)
 
 
 def template_counts(docs: DataFrame, templates=TEMPLATES) -> dict[int, int]:
@@ -117,44 +136,60 @@ def frequency_order(counts: dict[int, int], templates=TEMPLATES) -> list[tuple[s
     return out
 
 
-def meets(words: set[int], template: list[int], contained: float = CONTAINED) -> float:
-    """Share of the template's words that a block holds, 0 if it is below the threshold."""
-    m = len(template)
-    need = needed(m, contained)
-    if len(words) < need:
-        return 0.0
-    hit = 0
-    for i, w in enumerate(template):
-        hit += w in words
-        if hit + m - i - 1 < need:
-            return 0.0
-    return hit / m
+def _next(places: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """The first of the ascending places at or after each of ``s``; a number beyond all where none is."""
+    return np.append(places, np.iinfo(np.int64).max)[np.searchsorted(places, s)]
 
 
 class Scanner:
-    def __init__(self, ordered: list[tuple[str, list[int]]], phrases=PHRASES, contained: float = CONTAINED):
-        self.ordered, self.contained, self.roller = ordered, contained, Roller()
-        self.index: dict[int, list[int]] = {}
-        for k, (_, words) in enumerate(ordered):
-            for w in words[: len(words) - needed(len(words), contained) + 1]:
-                self.index.setdefault(w, []).append(k)
-        self.rare = np.array(sorted(self.index), U64)
+    def __init__(self, ordered: list[tuple[str, list[int]]], templates=TEMPLATES, phrases=PHRASES, contained: float = CONTAINED):
+        self.ordered, self.roller = ordered, Roller()
+        self.vocabulary = np.array(sorted({w for _, words in ordered for w in words}), U64)
+        number = {int(w): i for i, w in enumerate(self.vocabulary)}
+        self.words = [[number[w] for w in words] for _, words in ordered]
+        self.spans = [span(t) for _, t in templates]
+        self.needs = [needed(t, contained) for _, t in templates]
+        self.telling = [{number[word_hash(w)] for w in t.split() if w in TELLING} for _, t in templates]
+        self.in_order = [[word_hash(w) for w in t.split()] if len(t.split()) < SHORT else None for _, t in templates]
         self.phrases = [(label, [word_hash(w) for w in p.split()]) for p, label in phrases.items()]
 
-    def blocks(self, h: np.ndarray, block: np.ndarray):
-        """(first word, template, share) of each block and template that meet."""
-        if not len(h):
+    def blocks(self, h: np.ndarray, text: np.ndarray):
+        """(text number, template, largest share) where a block of a text meets a template."""
+        if not len(h) or not len(self.vocabulary):
             return
-        at = np.minimum(np.searchsorted(self.rare, h), len(self.rare) - 1)
-        hits = np.flatnonzero(self.rare[at] == h)
-        begin = np.searchsorted(block, block[hits], side="left")
-        for b in np.unique(begin).tolist():
-            end = int(np.searchsorted(block, block[b], side="right"))
-            words = set(h[b:end].tolist())
-            for k in sorted({k for w in words & self.index.keys() for k in self.index[w]}):
-                share = meets(words, self.ordered[k][1], self.contained)
-                if share:
-                    yield b, k, share
+        at = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
+        known = np.flatnonzero(self.vocabulary[at] == h)
+        known = known[np.argsort(at[known], kind="stable")]
+        cut = np.searchsorted(at[known], np.arange(len(self.vocabulary) + 1))
+        places = [known[i:j] for i, j in zip(cut[:-1], cut[1:], strict=True)]  # ascending, by word
+        text_end = np.searchsorted(text, text, side="right")
+        for k, words in enumerate(self.words):
+            m, need = len(words), self.needs[k]
+            hits = np.sort(np.concatenate([places[w] for w in words[: m - need + 1]]))
+            if not len(hits):
+                continue
+            s = np.sort(np.concatenate([places[w] for w in words]))
+            e = np.minimum(s + self.spans[k], text_end[s])
+            live = (_next(hits, s) < e) & (e - s >= need)
+            s, e = s[live], e[live]
+            share = np.zeros(len(s), np.int64)
+            for i, w in enumerate(words):
+                there = _next(places[w], s) < e
+                share += there
+                live = share + (m - i - 1) >= need
+                if w in self.telling[k]:
+                    live &= there
+                s, e, share = s[live], e[live], share[live]
+                if not len(s):
+                    break
+            if self.in_order[k] is not None:
+                for i, w in enumerate(self.in_order[k]):
+                    live = h[s + i] == U64(w)
+                    s, share = s[live], share[live]
+            if len(s):
+                first = np.flatnonzero(np.diff(text[s], prepend=-1))
+                for t, n in zip(text[s[first]].tolist(), np.maximum.reduceat(share, first).tolist(), strict=True):
+                    yield t, k, n / m
 
     def places(self, h: np.ndarray, text: np.ndarray):
         """(word, label) of each place of a base phrase within a text."""
@@ -178,22 +213,21 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, contained: float
     ordered = frequency_order(template_counts(docs, templates), templates)
 
     def run(batches):
-        scanner = Scanner(ordered, phrases, contained)
+        scanner = Scanner(ordered, templates, phrases, contained)
         for b in batches:
             off, data = buffers(b.column("text"))
             n = len(off) - 1
             words, base, labels, score = np.zeros(n, np.int64), [[] for _ in range(n)], [set() for _ in range(n)], np.zeros(n)
             for i, j in chunks(off, 1 << 19, 8192):
-                h, text, block = hashed_words(data[off[i] : off[j]], off[i : j + 1] - off[i], scanner.roller)
+                h, text = hashed_words(data[off[i] : off[j]], off[i : j + 1] - off[i], scanner.roller)
                 count = np.bincount(text, minlength=j - i)
                 words[i:j] = count
                 first = np.cumsum(count) - count
                 for p, label in scanner.places(h, text):
                     base[i + text[p]].append((p - int(first[text[p]]), label))
-                for p, k, share in scanner.blocks(h, block):
-                    t = i + text[p]
-                    labels[t].add(ordered[k][0])
-                    score[t] = max(score[t], share)
+                for t, k, share in scanner.blocks(h, text):
+                    labels[i + t].add(ordered[k][0])
+                    score[i + t] = max(score[i + t], share)
             found = [sorted({x for _, x in p}) for p in base]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -220,7 +254,9 @@ def scan_sql(templates=TEMPLATES, phrases=PHRASES, contained: float = CONTAINED)
         for p, label in phrases.items()
     ]
     rows = ", ".join(
-        f"('{label}', {sorted(set(t.split()))!r}, {needed(len(set(t.split())), contained)})" for label, t in templates
+        f"('{label}', '{t}', {sorted(set(t.split()))!r}, {sorted(set(t.split()) & TELLING)!r}::varchar[], "
+        f"{needed(t, contained)}, {span(t)}, {len(t.split()) < SHORT})"
+        for label, t in templates
     )
     return f"""
 with d as (select doc_id, translate(coalesce(text, ''), '{upper}', '{upper.lower()}') as t from documents),
@@ -230,13 +266,15 @@ base as ({' union all '.join(parts)}),
 bases as (
     select doc_id, count(*) as n_base, min(pos) as first_word, max(pos) as last_word, list(distinct label) as labels
     from base group by doc_id),
-line as (
-    select doc_id, list_distinct(regexp_extract_all(b, '{word}')) as ws
-    from (select doc_id, unnest(string_split(t, chr(10))) as b from d)),
-tpl(label, ws, need) as (values {rows}),
+tpl(label, words, ws, telling, need, span, short) as (values {rows}),
+spot as (select doc_id, ws, i, ws[i] as word from place where ws[i] in (select unnest(ws) from tpl)),
+block as (
+    select doc_id, label, words, short, need, telling, tpl.ws as want, spot.ws[i:i + span - 1] as have
+    from spot join (select unnest(ws) as word, * from tpl) tpl using (word)),
 met as (
-    select doc_id, label, len(list_intersect(line.ws, tpl.ws)) / len(tpl.ws) as share
-    from line join tpl on len(list_intersect(line.ws, tpl.ws)) >= need),
+    select doc_id, label, len(list_intersect(list_distinct(have), want)) / len(want) as share
+    from block where len(list_intersect(list_distinct(have), want)) >= need and list_has_all(have, telling)
+    and (not short or array_to_string(have, ' ') = words)),
 mets as (select doc_id, list(distinct label) as labels, max(share) as share from met group by doc_id)
 select w.doc_id, len(w.ws)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base,
     first_word::bigint as first_word, last_word::bigint as last_word,
