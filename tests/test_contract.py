@@ -15,9 +15,7 @@ def test_keys_line_up():
     qs, sqls = own(E.queries()), own(E.oracle_sql())
     assert qs, "no queries registered"
     assert set(sqls) <= set(qs)
-    # Only the JSON documents go without a SQL twin.
-    assert set(qs) - set(sqls) == {"basic_report_json", "enhanced_report_json",
-                                   "enhanced_report_json_range"}
+    assert set(qs) == set(sqls)
 
 
 def test_entry_runs(spark):

@@ -127,3 +127,19 @@ def test_bounds(text, want):
 
 def test_aware_bounds_become_utc():
     assert to_datetime(datetime(2024, 1, 10, tzinfo=timezone(timedelta(hours=2)))) == datetime(2024, 1, 9, 22)
+
+
+def test_realtime_document_keeps_the_feeds_order_on_ties(spark):
+    from webtraffic.operators import people as PE
+
+    now = datetime(2024, 1, 1, 12)
+    views = spark.createDataFrame([(2, "v", "/b", now), (1, "v", "/a", now)], "id long, visitor_id string, page_path string, viewed_at timestamp_ntz")
+    details = spark.createDataFrame(
+        [(1, "v", "Z", now), (2, "v", "A", now)], "id long, visitor_id string, country string, updated_at timestamp_ntz")
+    from webtraffic.schema import conform
+
+    views, details = conform(views, TABLE_SCHEMAS["page_views"]), conform(details, TABLE_SCHEMAS["visitor_details"])
+    feed = PE.realtime_feed(views, views.select("visitor_id").distinct(), details, now, ranked=True)
+    doc = json.loads(R.realtime_json(feed).first().json)
+    assert [(v["page_path"], v["country"]) for v in doc["visitors"]] == [("/a", "Z"), ("/a", "A"), ("/b", "Z"), ("/b", "A")]
+    assert doc["count"] == 4 and "feed_rank" not in doc["visitors"][0]

@@ -27,7 +27,7 @@ def latest_details(details: DataFrame, columns: list[str] | None = None) -> Data
 
 
 def realtime_feed(page_views: DataFrame, visitors: DataFrame, details: DataFrame, as_of,
-                  n: int = 50, latest: bool = False) -> DataFrame:
+                  n: int = 50, latest: bool = False, ranked: bool = False) -> DataFrame:
     """Q32: page views of the last five minutes with visitor details, newest first, ``n`` rows.
 
     Reference semantics: inner join to visitors, left join to *every* detail row of the visitor
@@ -38,7 +38,8 @@ def realtime_feed(page_views: DataFrame, visitors: DataFrame, details: DataFrame
     per-visitor cut also runs before the shuffle, so a visitor with millions of detail rows sends at
     most ``n`` per map task; with a larger ``n`` all of the visitor's rows are shuffled. No
     visitor × detail product is ever built.
-    ``latest=True`` joins the single latest detail row per visitor (E07) instead.
+    ``latest=True`` joins the single latest detail row per visitor (E07) instead; ``ranked=True`` adds each
+    row's place (``feed_rank``, from 1), as the rows of one page view tie in every shown time.
     """
     top = _newest_views(page_views, visitors, as_of, n)
     dcols = ["country", "city", "browser", "device_type"]
@@ -51,7 +52,7 @@ def realtime_feed(page_views: DataFrame, visitors: DataFrame, details: DataFrame
         d = (mine.select("visitor_id", "id", *dcols)
              .withColumn("_rk", F.row_number().over(w))
              .where(F.col("_rk") <= n))
-    return _feed(top, d, n)
+    return _feed(top, d, n, ranked)
 
 
 def realtime_feed_maintained(page_views: DataFrame, visitors: DataFrame, profiles: DataFrame, as_of,
@@ -73,11 +74,12 @@ def _newest_views(page_views: DataFrame, visitors: DataFrame, as_of, n: int) ->
     return known.orderBy(F.desc("viewed_at"), F.asc("_pv_id")).limit(n)
 
 
-def _feed(top: DataFrame, details: DataFrame, n: int) -> DataFrame:
-    return (top.join(details, "visitor_id", "left")
-            .orderBy(F.desc("viewed_at"), F.asc("_pv_id"), F.asc_nulls_first("_rk"))
-            .limit(n)
-            .select(*FEED_COLUMNS))
+def _feed(top: DataFrame, details: DataFrame, n: int, ranked: bool = False) -> DataFrame:
+    order = (F.desc("viewed_at"), F.asc("_pv_id"), F.asc_nulls_first("_rk"))
+    rows = top.join(details, "visitor_id", "left").orderBy(*order).limit(n)
+    # at most n rows are numbered
+    place = [F.row_number().over(Window.orderBy(*order)).alias("feed_rank")] if ranked else []
+    return rows.select(*FEED_COLUMNS, *place)
 
 
 def realtime_count(feed: DataFrame) -> DataFrame:

@@ -197,9 +197,11 @@ def _json(doc) -> Column:
 
 
 def realtime_json(feed: DataFrame) -> DataFrame:
-    """Q39: the realtime document of a feed (at most its limit of rows, in the feed's order)."""
-    rows = F.sort_array(F.collect_list(F.struct(
-        (-F.unix_micros(F.col("viewed_at").cast("timestamp"))).alias("_k"), F.struct(*feed.columns).alias("_v"))))
+    """Q39: the realtime document of a feed (at most its limit of rows), in the order of its ``feed_rank``
+    (``realtime_feed(..., ranked=True)``); of a feed without one, newest first."""
+    place = F.col("feed_rank") if "feed_rank" in feed.columns else -F.unix_micros(F.col("viewed_at").cast("timestamp"))
+    shown = [c for c in feed.columns if c != "feed_rank"]
+    rows = F.sort_array(F.collect_list(F.struct(place.alias("_k"), F.struct(*shown).alias("_v"))))
     doc = F.struct(F.count(F.lit(1)).alias("count"), rows.getField("_v").alias("visitors"))
     return feed.agg(_json(doc).alias("json"))
 
