@@ -28,6 +28,7 @@ from ..sources import ledger as L
 from ..sources.tables import Tables, plain_tables
 from . import first_touch as FT
 from . import profiles as P
+from . import rollups as RU
 
 KEY = {"visitors": "visitor_id", "sessions": "session_id"}
 
@@ -87,7 +88,7 @@ def _together(job, names) -> dict:
 
 def _merge_keyed(spark: SparkSession, name: str, new: DataFrame, root: str, state: L.State) -> dict[str, dict[str, list[str]]]:
     """Write the touched dates of a keyed table anew; the directories of each, none where no row is left. With the
-    sessions, their visitors' first touches."""
+    sessions, their visitors' first touches and their hours' roll-up."""
     key, columns = KEY[name], [f.name for f in TABLE_SCHEMAS[name].fields]
     listed = state.dirs.get(name, {})
     old = L.read_dirs(spark, root, name, listed, TABLE_SCHEMAS[name])
@@ -107,6 +108,7 @@ def _merge_keyed(spark: SparkSession, name: str, new: DataFrame, root: str, stat
     if name == "sessions":
         untouched = old.join(keys, key, "left_anti").select(*columns)
         changes[FT.TABLE] = FT.merged_touches(spark, root, state, known, merged, untouched)
+        changes[RU.TABLE] = RU.merged_rollup(spark, root, state, changes[name])
     return changes
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import metrics as M
 from ..operators import people as PE
 from ..operators import profiles as P
+from ..operators import rollups as RU
 from ..operators.merge import merge_tables
 from ..session import scratch_path
 from ..sources.tables import Tables, load_tables
@@ -61,6 +62,10 @@ def _stream_feed(spark, d):
 
 def merged_sessions(spark, sf_dir) -> Tables:
     """The fixture's sessions as three loads leave them in a ledger, the latest first; one load is repeated."""
+    return load_tables(spark, _merged_dir(spark, sf_dir), as_of=T(spark, sf_dir).as_of, names=("sessions",))
+
+
+def _merged_dir(spark, sf_dir) -> str:
     key = (spark.sparkContext.applicationId, sf_dir, "sessions")
     sessions = T(spark, sf_dir).sessions
     with _LOCK:
@@ -69,7 +74,7 @@ def merged_sessions(spark, sf_dir) -> Tables:
             for part in (2, 0, 0, 1):
                 merge_tables(spark, Tables(sessions=sessions.where(F.col("id") % 3 == part)), out)
             _CACHE[key] = out
-    return load_tables(spark, _CACHE[key], as_of=T(spark, sf_dir).as_of, names=("sessions",))
+    return _CACHE[key]
 
 
 def _register_first_touch():
@@ -90,3 +95,21 @@ def _register_first_touch():
 
 
 _register_first_touch()
+
+
+def _register_rolled():
+    """Totals from the hourly roll-up: the exact measures, and whether the estimated visitors are within their bound."""
+    exact = ("total_sessions", "bounce_rate", "avg_session_duration", "avg_pages_per_session")
+    for suffix, kw in VARIANTS.items():
+        def run(spark, d, kw=kw):
+            t = merged_sessions(spark, d)
+            rolled = RU.rolled_totals(RU.stored_rollup(spark, _merged_dir(spark, d)), t.sessions, as_of=t.as_of, **kw)
+            visitors = M.total_visitors(t.sessions, as_of=t.as_of, **kw).scalar()
+            rows = rolled.withColumn("exact", visitors)
+            near = F.abs(F.col("total_visitors") - F.col("exact")) <= F.lit(RU.BOUND) * F.col("exact")
+            return rows.select(F.col("exact").alias("total_visitors"), near.alias("within_bound"), *exact)
+        register(f"session_totals_rolled{suffix}", f"""
+SELECT total_visitors, true AS within_bound, {', '.join(exact)} FROM ({CATALOG["kpi_row" + suffix].sql}) t""")(run)
+
+
+_register_rolled()
