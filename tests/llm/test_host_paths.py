@@ -37,14 +37,75 @@ def test_an_open_menu_ends_where_the_article_begins():
     assert H.extract("<body><nav><ul><li>Home<article><p>text</article>", []) == "text"
 
 
+STORY = "<div class='story s%d'><p>%s</p></div><div class='more'><p>%s</p></div>"
+LINKS = "<a href=/a>one more page</a> <a href=/b>another page</a>"
+
+
 def test_an_odd_page_follows_its_host(spark):
-    article = "<div class='story s%d'><p>%s</p></div><div class='more'><p>%s</p></div>"
-    rows = [(i, "http://www.h.example/%d" % i, page(article % (i, "long text " * 30, "tail"))) for i in range(9)]
-    rows.append((9, "https://h.example/odd", page(article % (9, "brief", "a much longer tail of the page " * 20))))
-    rows.append((10, "https://other.example/odd", page(article % (9, "brief", "a much longer tail of the page " * 20))))
+    """Its own best container is the body; the host's path holds over half of that."""
+    rows = [(i, "http://www.h.example/%d" % i, page(STORY % (i, "long text " * 30, LINKS))) for i in range(9)]
+    rows.append((9, "https://h.example/odd", page(STORY % (9, "a text " * 30, "what others wrote " * 8))))
+    rows.append((10, "https://other.example/odd", page(STORY % (9, "a text " * 30, "what others wrote " * 8))))
+    got = texts(spark, rows)
+    assert got[3] == " ".join(["long text"] * 30) and got[9] == " ".join(["a text"] * 30)
+    assert got[10].endswith("what others wrote")
+
+
+def test_a_teaser_does_not_replace_an_article(spark):
+    """A host's path with one line gives way to the page's own."""
+    rows = [(i, "http://h.example/%d" % i, page(STORY % (i, "long text " * 30, LINKS))) for i in range(9)]
+    rows.append((9, "http://h.example/9", page("<div class='story s9'><p>A teaser</p></div><div class=other><p>%s</p></div>" % ("article " * 300))))
+    got = texts(spark, rows)
+    assert got[9].endswith(" ".join(["article"] * 300))
+
+
+def test_parts_of_a_post_stay(spark):
+    post = "<div class=post><div class=intro><p>Intro here</p></div><div class=text><p>%s</p></div><div class=tail><p>The tail</p></div></div><ul><li><a href=/x>Elsewhere</a></ul>"
+    rows = [(i, f"http://h.example/{i}", page(post % ("word " * n))) for i, n in enumerate([2, 40, 3000])]
+    got = texts(spark, rows)
+    for i, n in enumerate([2, 40, 3000]):
+        assert got[i] == "Intro here\n" + " ".join(["word"] * n) + "\nThe tail"
+
+
+def test_every_template_of_a_mixed_host_is_read(spark):
+    rows = []
+    for i in range(60):
+        t = "abcdef"[i % 6]
+        rows.append((i, f"http://h.example/{i}", page(f"<div class=t{t}><div class=in{t}><p>text {i} {'more ' * 50}</p></div></div><div class=list><p>{LINKS}</p></div>")))
     got = texts(spark, rows)
-    assert got[3] == " ".join(["long text"] * 30) and got[9] == "brief"
-    assert got[10].startswith("a much longer tail")
+    assert all(got[i] == f"text {i} " + " ".join(["more"] * 50) for i in range(60))
+
+
+def test_a_doubtful_name_does_not_decide_alone():
+    long = " ".join(["word"] * 100)
+    assert H.extract(page(f"<div class=share-story><p>{long}</p></div>"), []) == long
+    assert H.extract(page(f"<div class=share-story><p>{long}</p></div><div>Imprint</div><div class=story-share>Share it</div>"), []).startswith(long)
+    assert H.extract(page(f"<div class=text><p>{long}</p></div><div class=story-share><p>Share this</p></div>"), []) == long
+    assert H.extract(page("<div class=text><p>short</p></div><div id=reader-comments><p>%s</p></div>" % long), []) == "short"
+    twice = f"<div class=my-widget><h1>Title</h1></div><div class=my-widget><p>{long}</p></div><div class=ad-slot>buy</div>"
+    assert H.extract(page(twice), []) == "Title\n" + long
+
+
+def test_boilerplate_paragraphs_end_with_the_next_block():
+    assert H.extract(page("<article><p class=ad>buy<p>one<ul><li class=promo>buy<li>two</ul></article>"), []) == "one\ntwo"
+
+
+def test_host_paths_against_a_count_of_all_votes(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "url", "html")
+    odd = [(-i, "http://odd.example/", page(f"<div class={'xyz'[i % 3] if i < 90 else 'rare' + 'abcdefghij'[i - 90]}>text here</div>")) for i in range(100)]
+    pages = pages.unionByName(spark.createDataFrame(odd, "page_id long, url string, html string"))
+    votes = {}
+    for r in pages.select(H.host_of(pages.url).alias("host"), "html").collect():
+        path = H.own_path(*H.parse(r.html or ""))
+        if path is not None:
+            votes.setdefault(r.host, []).append(path)
+    want = {}
+    for host, v in votes.items():
+        n = {p: v.count(p) for p in v}
+        if kept := sorted((p for p in n if n[p] >= 2 and n[p] * H.SHARE >= len(v)), key=lambda p: (-n[p], p)):
+            want[host] = kept
+    assert {r.host: r.paths for r in H.host_paths(pages.repartition(4)).collect()} == want
+    assert len(want["odd.example"]) >= 1
 
 
 def test_edges(spark):

@@ -2,17 +2,20 @@
 
 1. Each page's containers are scored: characters of text outside boilerplate, links counting
    against them. A page votes for one path: the article around the deepest container that holds
-   nearly all of the best score, or else that container, or the one around it that adds a headline or
-   lead. A path lists tags with their classes from the root, with
-   digits generalised, so that pages of one template agree.
-2. Votes are added up per host in Spark, in part before the shuffle, and each host keeps its
-   ``PATHS`` first paths.
-3. Every page is extracted again with its host's paths, in order, until one yields text; a page
-   that none fits uses its own path. One odd page so follows its host, not its own score.
-
-Boilerplate is known by tag, role, or a word of class or id: menus, headers, footers, sidebars,
-notices, adverts, forms, scripts, styles, reader comments. The text of a block is decoded, its white
-space (by ``str.split``) made one space; ``<br>`` is white space. Blocks are joined by one line end.
+   nearly all of the best score, or else the container around it up to where only link lists
+   are added. A path lists tags with their classes from the root, with digits generalised,
+   so that pages of one template agree.
+2. Votes are added up per host in Spark, in part before the shuffle. A path wins on a host with two
+   votes or more that are at least one in ``SHARE`` of the host's; there is no cap on templates.
+3. Every page is extracted again. A page whose own path is among its host's winners keeps it; an odd page
+   takes the winning path with most votes that covers ``COVER`` of what its own path scores; a
+   page that none covers uses its own path, so no article gives way to a teaser.
+
+Boilerplate is known by tag, role, or the words of class or id: menus, headers, footers, sidebars,
+notices, adverts, forms, scripts, styles, reader comments. Where such words stand beside others
+(``share-story``) the container is only in doubt: its score is divided by ``DOUBT``, and it is boilerplate unless
+that is still the page's best. Then it counts as text, as do those named like it. The text of a block is
+decoded, its white space (by ``str.split``) made one space; ``<br>`` is white space. Blocks are joined by one line end.
 
 Null html is empty and gives empty text. Null or hostless urls vote as one host. Broken markup (open
 tags, cut pages, stray ends) is read as far as it goes. Repeated rows get equal rows.
@@ -22,17 +25,20 @@ from __future__ import annotations
 
 import hashlib
 import html as references
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webtraffic.llm.common import staged
 
-PATHS = 4          #: paths that a host keeps
+SHARE = 50         #: a winning path has at least one in so many of its host's votes
+COVER = 0.5        #: of its own path's score that a host's path must hold on an odd page
+DOUBT = 4          #: what the score of a container with a doubtful name is divided by
 NEARLY = 0.9       #: of the best score that the voted container holds
 LINK_COST = 2      #: characters that one character of link text takes from a score
 
@@ -54,6 +60,11 @@ WORDS = frozenset(
     "disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice pagination popup promo "
     "related reply respond share sharing sidebar signup social sponsor sponsored subscribe topbar widget".split()
 )
+COMMENTS = frozenset("comment comments disqus reply respond".split())
+LAYOUT = frozenset(
+    "area bar block bottom box center col column container global group holder inner item items left list outer panel right "
+    "row section site slot space top unit wrap wrapper".split()
+)
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -68,10 +79,11 @@ _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 class Node:
     """An open element that matters: a container, or the root of boilerplate."""
 
-    __slots__ = ("tag", "step", "key", "depth", "parent", "skip")
+    __slots__ = ("tag", "step", "key", "depth", "parent", "skip", "doubt", "zone")
 
-    def __init__(self, tag: str, step: str, key: int, depth: int, parent: int, skip: bool):
+    def __init__(self, tag: str, step: str, key: int, depth: int, parent: int, skip: bool, doubt: str = "", zone: int = 0):
         self.tag, self.step, self.key, self.depth, self.parent, self.skip = tag, step, key, depth, parent, skip
+        self.doubt, self.zone = doubt, zone  # a doubtful name; the nearest node with one, from the node itself upwards
 
 
 def _key(parent: int, step: str) -> int:
@@ -100,13 +112,18 @@ def _attributes(rest: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(rest)}
 
 
-def _boilerplate(tag: str, attributes: dict[str, str]) -> bool:
+def _boilerplate(tag: str, attributes: dict[str, str]) -> tuple[bool, bool]:
+    """(boilerplate for sure, in doubt)."""
     if tag in BOILERPLATE or attributes.get("role", "").lower() in ROLES:
-        return True
+        return True, False
     if tag in ("html", "body", "article", "main"):  # often carry layout classes
-        return False
+        return False, False
     names = f"{attributes.get('class', '')} {attributes.get('id', '')}"
-    return any(p.lower() in WORDS for p in _PART.findall(names)) if names != " " else False
+    parts = {p.lower() for p in _PART.findall(names)} if names != " " else set()
+    if not parts & WORDS:
+        return False, False
+    sure = bool(parts & COMMENTS) or parts <= WORDS | LAYOUT
+    return sure, not sure
 
 
 def _step(tag: str, attributes: dict[str, str]) -> str:
@@ -183,24 +200,52 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str, int, bool]]]:
             continue
         closed = m["rest"].endswith("/>")
         attributes = _attributes(m["rest"])
-        skip = _boilerplate(tag, attributes)
+        skip, doubtful = _boilerplate(tag, attributes)
         if tag in ("article", "main", "body") and opened["head"] + opened["nav"] + opened["header"]:  # end a menu or header that was left open
             for depth in range(1, len(open_)):
                 if nodes[open_[depth]].tag in ("head", "nav", "header"):
                     close(depth)
                     break
-        if tag in BLOCKS or skip:
+        if tag in BLOCKS and nodes[open_[-1]].tag == "p" or tag == "li" and nodes[open_[-1]].tag == "li":
+            close(len(open_) - 1)  # their end tags may be left out
+        if tag in BLOCKS or skip or doubtful:
             flush()
             heading = tag in HEADINGS
-        if (tag in CONTAINERS or skip) and not closed and tag not in ("input", "hr", "img", "embed"):
+        if (tag in CONTAINERS or skip or doubtful) and not closed and tag not in ("input", "hr", "img", "embed"):
             parent = open_[-1]
             step = _step(re.sub(r"[^\w#-]+", "_", tag), attributes)
-            nodes.append(Node(tag, step, _key(nodes[parent].key, step), nodes[parent].depth + 1, parent, skip))
+            name = f"{step} {re.sub(r'[0-9]+', '#', attributes.get('id', '').lower())}" if doubtful else ""
+            zone = len(nodes) if doubtful else nodes[parent].zone
+            nodes.append(Node(tag, step, _key(nodes[parent].key, step), nodes[parent].depth + 1, parent, skip, name, zone))
             skipped += skip
             opened[tag] += 1
             open_.append(len(nodes) - 1)
     flush()
-    return nodes, blocks
+    return nodes, without_doubtful(nodes, blocks)
+
+
+def without_doubtful(nodes: list[Node], blocks: list[tuple[int, str, int, bool]]) -> list[tuple[int, str, int, bool]]:
+    """Blocks outside containers with doubtful names, or with those inside that hold the page's text."""
+    level = {0: 0}
+    for n, node in enumerate(nodes):
+        if node.doubt:
+            level[n] = level[nodes[node.parent].zone] + 1
+    if len(level) == 1:
+        return blocks
+    score: Counter[int] = Counter()
+    for n, block, linked, _ in blocks:
+        score[nodes[n].zone] += max(0, len(block) - LINK_COST * linked)
+    scored = [z for z in score if score[z] > 0]
+    best = max(scored, key=lambda z: (math.log(score[z]) - level[z] * math.log(DOUBT), -z), default=0)
+    names = set()
+    while best:
+        names.add(nodes[best].doubt)
+        best = nodes[nodes[best].parent].zone
+    text = {0: True}
+    for n in level:  # parents come before their children
+        if n:
+            text[n] = text[nodes[nodes[n].parent].zone] and nodes[n].doubt in names
+    return [b for b in blocks if text[nodes[b[0]].zone]]
 
 
 def own_path(nodes: list[Node], blocks: list[tuple[int, str, int, bool]]) -> str | None:
@@ -221,13 +266,13 @@ def own_path(nodes: list[Node], blocks: list[tuple[int, str, int, bool]]) -> str
                 break
         up = nodes[up].parent
     if nodes[best].tag not in ("article", "main"):
-        best = with_lead(nodes, blocks, best)
+        best = with_sides(nodes, blocks, best)
     return spelled(nodes, best)
 
 
-def with_lead(nodes: list[Node], blocks: list[tuple[int, str, int, bool]], best: int) -> int:
-    """The container around ``best`` that adds its headline and lead: text of its own, or a heading
-    before ``best``, not mostly links. Text that only stands in other containers ends the search."""
+def with_sides(nodes: list[Node], blocks: list[tuple[int, str, int, bool]], best: int) -> int:
+    """The container around ``best`` that adds its headline, lead, further parts and tail. Sides that are
+    mostly links end the search."""
     last_of = list(range(len(nodes)))  # a container's descendants follow it without a gap
     for n in range(len(nodes) - 1, 0, -1):
         last_of[nodes[n].parent] = max(last_of[nodes[n].parent], last_of[n])
@@ -246,32 +291,43 @@ def with_lead(nodes: list[Node], blocks: list[tuple[int, str, int, bool]], best:
         more = blocks[i:first] + blocks[last + 1 : j + 1]
         if not more:
             continue
-        if all(n != up for n, *_ in more) and not any(b[3] for b in blocks[i:first]):
-            break
         if LINK_COST * sum(linked for _, _, linked, _ in more) >= sum(len(b) for _, b, _, _ in more):
             break
         best, first, last = up, i, j
     return best
 
 
-def chosen(nodes: list[Node], blocks: list[tuple[int, str, int, bool]], path: str) -> list[str]:
+def chosen(nodes: list[Node], blocks: list[tuple[int, str, int, bool]], path: str) -> list[tuple[int, str, int, bool]]:
     """Blocks within the containers of a path."""
     inside = [False] * len(nodes)
     key = key_of(path)
     for n, node in enumerate(nodes):
         inside[n] = node.key == key or (n > 0 and inside[node.parent])
-    return [b for n, b, _, _ in blocks if inside[n]]
+    return [b for b in blocks if inside[b[0]]]
 
 
 def extract(page: str, paths: list[str]) -> str:
-    """The page's text by the first of its host's paths that yields any, else by its own."""
+    """The page's text by its own path if that is one of its host's, by the first of these that covers it, or by its own."""
     nodes, blocks = parse(page)
-    if not blocks:
+    own = own_path(nodes, blocks)
+    if own is None:
         return ""
-    for path in paths:
-        if found := chosen(nodes, blocks, path):
-            return "\n".join(found)
-    return "\n".join(chosen(nodes, blocks, own_path(nodes, blocks) or ""))
+    mine = chosen(nodes, blocks, own)
+    if own not in paths:
+        keys = {n.key for n in nodes}
+        need = COVER * _score(mine)
+        mine_at = {id(b) for b in mine}
+        for path in paths:
+            if key_of(path) in keys:
+                found = chosen(nodes, blocks, path)
+                if found and _score(b for b in found if id(b) in mine_at) >= need:
+                    mine = found
+                    break
+    return "\n".join(b[1] for b in mine)
+
+
+def _score(blocks) -> int:
+    return sum(max(0, len(b) - LINK_COST * linked) for _, b, linked, _ in blocks)
 
 
 def host_of(url: Column) -> Column:
@@ -291,13 +347,14 @@ def _votes(batches) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"host": pa.array(hosts, pa.string()), "path": pa.array(paths, pa.string()), "n": pa.array(list(n.values()), pa.int64())})
 
 
-def host_paths(pages: DataFrame, keep: int = PATHS) -> DataFrame:
-    """(host, paths): each host's paths with most votes, first by votes, then by path."""
+def host_paths(pages: DataFrame) -> DataFrame:
+    """(host, paths): each host's winning paths, ``SHARE`` at most by their definition, first by votes, then by path."""
     rows = pages.select(host_of(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html"))
     votes = rows.mapInArrow(_votes, "host string, path string, n long").groupBy("host", "path").agg(F.sum("n").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("n"), "path"))
-    best = votes.withColumn("rank", rank).where(F.col("rank") <= keep)
-    return best.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "path"))), lambda x: x["path"]).alias("paths"))
+    votes = staged(votes, "host_votes")
+    winners = votes.where("n >= 2").join(votes.groupBy("host").agg(F.sum("n").alias("all")), "host").where(F.col("n") * SHARE >= F.col("all"))
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "path")))
+    return winners.groupBy("host").agg(F.transform(ranked, lambda x: x["path"]).alias("paths"))
 
 
 _TEXT = "page_id long, url string, text string, n_chars long"
