@@ -146,21 +146,21 @@ def stage_hits(valid: DataFrame, path: str | None = None) -> DataFrame:
 
     spark = valid.sparkSession
     out = path or scratch_path(spark, "staged_hits")
-    (valid.withColumn("dt", F.to_date("received_at"))
-     .write.mode("overwrite").partitionBy("dt").parquet(out))
-    return spark.read.parquet(out).drop("dt")
+    dated = valid.withColumn("dt", F.to_date("received_at"))
+    dated.write.mode("overwrite").partitionBy("dt").parquet(out)
+    return spark.read.schema(dated.schema).parquet(out).drop("dt")  # a load may hold no valid hit
 
 
 def ingest(raw: DataFrame, geo_ranges: DataFrame | None = None,
-           stage: bool = False, geo_ranges6: DataFrame | None = None) -> tuple[Tables, DataFrame]:
+           stage: bool | str = False, geo_ranges6: DataFrame | None = None) -> tuple[Tables, DataFrame]:
     """All of I01-I07: the five tables (lazy) and the rejected hits.
 
     ``stage=True`` first writes the validated hits once (:func:`stage_hits`), which is what a
-    large raw log wants; the default keeps everything lazy.
+    large raw log wants, and a path writes them there; the default keeps everything lazy.
     """
     valid, rejected = normalize_hits(raw)
     if stage:
-        valid = stage_hits(valid)
+        valid = stage_hits(valid, stage if isinstance(stage, str) else None)
     tables = Tables(visitors=derive_visitors(valid), sessions=derive_sessions(valid),
                     page_views=derive_page_views(valid),
                     visitor_details=derive_visitor_details(valid, geo_ranges, geo_ranges6=geo_ranges6),

@@ -6,7 +6,7 @@ first-hit rules of :mod:`ingest`: attributes of the earliest hit, earliest and l
 views added up. Page views, details and events are appended.
 
 A load is published by one commit of :mod:`webtraffic.sources.ledger`, in all tables or in none. It has an id, by default
-a fingerprint of its rows, and a load whose id is in the ledger already changes nothing: a load can be
+a fingerprint of its rows (a stream's micro-batches are numbered instead), and a load whose id is in the ledger already changes nothing: a load can be
 repeated after any interruption. Of two loads at once the one that commits second merges anew with what
 the first one published.
 
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import TABLE_SCHEMAS, TIME_COLUMN
-from ..session import scratch_path
+from ..session import drop_scratch, scratch_path
 from ..sources import ledger as L
 from ..sources.tables import Tables, plain_tables
 from . import first_touch as FT
@@ -86,13 +86,13 @@ def _together(job, names) -> dict:
         return dict(zip(names, pool.map(job, names), strict=True))
 
 
-def _merge_keyed(spark: SparkSession, name: str, new: DataFrame, root: str, state: L.State) -> dict[str, dict[str, list[str]]]:
+def _merge_keyed(spark: SparkSession, name: str, new: DataFrame, root: str, state: L.State,
+                 staged: str) -> dict[str, dict[str, list[str]]]:
     """Write the touched dates of a keyed table anew; the directories of each, none where no row is left. With the
     sessions, their visitors' first touches and their hours' roll-up."""
     key, columns = KEY[name], [f.name for f in TABLE_SCHEMAS[name].fields]
     listed = state.dirs.get(name, {})
     old = L.read_dirs(spark, root, name, listed, TABLE_SCHEMAS[name])
-    staged = scratch_path(spark, "merge", name)
     keys = new.select(key)
     old.join(keys, key, "left_semi").select(*columns, "dt").write.parquet(f"{staged}/known")
     known = spark.read.schema(old.schema).parquet(f"{staged}/known")
@@ -112,13 +112,21 @@ def _merge_keyed(spark: SparkSession, name: str, new: DataFrame, root: str, stat
     return changes
 
 
-def merge_tables(spark: SparkSession, new: Tables, out_dir: str, load_id: str | None = None) -> L.State:
+def merge_tables(spark: SparkSession, new: Tables, out_dir: str, load_id: L.Load | None = None) -> L.State:
     """Add a load's tables (:func:`webtraffic.operators.ingest.ingest`) to those under ``out_dir``, once; the version that
     holds them. ``load_id`` names the load where its rows do not (say, two loads of equal rows that both count)."""
     state = _adopted(spark, out_dir)
-    if load_id is not None and load_id in state.loads:
+    if state.holds(load_id):
         return state
-    attempt, staged = uuid.uuid4().hex, scratch_path(spark, "merge", "load")
+    staged = scratch_path(spark, "merge", "load")
+    try:
+        return _merge(spark, new, out_dir, load_id, staged)
+    finally:
+        drop_scratch(spark, staged)
+
+
+def _merge(spark: SparkSession, new: Tables, out_dir: str, load_id: L.Load | None, staged: str) -> L.State:
+    attempt = uuid.uuid4().hex
     frames = new.frames()
     appended: dict[str, dict[str, list[str]]] = {}
 
@@ -136,9 +144,10 @@ def merge_tables(spark: SparkSession, new: Tables, out_dir: str, load_id: str |
     load = load_id or L.fingerprint(_together(lambda n: L.row_sums(rows[n]), rows))
     while True:
         state = _adopted(spark, out_dir)
-        if load in state.loads:
+        if state.holds(load):
             return state
-        merged = _together(lambda n: _merge_keyed(spark, n, rows[n], out_dir, state), [n for n in rows if n in KEY])  # noqa: B023
+        work = f"{staged}/{state.version}"
+        merged = _together(lambda n: _merge_keyed(spark, n, rows[n], out_dir, state, f"{work}/{n}"), [n for n in rows if n in KEY])  # noqa: B023
         changes = {table: listing for parts in merged.values() for table, listing in parts.items()}
         for name, written in appended.items():
             changes[name] = P.appended(state, name, written)

@@ -82,9 +82,9 @@ def keep_profiles(spark: SparkSession, root: str, details: DataFrame, load_id: s
             continue
 
 
-def stored_profiles(spark: SparkSession, root: str) -> DataFrame:
-    """Profiles of the newest version (visitor_id, n_details, latest, first, bucket), several for a visitor."""
-    state = L.read_state(spark, root) or L.State()
+def stored_profiles(spark: SparkSession, root: str, state: L.State | None = None) -> DataFrame:
+    """Profiles of the newest (or the given) version: visitor_id, n_details, latest, first, bucket; several for a visitor."""
+    state = state or L.read_state(spark, root) or L.State()
     return L.read_dirs(spark, root, TABLE, state.dirs.get(TABLE, {}), PROFILES, by=("bucket", T.IntegerType()))
 
 

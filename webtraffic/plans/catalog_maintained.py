@@ -12,11 +12,15 @@ from ..operators import profiles as P
 from ..operators import rollups as RU
 from ..operators.merge import merge_tables
 from ..session import scratch_path
+from ..schema import TABLE_SCHEMAS
+from ..sources.hits import fixture_geo_ranges
 from ..sources.tables import Tables, load_tables
+from ..streaming import commits
 from ..streaming import live as L
 from .catalog import CATALOG, T, register
+from .catalog_ingest import _DETAIL_COLS
 from .catalog_metrics import VARIANTS
-from .catalog_streaming import _run, events_page_views
+from .catalog_streaming import _json_stream, _run, events_page_views
 
 _CACHE: dict = {}
 _LOCK = threading.Lock()
@@ -113,3 +117,26 @@ SELECT total_visitors, true AS within_bound, {', '.join(exact)} FROM ({CATALOG["
 
 
 _register_rolled()
+
+
+def streamed_tables(spark, sf_dir) -> Tables:
+    """The tables that a stream of the fixture's JSON payloads commits to a ledger, two files a micro-batch."""
+    key = (spark.sparkContext.applicationId, sf_dir, "streamed")
+    with _LOCK:
+        if key not in _CACHE:
+            out, ck = scratch_path(spark, "stream", "ledger"), scratch_path(spark, "stream", "ck")
+            _run(commits.ledger_sink(_json_stream(spark, sf_dir), out, ck, fixture_geo_ranges(spark, sf_dir)))
+            _CACHE[key] = out
+    return load_tables(spark, _CACHE[key])
+
+
+def _register_streamed():
+    for name in TABLE_SCHEMAS:
+        columns = _DETAIL_COLS if name == "visitor_details" else TABLE_SCHEMAS[name].fieldNames()
+
+        def run(spark, d, name=name, columns=columns):
+            return streamed_tables(spark, d).frames()[name].select(*columns)
+        register(f"stream_ledger_{name}", CATALOG[f"ingest_{name}"].sql)(run)
+
+
+_register_streamed()

@@ -82,4 +82,10 @@ def scratch_path(spark: SparkSession, *parts: str) -> str:
     return "/".join([root, "webtraffic", app, *parts, uuid.uuid4().hex[:12]])
 
 
-__all__ = ["get_spark", "checkpoint_root", "scratch_path", "is_local", "DEFAULT_CONF"]
+def drop_scratch(spark: SparkSession, path: str) -> None:
+    """Remove scratch output that nothing reads any more."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+__all__ = ["get_spark", "checkpoint_root", "scratch_path", "drop_scratch", "is_local", "DEFAULT_CONF"]

@@ -8,7 +8,8 @@ never read (:func:`vacuum` removes it). The root needs a file system whose renam
 overwrite, as HDFS has.
 
 A commit lists one entry for each date and load; :func:`compact` writes a table's dates of many
-loads into one directory each.
+loads into one directory each. Loads that come numbered from one source, as a stream's micro-batches do, are kept as that
+source's last number, so the list does not grow with the age of a stream.
 """
 
 from __future__ import annotations
@@ -26,19 +27,31 @@ LEDGER = "_ledger"
 NO_DATE = "__HIVE_DEFAULT_PARTITION__"
 
 
+#: A load's name, or its source and number.
+Load = str | tuple[str, int]
+
+
 class Conflict(Exception):
     """Another writer committed this version first."""
 
 
 @dataclass(frozen=True)
 class State:
-    """One version: applied loads, and table -> date text -> directories below ``root/<table>``."""
+    """One version: applied loads, table -> date text -> directories below ``root/<table>``, and the last number of each
+    source of numbered loads."""
 
     version: int = 0
     loads: tuple[str, ...] = ()
     dirs: dict[str, dict[str, list[str]]] = field(default_factory=dict)
+    streams: dict[str, int] = field(default_factory=dict)
+
+    def holds(self, load: Load | None) -> bool:
+        """Whether a load is applied. Numbered loads of one source come in order, as a stream replays only its last one."""
+        if isinstance(load, tuple):
+            return load[1] <= self.streams.get(load[0], -1)
+        return load in self.loads
 
-    def after(self, load: str | None, dirs: dict[str, dict[str, list[str]]]) -> State:
+    def after(self, load: Load | None, dirs: dict[str, dict[str, list[str]]]) -> State:
         """The next version: ``load`` applied, and the given dates of the given tables as listed."""
         merged = {t: dict(d) for t, d in self.dirs.items()}
         for table, dates in dirs.items():
@@ -48,7 +61,9 @@ class State:
                     here[date] = listed
                 else:
                     here.pop(date, None)
-        return State(self.version + 1, (*self.loads, *([load] if load else [])), merged)
+        if isinstance(load, tuple):
+            return State(self.version + 1, self.loads, merged, self.streams | dict([load]))
+        return State(self.version + 1, (*self.loads, *([load] if load else [])), merged, self.streams)
 
 
 class _Files:
@@ -93,13 +108,18 @@ class _Files:
             raise
 
 
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that a streaming query keeps in its checkpoint over restarts."""
+    return json.loads(_Files(spark, checkpoint).read("metadata"))["id"]
+
+
 def _versions(files: _Files) -> list[int]:
     return sorted(int(n[:-5]) for n in files.names(LEDGER) if n.endswith(".json") and n[:-5].isdigit())
 
 
 def _state(files: _Files, version: int) -> State:
     d = json.loads(files.read(f"{LEDGER}/{version:012d}.json"))
-    return State(version, tuple(d["loads"]), d["dirs"])
+    return State(version, tuple(d["loads"]), d["dirs"], d.get("streams", {}))
 
 
 def read_state(spark: SparkSession, root: str, version: int | None = None) -> State | None:
@@ -111,7 +131,7 @@ def read_state(spark: SparkSession, root: str, version: int | None = None) -> St
 
 def commit(spark: SparkSession, root: str, state: State) -> State:
     """Publish ``state`` as its version; :class:`Conflict` if that version is taken."""
-    body = json.dumps({"loads": state.loads, "dirs": state.dirs}, separators=(",", ":"), sort_keys=True)
+    body = json.dumps({"loads": state.loads, "dirs": state.dirs, "streams": state.streams}, separators=(",", ":"), sort_keys=True)
     _Files(spark, root).create(f"{LEDGER}/{state.version:012d}.json", body)
     return state
 

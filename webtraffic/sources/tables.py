@@ -60,13 +60,13 @@ def write_tables(tables: Tables, out_dir: str, mode: str = "overwrite") -> None:
 
 
 def load_tables(spark: SparkSession, in_dir: str, as_of=None,
-                names=TABLE_NAMES) -> Tables:
-    """Read tables written by :func:`write_tables` (``dt`` partitions discovered), or the newest version of those that
-    :func:`webtraffic.operators.merge.merge_tables` committed.
+                names=TABLE_NAMES, state: ledger.State | None = None) -> Tables:
+    """Read tables written by :func:`write_tables` (``dt`` partitions discovered), or the newest (or the given) version of
+    those that :func:`webtraffic.operators.merge.merge_tables` committed.
 
     Schemas are declared, so a table that was written without rows, or without some columns, loads.
     """
-    state = ledger.read_state(spark, in_dir)
+    state = state or ledger.read_state(spark, in_dir)
     if state is not None:
         frames = {n: ledger.read_dirs(spark, in_dir, n, state.dirs.get(n, {}), TABLE_SCHEMAS[n]) for n in names}
         touches = FT.stored_first_touch(spark, in_dir, state) if FT.TABLE in state.dirs else None
