@@ -120,12 +120,12 @@ _register_rolled()
 
 
 def streamed_tables(spark, sf_dir) -> Tables:
-    """The tables that a stream of the fixture's JSON payloads commits to a ledger, two files a micro-batch."""
+    """The tables that a stream of the fixture's JSON payloads commits to a ledger, four files a micro-batch."""
     key = (spark.sparkContext.applicationId, sf_dir, "streamed")
     with _LOCK:
         if key not in _CACHE:
             out, ck = scratch_path(spark, "stream", "ledger"), scratch_path(spark, "stream", "ck")
-            _run(commits.ledger_sink(_json_stream(spark, sf_dir), out, ck, fixture_geo_ranges(spark, sf_dir)))
+            _run(commits.ledger_sink(_json_stream(spark, sf_dir, 4), out, ck, fixture_geo_ranges(spark, sf_dir)))
             _CACHE[key] = out
     return load_tables(spark, _CACHE[key])
 

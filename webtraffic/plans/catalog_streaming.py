@@ -75,9 +75,9 @@ def _appended(spark, d, valid, table):
     return spark.read.parquet(f"{out}/{table}")
 
 
-def _json_stream(spark, d):
-    """JSON payloads, two files a micro-batch."""
-    return L.read_hits_stream(spark, json_hits(spark, d), max_files_per_trigger=2)
+def _json_stream(spark, d, files=2):
+    """JSON payloads, two (or other) files a micro-batch."""
+    return L.read_hits_stream(spark, json_hits(spark, d), max_files_per_trigger=files)
 
 
 @register("stream_visitor_details", CATALOG["ingest_visitor_details"].sql)
