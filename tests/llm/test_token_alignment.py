@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
@@ -122,3 +123,12 @@ def test_groups_cover_each_text(spark, docs_of):
 def test_empty_table(spark, docs_of):
     assert T.alignment_report(docs_of([])).collect() == []
     assert T.groups(docs_of([])).collect() == []
+
+
+def test_links_are_looked_at_in_slices_of_bounded_size():
+    rows = [np.arange(n, dtype=np.int64) for n in (5, 0, 300, 1, 7, 0, 40)]
+    batch = pa.RecordBatch.from_pydict({"row": list(range(7)), "links": pa.array([x.tobytes() for x in rows], pa.binary())})
+    parts = list(T._links([batch.slice(1), batch], size=100))
+    assert all(len(links) * 8 <= 100 or b.num_rows == 1 for b, links, _ in parts)
+    got = [(b.column("row")[k].as_py(), links[s:t].tolist()) for b, links, begin in parts for k, (s, t) in enumerate(zip(begin, begin[1:], strict=False))]
+    assert got == [(i, x.tolist()) for i, x in [*list(enumerate(rows))[1:], *enumerate(rows)]]

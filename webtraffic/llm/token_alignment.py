@@ -31,13 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from webtraffic.llm.common import chunks, staged
+from webtraffic.llm.common import buffers, chunks, staged
 
 A = "byte_bpe_50k"             #: rank file of the byte-level BPE; the tokenizer file has the same vocabulary
 B = "piece_bpe_32k.model"
 WORK = 1 << 13                 #: ends merged by one piece
 TABLE = 1 << 20                #: most frequent pairs sent to all tasks
-BYTES = 1 << 20                #: text bytes merged at once
+BYTES = 1 << 18                #: text bytes merged at once
+LINKS = 1 << 22                #: bytes of packed links looked at at once
 
 
 class Encoded(NamedTuple):
@@ -164,10 +165,9 @@ _ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups
 def _by_bytes(batches, names: tuple[str, ...]) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of about ``BYTES`` of text."""
     for b in batches:
-        texts = b.column("text").to_pylist()
-        ends = np.cumsum([0] + [len(t) for t in texts])
-        for i, j in chunks(ends, BYTES, 4096):
-            yield b.select(names).slice(i, j - i), texts[i:j]
+        for i, j in chunks(buffers(b.column("text"))[0], BYTES, 4096):
+            part = b.slice(i, j - i)
+            yield part.select(names), part.column("text").to_pylist()
 
 
 def _align(batches, a: str, b: str, work: int):
@@ -220,18 +220,21 @@ def groups(docs: DataFrame, a: str = A, b: str = B, work: int = WORK) -> DataFra
     return _rows(docs).mapInArrow(emit, _GROUP)
 
 
-def _links(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """(pair numbers of all rows, where each row's begin)."""
-    raw = b.column("links").to_pylist()
-    return np.frombuffer(b"".join(raw), np.int64), np.cumsum([0] + [len(x) // 8 for x in raw])
+def _links(batches, size: int | None = None) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(slice of rows, pair numbers of these rows, where each row's begin); about ``size`` bytes of links a slice, and one row
+    at least."""
+    for b in batches:
+        at, data = buffers(b.column("links"))
+        for i, j in chunks(at, size or LINKS, 1 << 14):
+            yield b.slice(i, j - i), data[at[i] : at[j]].view(np.int64), (at[i : j + 1] - at[i]) // 8
 
 
 def pair_counts(rows: DataFrame, n_b: int) -> DataFrame:
     """(key, n, best): links of each pair over all documents, and whether no pair of its B token has more."""
 
     def count(batches):
-        for b in batches:
-            key, n = np.unique(_links(b)[0], return_counts=True)
+        for _, links, _ in _links(batches):
+            key, n = np.unique(links, return_counts=True)
             yield pa.RecordBatch.from_pydict({"key": key, "n": n})
 
     summed = rows.select("links").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
@@ -255,8 +258,7 @@ def link_sums(rows: DataFrame, counts: DataFrame, table: int = TABLE) -> DataFra
         return known, at, n, best
 
     def sums(batches):
-        for b in batches:
-            links, begin = _links(b)
+        for b, links, begin in _links(batches):
             known, at, n, best = look_up(links)
             out = {"row": b.column("row")}
             for name, x in (("n_best", best), ("count_sum", n)):
@@ -269,8 +271,7 @@ def link_sums(rows: DataFrame, counts: DataFrame, table: int = TABLE) -> DataFra
         return here
 
     def rare(batches):
-        for b in batches:
-            links, begin = _links(b)
+        for b, links, begin in _links(batches):
             row = np.repeat(b.column("row").to_numpy(), np.diff(begin))
             left = ~look_up(links)[0]
             yield pa.RecordBatch.from_pydict({"row": row[left], "key": links[left]})
