@@ -297,6 +297,12 @@ def test_geo_range_across_blocks(spark, broadcast):
     assert _eval(spark, ipv4_to_long, ["0.0.0.1", "256.1.1.1", "::ffff:1.2.3.4"]) == [1, None, 16909060]
 
 
+def test_odd_addresses(spark):
+    odd = [" 1.2.3.4 ", "1.2.3.4\n", "1.2.3.4\r\n", "1.2.3.4\n\n", "1.2\n.3.4", "1.2.3", "1.2.3.4.5", "::ffff:::ffff:1.2.3.4", "::ffff:", "001.2.3.004", "1.2.3.1000", ""]
+    four = 16909060
+    assert _eval(spark, ipv4_to_long, odd) == [four, four, four, None, None, None, None, None, None, four, None, None]
+
+
 # --- ingest -----------------------------------------------------------------------------------
 
 def _hit(i, v, s, t, typ="pageview", path="/x", ref=None, width=1, lang="en", ip="8.8.8.8"):

@@ -10,6 +10,8 @@ Unknown agents give ``Other``.
 
 from __future__ import annotations
 
+import os.path
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -58,11 +60,13 @@ def _c(c) -> Column:
 
 
 def _any(u: Column, literals) -> Column:
+    """Whether any of the literals occurs; what they all begin with is looked for first, once for all of them."""
     cond = None
     for lit in literals:
         t = u.contains(lit)
         cond = t if cond is None else (cond | t)
-    return cond
+    start = os.path.commonprefix(literals)
+    return u.contains(start) & cond if len(literals) > 1 and len(start) > 1 else cond
 
 
 def _ruled(u: Column, low: Column, rules) -> Column:

@@ -18,20 +18,36 @@ from pyspark.sql import functions as F
 from ..functions.enrich import empty_to_null, is_local_ip
 
 IPV4_RE = r"^(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})$"
-MAPPED_PREFIX_RE = r"^::ffff:"
+MAPPED_PREFIX = "::ffff:"
+LINE_ENDS = "\n\r\u0085\u2028\u2029"
 BLOCK_BITS = 16
 NULL_KEY_SPREAD = 1024
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _unmapped(ip) -> Column:
+    """Address text without the spaces around it and the IPv4-mapped prefix."""
+    t = F.trim(F.col(ip) if isinstance(ip, str) else ip)
+    return F.when(t.startswith(MAPPED_PREFIX), t.substr(F.lit(len(MAPPED_PREFIX) + 1), F.length(t))).otherwise(t)
+
+
+def _octets(s: Column) -> Column:
+    """The four numbers of a dotted address as texts; a line's end behind it, which the pattern lets pass, is cut."""
+    return F.when(s.rlike(IPV4_RE), F.split(F.translate(s, LINE_ENDS, ""), "\\."))
+
+
+def _as_long(octets: Column) -> Column:
+    n = [F.get(octets, F.lit(i)).cast("long") for i in range(4)]
+    return F.when((F.greatest(*n) <= 255), (n[0] * 16777216) + (n[1] * 65536) + (n[2] * 256) + n[3])
+
+
 def ipv4_to_long(ip) -> Column:
     """Dotted IPv4 (also in IPv4-mapped IPv6 form) → unsigned long; anything else → NULL."""
-    s = F.regexp_replace(F.trim(F.col(ip) if isinstance(ip, str) else ip), MAPPED_PREFIX_RE, "")
-    octs = [F.regexp_extract(s, IPV4_RE, i).try_cast("long") for i in range(1, 5)]
-    ok = s.rlike(IPV4_RE)
-    for o in octs:
-        ok = ok & (o <= 255)
-    val = ((octs[0] * 16777216) + (octs[1] * 65536) + (octs[2] * 256) + octs[3])
-    return F.when(ok, val)
+    return _let(_let(_unmapped(ip), _octets), _as_long)
 
 
 def explode_ranges(geo_ranges: DataFrame) -> DataFrame:
@@ -54,9 +70,10 @@ def with_geo(hits: DataFrame, geo_ranges: DataFrame, ip_col: str = "ip",
     that never match, so they do not pile into the single partition of a NULL key.
     """
     ranges = explode_ranges(geo_ranges)
-    addr = F.when(~is_local_ip(F.col(ip_col)), ipv4_to_long(ip_col))
     spread = -1 - F.pmod(F.xxhash64(F.col(salt_col)), F.lit(NULL_KEY_SPREAD))
-    h = hits.withColumn("_ip_long", addr)
+    # one column a step: each is computed once a row, where one nested expression would repeat its parts
+    h = hits.withColumn("_addr", F.when(~is_local_ip(F.col(ip_col)), _unmapped(ip_col)))
+    h = h.withColumn("_octets", _octets(F.col("_addr"))).withColumn("_ip_long", _as_long(F.col("_octets"))).drop("_addr", "_octets")
     h = h.withColumn("_blk", F.coalesce(F.shiftright("_ip_long", BLOCK_BITS), spread))
     r = F.broadcast(ranges) if broadcast else ranges
     cond = (F.col("_blk") == F.col("_block")) & F.col("_ip_long").between(F.col("_ip_from"),
@@ -70,11 +87,6 @@ def with_geo(hits: DataFrame, geo_ranges: DataFrame, ip_col: str = "ip",
 HEX = 32  #: hexadecimal digits of an IPv6 address
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once, however often the body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def ipv6_hex(ip) -> Column:
     """IPv6 text (``::``, a dotted tail, a zone and any letter case allowed) -> its 32 hexadecimal digits; else NULL."""
     def dotted(s):
