@@ -6,6 +6,8 @@ from datetime import datetime, timedelta
 
 import pytest
 
+from webtraffic.operators import first_touch as FT
+from webtraffic.operators import profiles as P
 from webtraffic.operators.ingest import ingest
 from webtraffic.operators.merge import merge_tables
 from webtraffic.schema import HIT, TABLE_SCHEMAS
@@ -80,6 +82,21 @@ def test_a_repeated_load_changes_nothing(spark, tmp_path):
     assert len(_rows(spark, tmp_path)["page_views"]) > len(once["page_views"])
 
 
+def test_a_repeated_load_makes_no_profiles_and_leaves_nothing(spark, tmp_path, monkeypatch):
+    a, _, _ = _parts(spark)
+    merge_tables(spark, a, str(tmp_path))
+    there = {t: sorted(p.name for p in (tmp_path / t).iterdir()) for t in TABLE_SCHEMAS if (tmp_path / t).exists()}
+    monkeypatch.setattr(P, "write_profiles", None)
+    merge_tables(spark, a, str(tmp_path))
+    assert there == {t: sorted(p.name for p in (tmp_path / t).iterdir()) for t in there}
+
+
+def test_keys_do_not_go_through_the_driver(spark):
+    a, b, _ = _parts(spark)
+    plans = [FT.losing_visitors(a.sessions, b.sessions), P.detail_profiles(a.visitor_details)]
+    assert not any("Broadcast" in df._jdf.queryExecution().executedPlan().toString() for df in plans)
+
+
 def test_an_interrupted_load_is_not_seen_and_can_be_repeated(spark, tmp_path, monkeypatch):
     a, b, _ = _parts(spark)
     merge_tables(spark, a, str(tmp_path))
