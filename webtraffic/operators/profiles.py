@@ -43,7 +43,7 @@ def detail_profiles(details: DataFrame) -> DataFrame:
     first = first.groupBy("visitor_id").agg(F.array_sort(F.collect_list(F.struct("id", *SHOWN))).alias("first"))
     whole = rows.groupBy("visitor_id").agg(
         F.count(F.lit(1)).alias("n_details"), F.max_by(F.struct("updated_at", "id", *LATEST), F.struct("updated_at", "id")).alias("latest"))
-    return whole.join(first, "visitor_id").select("visitor_id", "n_details", "latest", "first")
+    return whole.join(first.hint("merge"), "visitor_id").select("visitor_id", "n_details", "latest", "first")
 
 
 def combine_profiles(profiles: DataFrame) -> DataFrame:
