@@ -11,14 +11,24 @@ from ..operators import audience as A
 from ..operators import ingest as I
 from ..operators.merge import merge_tables
 from ..session import scratch_path
+from ..sources.fixtures import read_table
 from ..sources.hits import (GEO_RANGES_SQL, RAW_HITS_SQL, REFERRERS, UA_EXPECTED_SQL,
                             USER_AGENTS, V6_HIGH, V6_LOW, fixture_geo_ranges, fixture_geo_ranges6,
-                            fixture_raw_hits, read_hits, with_ipv6)
+                            raw_hits_from_events, read_hits, with_ipv6)
 from ..sources.tables import Tables, load_tables
 from .catalog import CATALOG, register, source_sql
 
 _CACHE: dict = {}
 _LOCK = threading.Lock()
+LOG_ROWS = 2_000_000  # hits in a file of the JSON log, at most
+PACKED_ROWS = 500_000  # the same where it is compressed, as such a file is read by one task
+
+
+def spread_events(spark, sf_dir):
+    """The events over all cores, each part in order of dates, before hits are built from them: their few columns
+    are shuffled and sorted, not the payloads, which are many times as wide."""
+    events = read_table(spark, sf_dir, "events").repartition(spark.sparkContext.defaultParallelism)
+    return events.sortWithinPartitions(F.to_date("ts"))
 
 
 def raw_hits(spark, sf_dir):
@@ -28,32 +38,37 @@ def raw_hits(spark, sf_dir):
     with _LOCK:
         if key not in _CACHE:
             out = scratch_path(spark, "hits")
-            (fixture_raw_hits(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism)
+            (raw_hits_from_events(spread_events(spark, sf_dir))  # in order of dates: the writer sorts nothing
              .withColumn("dt", F.to_date("received_at"))
              .write.partitionBy("dt").parquet(out))
             _CACHE[key] = spark.read.parquet(out).drop("dt")
         return _CACHE[key]
 
 
-def json_hits(spark, sf_dir) -> str:
-    """The fixture hits as JSON payloads, times in turn with ``Z``, an offset and no zone; the path."""
-    key = ("json", spark.sparkContext.applicationId, sf_dir)
-    raw = raw_hits(spark, sf_dir)
+def json_hits(spark, sf_dir, packed: bool = False) -> str:
+    """The fixture hits as JSON payloads, times in turn with ``Z``, an offset and no zone; the path.
+
+    A micro-batch takes a few files, so a stream's are plain text, which Spark splits over the cores. A batch reads
+    all files at once: ``packed`` compresses them.
+    """
+    key = ("packed" if packed else "json", spark.sparkContext.applicationId, sf_dir)
     with _LOCK:
         if key not in _CACHE:
             out = scratch_path(spark, "json_hits")
+            raw = raw_hits_from_events(spread_events(spark, sf_dir))
             t, form = F.col("received_at"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
             east = F.date_format(t + F.make_dt_interval(hours=F.lit(2)), form)
             text = (F.when(F.col("hit_id") % 3 == 0, F.concat(F.date_format(t, form), F.lit("Z")))
                     .when(F.col("hit_id") % 3 == 1, F.concat(east, F.lit("+02:00")))
                     .otherwise(F.date_format(t, "yyyy-MM-dd HH:mm:ss.SSSSSS")))
-            raw.withColumn("received_at", text).write.json(out)
+            (raw.withColumn("received_at", text).write.option("maxRecordsPerFile", PACKED_ROWS if packed else LOG_ROWS)
+             .json(out, compression="gzip" if packed else "none"))
             _CACHE[key] = out
         return _CACHE[key]
 
 
 def json_ingested(spark, sf_dir) -> tuple[Tables, object]:
-    return I.ingest(read_hits(spark, json_hits(spark, sf_dir)), fixture_geo_ranges(spark, sf_dir))
+    return I.ingest(read_hits(spark, json_hits(spark, sf_dir, packed=True)), fixture_geo_ranges(spark, sf_dir))
 
 
 def ingested(spark, sf_dir) -> tuple[Tables, object]:
