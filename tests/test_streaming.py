@@ -158,3 +158,35 @@ def test_read_latest_skips_incomplete_snapshot(spark, tmp_dir):
     assert L._latest_snapshot(spark, out) == 1
     got = sorted(tuple(r) for r in L.read_latest(spark, out, "k").select("k", "v").collect())
     assert got == [("a", 2), ("b", 3), ("c", 4)]
+
+
+def test_snapshots_do_not_rewrite_the_state_over_and_over(spark, tmp_dir):
+    """Folds wait until the batches after the last one hold as much; a replay of a folded batch changes nothing."""
+    src, out, ck = (os.path.join(tmp_dir, x) for x in ("src", "out", "ck"))
+
+    def add(*parts):
+        for k in parts:
+            keys = spark.range(k * 5000, (k + 1) * 5000, numPartitions=1).select(F.md5(F.col("id").cast("string")).alias("k"))
+            keys.write.mode("append").parquet(src)
+
+    def run():
+        rows = spark.readStream.schema("k string").option("maxFilesPerTrigger", 1).parquet(src)
+        q = L.versioned_sink(rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")), out, ck, key="k", compact_every=2)
+        q.awaitTermination()
+        assert q.exception() is None
+
+    def snapshots():
+        return sorted(int(n.split("=")[1]) for n in os.listdir(os.path.join(out, L.SNAPSHOTS)) if n.startswith("batch_id="))
+
+    add(*range(7))
+    run()
+    assert snapshots() == [2, 6]
+    for name in ("6", ".6.crc"):  # the stream ended after the last batch's snapshot and before its commit
+        if os.path.exists(os.path.join(ck, "commits", name)):
+            os.remove(os.path.join(ck, "commits", name))
+    run()
+    add(7, 8)
+    run()
+    assert snapshots() == [2, 6]
+    got = L.read_latest(spark, out, "k")
+    assert (got.count(), got.distinct().count(), got.agg(F.sum("n")).first()[0]) == (45000, 45000, 45000)

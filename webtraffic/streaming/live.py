@@ -76,14 +76,18 @@ def versioned_sink(agg: DataFrame, out_dir: str, checkpoint: str,
                    compact_every: int | None = None) -> StreamingQuery:
     """Update-mode aggregate → ``out_dir/batch_id=N`` per micro-batch (idempotent overwrite).
 
-    With ``key`` and ``compact_every``, every ``compact_every``-th batch also folds the state
+    With ``key`` and ``compact_every``, every ``compact_every``-th batch may also fold the state
     so far into ``out_dir/_snapshots/batch_id=N``, so :func:`read_latest` reads one snapshot
     plus the batches after it instead of every batch since the stream began (older batch
-    directories can then be removed by housekeeping). A replayed batch rewrites its snapshot.
+    directories can then be removed by housekeeping). It does so once the batches after the last
+    snapshot hold as much as that one: all snapshots together then come to at most twice what
+    the batches wrote, however many there are, and a reader reads at most about twice the state.
+    A replayed batch rewrites its snapshot if that is not complete.
     """
     def write(batch: DataFrame, batch_id: int):
         batch.write.mode("overwrite").parquet(f"{out_dir}/{BATCH_COL}={batch_id}")
-        if key and compact_every and batch_id > 0 and batch_id % compact_every == 0:
+        due = key and compact_every and batch_id > 0 and batch_id % compact_every == 0
+        if due and _worth_folding(batch.sparkSession, out_dir, batch_id):
             state = read_latest(batch.sparkSession, out_dir, key)
             state.write.mode("overwrite").parquet(f"{out_dir}/{SNAPSHOTS}/{BATCH_COL}={batch_id}")
 
@@ -92,6 +96,22 @@ def versioned_sink(agg: DataFrame, out_dir: str, checkpoint: str,
             .trigger(**(trigger or {"availableNow": True})).start())
 
 
+def _worth_folding(spark: SparkSession, out_dir: str, batch_id: int) -> bool:
+    """Whether the batches after the newest snapshot, up to this one, hold as many bytes as it does."""
+    snap = _latest_snapshot(spark, out_dir)
+    if snap is None or snap >= batch_id:
+        return snap is None
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(out_dir).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    size = lambda p: fs.getContentSummary(p).getLength()
+    least, later = size(path(f"{out_dir}/{SNAPSHOTS}/{BATCH_COL}={snap}")), 0
+    for st in fs.listStatus(path(out_dir)):
+        name = st.getPath().getName()
+        if name.startswith(f"{BATCH_COL}=") and snap < int(name.split("=", 1)[1]) <= batch_id:
+            later += size(st.getPath())
+    return later >= least
+
+
 def _latest_snapshot(spark: SparkSession, out_dir: str) -> int | None:
     """The newest complete snapshot's batch id (its write committed a ``_SUCCESS`` marker).
 
